@@ -137,7 +137,7 @@ def pair_audit(
     no_pair = counts.filter((F.col("n_good") == 0) | (F.col("n_good") == F.col("candidates")))
     reason = F.when(F.col("n_good") == 0, "no good").otherwise("no bad")
     return no_pair.select(
-        *keys, "candidates", "n_good", (F.col("candidates") - F.col("n_good")).alias("n_bad"), reason.alias("reason")
+        *keys, "candidates", "n_good", (F.col("candidates") - F.col("n_good")).alias("n_bad"), reason.alias("no_pair_reason")
     )
 
 
@@ -154,13 +154,13 @@ def audit_lines(
     """
     keys = group_columns(group)
     audit = pair_audit(df, keys, threshold)
-    renamed = audit.select(*[F.col(k).alias("_a_" + k) for k in keys], "candidates", "reason")
+    renamed = audit.select(*[F.col(k).alias("_a_" + k) for k in keys], "candidates", "no_pair_reason")
     condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col("_a_" + k))
     lines = df.join(renamed, condition).drop(*["_a_" + k for k in keys])
     diversity = F.when(
-        F.col("candidates") > 1, F.format_string("%s(%.3f)", F.col(word), F.col("diversity"))
+        F.col("candidates") > 1, F.format_string("%s(%.3f)", F.col(word), F.round("diversity", 3))
     ).otherwise("N/A")
     return lines.withColumn(
         "quality_text",
