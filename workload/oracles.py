@@ -130,8 +130,8 @@ audit AS (
 
 _LOGPS = """pair_logps AS (
   SELECT l_orderkey AS batch_id, l_linenumber, l_partkey, l_suppkey,
-         -l_quantity / 10 AS pc, -l_extendedprice / 10000 AS pr,
-         -10 * l_discount AS rc, -10 * l_tax AS rr
+         -ln(1 + l_quantity) AS pc, -ln(l_extendedprice) / 3 AS pr,
+         ln(l_discount) AS rc, -ln(2 + 100 * l_tax) AS rr
   FROM lineitem WHERE l_discount > 0),
 logits AS (SELECT *, (pc - pr) - (rc - rr) AS logits FROM pair_logps)"""
 
@@ -223,7 +223,7 @@ diverse AS (
     ON a.window_start = b.window_start AND a.prompt_id = b.prompt_id AND a.word <> b.word
   GROUP BY ALL),
 {_pick('chosen', keys, 'diverse')}, {_pick('rejected', keys, 'diverse')}
-SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, prompt_id, chosen, rejected
+SELECT CAST(epoch(window_start) AS BIGINT) AS window_start, prompt_id, chosen, rejected
 FROM chosen_pick JOIN rejected_pick USING (window_start, prompt_id) {condition}"""
 
 
@@ -455,8 +455,8 @@ report AS (
         return f"coalesce({_r6(f'avg({expression})')}, 0.0) AS {name}"
 
     sql["h2_step_metrics"] = f"""WITH prompts AS (
-  SELECT date_trunc('hour', ts) AS w, event_type <> 'error' AS found, -value / 100 AS pc,
-         -user_id / 100.0::DOUBLE AS pr, -length(event_type) / 10.0::DOUBLE AS rc, -length(props) / 10.0::DOUBLE AS rr
+  SELECT date_trunc('hour', ts) AS w, event_type <> 'error' AS found, -ln(1 + abs(value)) AS pc,
+         -ln(3 + user_id) AS pr, -ln(length(event_type)) AS rc, -ln(length(props)) AS rr
   FROM events),
 logits AS (SELECT *, (pc - pr) - (rc - rr) AS logits FROM prompts),
 valid AS (SELECT * FROM logits WHERE found),
@@ -469,7 +469,7 @@ means AS (
          {window_mean('pr', 'logps_rejected')}, {window_mean('pc', 'logps_chosen')}, {window_mean('logits', 'logits')}
   FROM valid GROUP BY w),
 shares AS (SELECT w, {_r6('avg(CASE WHEN found THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS valid_pairs_frac FROM prompts GROUP BY w)
-SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, valid_pairs_frac,
+SELECT CAST(epoch(w) AS BIGINT) AS window_start, valid_pairs_frac,
        {', '.join(f'coalesce({m}, 0.0) AS {m}' for m in ('loss', 'rewards_chosen', 'rewards_rejected', 'rewards_accuracy', 'rewards_margins', 'logps_rejected', 'logps_chosen', 'logits'))}
 FROM shares LEFT JOIN means USING (w)"""
 

@@ -504,38 +504,37 @@ def _event_score(spark, d):
     return score
 
 
-def _new_folder(spark, name):
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def _seconds():
+    return F.unix_seconds("window_start").alias("window_start")
 
 
-def _event_stream(spark, d):
-    schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+def _new_folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def h1_stream_pairs(spark, d):
     """The events as a stream, run until all input is read; windows closed by then."""
     folder = _new_folder(spark, "stream-pairs")
     query = sp.stream_pairs(
-        tb.event_completions(_event_stream(spark, d)), _event_score(spark, d),
+        tb.event_completions(tb.events(spark, d, stream=True)), _event_score(spark, d),
         f"{folder}/pairs", f"{folder}/state", window="7 days", delay="1 day",
     )
     query.awaitTermination()
     pairs = spark.read.parquet(f"{folder}/pairs")
-    return pairs.select(F.col("window_start").cast("string").alias("window_start"), "prompt_id", "chosen", "rejected")
+    return pairs.select(_seconds(), "prompt_id", "chosen", "rejected")
 
 
 def h1_window_pairs(spark, d):
     """The same plan over the table: all windows."""
-    events = tb.event_completions(table(spark, d, "events"))
+    events = tb.event_completions(tb.events(spark, d))
     closed = sp.closed_candidates(events, "7 days", None)
     pairs = pr.mine_pairs(_event_score(spark, d)(closed), sp.GROUP)
-    return pairs.select(F.col("window_start").cast("string").alias("window_start"), "prompt_id", "chosen", "rejected")
+    return pairs.select(_seconds(), "prompt_id", "chosen", "rejected")
 
 
 def h2_step_metrics(spark, d):
-    metrics = sm.stream_step_metrics(tb.event_prompts(table(spark, d, "events")), "1 hour", None)
-    return _rounded(metrics.withColumn("window_start", F.col("window_start").cast("string")), *mt.METRICS)
+    metrics = sm.stream_step_metrics(tb.event_prompts(tb.events(spark, d)), "1 hour", None)
+    return _rounded(metrics.select(_seconds(), *mt.METRICS), *mt.METRICS)
 
 
 # --- I: sinks

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairmine.functions import text as tx
 from pairmine.operators import prep
@@ -117,10 +118,10 @@ def pair_logps(spark: SparkSession, d: str) -> DataFrame:
         "l_linenumber",
         "l_partkey",
         "l_suppkey",
-        (-F.col("l_quantity") / 10).alias("policy_chosen"),
-        (-F.col("l_extendedprice") / 10000).alias("policy_rejected"),
-        F.when(F.col("l_discount") > 0, -10 * F.col("l_discount")).alias("ref_chosen"),
-        (-10 * F.col("l_tax")).alias("ref_rejected"),
+        (-F.ln(1 + F.col("l_quantity"))).alias("policy_chosen"),
+        (-F.ln("l_extendedprice") / 3).alias("policy_rejected"),
+        F.when(F.col("l_discount") > 0, F.ln("l_discount")).alias("ref_chosen"),
+        (-F.ln(2 + 100 * F.col("l_tax"))).alias("ref_rejected"),
     )
 
 
@@ -144,6 +145,24 @@ def vector_runs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def events(spark: SparkSession, d: str, stream: bool = False) -> DataFrame:
+    """Events with their time as an instant, as a table or as a stream."""
+    path = f"{d}/events.parquet"
+    table_now = spark.read.parquet(path)
+    fields = [
+        T.StructField("ts", T.TimestampType()) if f.name == "ts" else f
+        for f in table_now.schema.fields
+    ]
+    schema = T.StructType(fields)
+    if not stream:
+        return spark.read.schema(schema).parquet(path)
+    reader = spark.readStream.schema(schema)
+    if table_now.inputFiles()[0].endswith("/events.parquet"):
+        # a stream reads folders: the one file is picked out of its folder
+        return reader.option("pathGlobFilter", "events.parquet").parquet(d)
+    return reader.parquet(path)
+
+
 def event_completions(events: DataFrame) -> DataFrame:
     """Events as samples: the user is the prompt, the number in ``props`` the last word."""
     number = F.regexp_extract("props", r"(\d+)", 1)
@@ -160,8 +179,8 @@ def event_prompts(events: DataFrame) -> DataFrame:
     found = F.col("event_type") != "error"
     return events.select(
         "ts",
-        F.when(found, -F.col("value") / 100).alias("policy_chosen"),
-        F.when(found, -F.col("user_id") / 100).alias("policy_rejected"),
-        F.when(found, -F.length("event_type") / 10).alias("ref_chosen"),
-        F.when(found, -F.length("props") / 10).alias("ref_rejected"),
+        F.when(found, -F.ln(1 + F.abs("value"))).alias("policy_chosen"),
+        F.when(found, -F.ln(3 + F.col("user_id"))).alias("policy_rejected"),
+        F.when(found, -F.ln(F.length("event_type"))).alias("ref_chosen"),
+        F.when(found, -F.ln(F.length("props"))).alias("ref_rejected"),
     )
