@@ -15,17 +15,21 @@ WHITESPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Read from the end of the text, so that the match is anchored and short whatever the length.
-_LAST_TOKEN_REVERSED = f"^[{WHITESPACE}]*+([^{WHITESPACE}]*+)"
-
 
 def trim_space(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
 def last_token(text: Column) -> Column:
-    """Last run of non-space characters, ``""`` if there is none."""
-    return F.reverse(F.regexp_extract(F.reverse(text), _LAST_TOKEN_REVERSED, 1))
+    """Last run of non-space characters, ``""`` if there is none.
+
+    Searches from the end of the text, once per kind of space; after the first cut only the last few
+    characters are left, so no pattern has to run over the text.
+    """
+    rest = F.rtrim(text, F.lit(WHITESPACE))
+    for space in (" ", *WHITESPACE):
+        rest = F.substring_index(rest, space, -1)
+    return rest
 
 
 def last_word(text: Column) -> Column:

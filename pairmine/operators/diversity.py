@@ -28,13 +28,18 @@ def group_columns(group: str | list[str]) -> list[str]:
 
 
 def attach_embeddings(
-    candidates: DataFrame, embeddings: DataFrame, key: str = "word", vector: str = "embedding"
+    candidates: DataFrame,
+    embeddings: DataFrame | Callable[[DataFrame], DataFrame],
+    key: str = "word",
+    vector: str = "embedding",
 ) -> DataFrame:
     """Put the vector of each candidate beside it; NULL where there is none.
 
-    ``embeddings`` has one row per distinct word. Vectors computed by a model come in the same way:
-    apply the model to the distinct words and pass the result.
+    ``embeddings`` has one row per distinct word. Where no such table exists, pass a function that
+    makes one: it gets the distinct words, so that a model sees each word once.
     """
+    if callable(embeddings):
+        embeddings = embeddings(candidates.select(key).distinct())
     require(embeddings, key, vector)
     return candidates.join(embeddings.select(key, vector), key, "left")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from pairmine.operators.diversity import (
     group_columns,
     similarity_profile,
 )
+from pairmine.session import materialise
 
 MODES = ("avg", "max")
 
@@ -28,7 +31,10 @@ def vocabulary_summary(runs: DataFrame, run: str = "run", word: str = "word") ->
     Counted from one row per run and word, so that a large run is counted in many tasks. The sorted
     list of words is :func:`vocabulary_list`.
     """
-    counts = runs.groupBy(run, word).agg(F.count("*").alias("n"))
+    return _summary(runs.groupBy(run, word).agg(F.count("*").alias("n")), run, word)
+
+
+def _summary(counts: DataFrame, run: str, word: str) -> DataFrame:
     return counts.groupBy(run).agg(
         F.sum("n").alias("total_words"),
         F.count_if(F.col(word) != EMPTY_MARK).alias("unique_words"),
@@ -120,7 +126,7 @@ def vocabulary_compare(
 
 def run_report(
     runs: DataFrame,
-    embeddings: DataFrame,
+    embeddings: DataFrame | Callable[[DataFrame], DataFrame],
     baseline: str,
     run: str = "run",
     word: str = "word",
@@ -131,9 +137,11 @@ def run_report(
     """All figures of every run beside each other, with the differences to the baseline run.
 
     A higher minimum similarity means that the two words farthest apart moved closer together.
+    ``runs`` is read once: all figures come from the count per run and word, which is written first.
     """
-    summary = vocabulary_summary(runs, run, word)
-    words = run_words(runs, run, word).select(run, F.col(word).alias(key))
+    counts = materialise(runs.groupBy(run, word).agg(F.count("*").alias("n")))
+    summary = _summary(counts, run, word)
+    words = counts.filter(F.col(word) != EMPTY_MARK).select(run, F.col(word).alias(key))
     vectors = attach_embeddings(words, embeddings, key, vector).filter(F.col(vector).isNotNull())
     average = avg_pairwise_similarity(vectors, run, vector).drop("n")
     profile = similarity_profile(vectors, run, key, vector, group_sizes=words, **options)
@@ -155,6 +163,8 @@ def run_report(
         "diversity_avg",
         "diversity_max",
     ]
+    # one row per run, written so that the baseline is not computed a second time
+    report = materialise(report)
     base = report.filter(F.col(run) == baseline).select(
         F.col(run).alias("_base_run"), *[F.col(f).alias("_base_" + f) for f in figures]
     )

@@ -20,7 +20,7 @@ def unique_candidates(completions: DataFrame) -> DataFrame:
 
 def score_candidates(
     candidates: DataFrame,
-    embeddings: DataFrame,
+    embeddings: DataFrame | Callable[[DataFrame], DataFrame],
     group: str | list[str] = "prompt_id",
     rules: str | Callable[[Column], Column] = "lexicon",
     lexicon: DataFrame | None = None,
@@ -40,7 +40,7 @@ def score_candidates(
 
 def pairs_from_completions(
     completions: DataFrame,
-    embeddings: DataFrame,
+    embeddings: DataFrame | Callable[[DataFrame], DataFrame],
     max_target_length: int | None = None,
     tie: str = "first",
     seed: int = 0,

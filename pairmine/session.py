@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,11 +39,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from there.
+def materialise(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``df`` as a table once and go on from there.
 
     Used where several later passes would otherwise repeat an expensive input, and where a
-    repeated pass must see the very same rows. The files outlive a lost executor.
+    repeated pass must see the very same rows. The table is in the shared folder (or in ``folder``,
+    replacing what is there), so it outlives a lost executor, and later passes read only the
+    columns they need.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    if folder is None:
+        folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pairmine.functions.vectors import round6
 from pairmine.operators import candidates as cd
 from pairmine.operators import pairs as pr
 from pairmine.session import materialise
@@ -48,8 +47,9 @@ def stream_pairs(
     """Start the stream: closed groups are scored, mined and written under ``path``.
 
     ``score`` turns the closed candidates (grouped by ``GROUP``) into scored ones. Each micro-batch
-    overwrites its own ``epoch_id`` folder, so a repeated one leaves each pair once. Samples
-    later than the watermark are dropped.
+    overwrites its own ``epoch_id`` folders, of candidates (``path/candidates``) and of pairs
+    (``path/pairs``), so a repeated one leaves each pair once. Samples later than the watermark
+    are dropped.
     """
     closed = closed_candidates(completions, window, delay, ts)
 
@@ -65,8 +65,6 @@ def write_epoch(
 ) -> None:
     """Mine one micro-batch into its own folder, replacing what an earlier attempt left there."""
     # Written once: scoring passes over the closed groups more than one time.
-    candidates = materialise(batch)
+    candidates = materialise(batch, f"{path}/candidates/epoch_id={epoch_id}")
     mined = pr.mine_pairs(score(candidates), GROUP)
-    for side in ("chosen_diversity", "rejected_diversity"):
-        mined = mined.withColumn(side, round6(F.col(side)))
-    mined.write.mode("overwrite").parquet(f"{path}/epoch_id={epoch_id}")
+    mined.write.mode("overwrite").parquet(f"{path}/pairs/epoch_id={epoch_id}")

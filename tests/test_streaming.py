@@ -37,7 +37,7 @@ def write(spark, rows, path):
 def run(spark, folder):
     stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
     sp.stream_pairs(stream, score, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").drop("epoch_id")
+    return spark.read.parquet(f"{folder}/out/pairs").drop("epoch_id")
 
 
 def batch(spark, rows):
@@ -72,7 +72,7 @@ def test_replayed_micro_batch_leaves_each_pair_once(spark, tmp_path):
     closed = sp.closed_candidates(spark.createDataFrame(samples(2), SCHEMA), "1 hour", None)
     for _ in range(2):
         sp.write_epoch(closed, 3, score, str(tmp_path / "out"))
-    got = spark.read.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out" / "pairs"))
     assert rows_of(got.drop("epoch_id")) == rows_of(batch(spark, samples(2)))
     assert {r.epoch_id for r in got.collect()} == {3}
 

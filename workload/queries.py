@@ -22,7 +22,7 @@ from pairmine.operators import pairs as pr
 from pairmine.operators import prep
 from pairmine.operators import quality as ql
 from pairmine.plans import mining
-from pairmine.session import shared_folder
+from pairmine.session import materialise, shared_folder
 from pairmine.sources import sinks
 from pairmine.sources.tables import table
 from pairmine.streaming import metrics as sm
@@ -296,8 +296,8 @@ def d4_max_sim_diversity(spark, d):
 
 
 def d4_word_diversity(spark, d):
-    words = tb.candidates(spark, d)
-    vectors = dv.attach_embeddings(words, tb.word_vectors(spark, d, words))
+    words = materialise(tb.candidates(spark, d))
+    vectors = dv.attach_embeddings(words, tb.word_vectors(spark, d))
     return dv.max_sim_diversity(vectors, group_sizes=words)
 
 
@@ -351,9 +351,8 @@ def e5_max_target_filter(spark, d):
 
 
 def _scored_words(spark, d):
-    words = tb.candidates(spark, d)
     return mining.score_candidates(
-        words, tb.word_vectors(spark, d, words), lexicon=tb.lexicon(spark, d), gazetteer=tb.names(spark, d)
+        materialise(tb.candidates(spark, d)), tb.word_vectors(spark, d), lexicon=tb.lexicon(spark, d), gazetteer=tb.names(spark, d)
     )
 
 
@@ -370,9 +369,8 @@ def e6_audit_lines(spark, d):
 def text_to_pairs(spark, d):
     """The whole way from completions to pairs within the length limit."""
     completions = tb.completions(spark, d).drop("lang")
-    words = tb.candidates(spark, d)
     return mining.pairs_from_completions(
-        completions, tb.word_vectors(spark, d, words), max_target_length=pr.MAX_TARGET_LENGTH,
+        completions, tb.word_vectors(spark, d), max_target_length=pr.MAX_TARGET_LENGTH,
         lexicon=tb.lexicon(spark, d), gazetteer=tb.names(spark, d),
     )
 
@@ -484,8 +482,7 @@ def g6_run_report(spark, d):
 
 
 def g6_run_report_words(spark, d):
-    runs = tb.runs(spark, d)
-    return _report(runs, tb.word_vectors(spark, d, runs.filter(F.col("word") != tx.EMPTY_MARK)), "en")
+    return _report(tb.runs(spark, d), tb.word_vectors(spark, d), "en")
 
 
 # --- H: streams
@@ -517,10 +514,10 @@ def h1_stream_pairs(spark, d):
     folder = _new_folder(spark, "stream-pairs")
     query = sp.stream_pairs(
         tb.event_completions(tb.events(spark, d, stream=True)), _event_score(spark, d),
-        f"{folder}/pairs", f"{folder}/state", window="7 days", delay="1 day",
+        f"{folder}/out", f"{folder}/state", window="7 days", delay="1 day",
     )
     query.awaitTermination()
-    pairs = spark.read.parquet(f"{folder}/pairs")
+    pairs = spark.read.parquet(f"{folder}/out/pairs")
     return pairs.select(_seconds(), "prompt_id", "chosen", "rejected")
 
 

@@ -71,14 +71,20 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
     return words.withColumn("tag", tag)
 
 
-def word_vectors(spark: SparkSession, d: str, words: DataFrame) -> DataFrame:
-    """A vector for each distinct word, picked by its first and last letter and its length."""
-    unique = words.select("word").distinct()
+def word_vectors(spark: SparkSession, d: str):
+    """Stands for an embedding model: from distinct words to their vectors.
+
+    A word's vector is picked by its first and last letter and its length.
+    """
     number = (
         F.ascii("word") * 31 + F.ascii(F.right("word", F.lit(1))) * 17 + F.length("word") * 101
     ) % WORD_VECTORS
     vectors = table(spark, d, "embeddings", "vec_id", "embedding")
-    return unique.withColumn("vec_id", number).join(vectors, "vec_id").select("word", "embedding")
+
+    def embed(words: DataFrame) -> DataFrame:
+        return words.withColumn("vec_id", number).join(vectors, "vec_id").select("word", "embedding")
+
+    return embed
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
