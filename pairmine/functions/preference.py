@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The default strength of the preference term and the known losses.
-DEFAULT_BETA = 0.1
+from pairmine.settings import DEFAULTS
+
+# The known losses.
 LOSSES = ("sigmoid", "hinge")
 
 
@@ -23,7 +24,7 @@ def dpo_logits(
     return (policy_chosen - policy_rejected) - (ref_chosen - ref_rejected)
 
 
-def dpo_loss(logits: Column, loss: str = "sigmoid", beta: float = DEFAULT_BETA) -> Column:
+def dpo_loss(logits: Column, loss: str = "sigmoid", beta: float = DEFAULTS.beta) -> Column:
     """Loss of one pair; the batch loss is the mean of it."""
     scaled = logits * F.lit(float(beta))
     if loss == "sigmoid":
@@ -34,5 +35,5 @@ def dpo_loss(logits: Column, loss: str = "sigmoid", beta: float = DEFAULT_BETA)
     raise ValueError(f"unknown loss {loss!r}; expected one of {LOSSES}")
 
 
-def reward(policy: Column, ref: Column, beta: float = DEFAULT_BETA) -> Column:
+def reward(policy: Column, ref: Column, beta: float = DEFAULTS.beta) -> Column:
     return F.lit(float(beta)) * (policy - ref)

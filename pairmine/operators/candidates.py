@@ -27,11 +27,11 @@ def normalise(df: DataFrame, mode: str = "train", text: str = "text", word: str
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
     require(df, text)
-    last = F.lower(tx.last_word(F.col(text)))
     if mode == "train":
-        return df.withColumn(word, last).filter(F.col(word) != "")
-    blank = tx.trim_space(F.col(text)) == ""
-    return df.withColumn(word, F.when(blank, F.lit(tx.EMPTY_MARK)).otherwise(last))
+        return df.withColumn(word, F.lower(tx.last_word(F.col(text)))).filter(F.col(word) != "")
+    token = tx.last_token(F.col(text))
+    bare = F.btrim(token, F.lit(tx.EDGE_PUNCTUATION))
+    return df.withColumn(word, F.when(token == "", F.lit(tx.EMPTY_MARK)).otherwise(F.lower(bare)))
 
 
 def dedupe_keep_first(

@@ -21,6 +21,8 @@ from pairmine.schemas import require
 BLOCK_ROWS = 4096
 # At most this many large groups are broadcast; beyond, they are joined by shuffle.
 _BROADCAST_GROUPS = 100_000
+# Rows multiplied at a time, so that the products stay in the processor's cache.
+_CHUNK_ROWS = 128
 
 
 def group_columns(group: str | list[str]) -> list[str]:
@@ -44,13 +46,15 @@ def attach_embeddings(
     return candidates.join(embeddings.select(key, vector), key, "left")
 
 
-def _profile_task(keys: list[str], vector: str, out: list[str], similarity: Callable | None):
+def _profile_task(
+    keys: list[str], vector: str, out: list[str], similarity: Callable | None, lowest: bool
+):
     """Body of the similarity tasks, for rows sorted by ``keys``.
 
     A run of equal keys is one piece of work: a whole group, or two blocks of a large one (columns
     ``_block``, ``_lo``, ``_hi``, ``_copies``). Self-contained, so that workers need no package.
     """
-    floor = NORM_FLOOR
+    floor, chunk = NORM_FLOOR, _CHUNK_ROWS
 
     def task(batches):
         import numpy as np
@@ -71,25 +75,27 @@ def _profile_task(keys: list[str], vector: str, out: list[str], similarity: Call
             return np.flatnonzero(change) + 1
 
         def compare(a, b):
-            return a @ b.T if similarity is None else similarity(a, b)
+            return a @ b.T if similarity is None else np.array(similarity(a, b), dtype=np.float64)
 
         def extremes(a, b, same):
             high_a, low_a = np.full(len(a), -np.inf), np.full(len(a), np.inf)
             high_b, low_b = np.full(len(b), -np.inf), np.full(len(b), np.inf)
             if len(a) == 0 or len(b) == 0:
                 return high_a, low_a, high_b, low_b
-            for start in range(0, len(a), 1024):
-                sims = np.array(compare(a[start : start + 1024], b), dtype=np.float64)
+            for start in range(0, len(a), chunk):
+                rows = slice(start, start + chunk)
+                sims = compare(a[rows], b)
                 if same:
                     own = np.arange(len(sims))
                     sims[own, own + start] = -np.inf
-                high_a[start : start + 1024] = sims.max(axis=1)
-                if not same:
+                else:
                     high_b = np.maximum(high_b, sims.max(axis=0))
-                sims[sims <= 0] = np.inf
-                low_a[start : start + 1024] = sims.min(axis=1)
-                if not same:
-                    low_b = np.minimum(low_b, sims.min(axis=0))
+                high_a[rows] = sims.max(axis=1)
+                if lowest:
+                    sims[sims <= 0] = np.inf
+                    low_a[rows] = sims.min(axis=1)
+                    if not same:
+                        low_b = np.minimum(low_b, sims.min(axis=0))
             return high_a, low_a, high_b, low_b
 
         def with_copies(rows, copies, high, low):
@@ -99,7 +105,8 @@ def _profile_task(keys: list[str], vector: str, out: list[str], similarity: Call
                 places = np.flatnonzero(again)
                 own = np.array([compare(rows[[i]], rows[[i]])[0, 0] for i in places])
                 high[again] = np.maximum(high[again], own)
-                low[again] = np.minimum(low[again], np.where(own > 0, own, np.inf))
+                if lowest:
+                    low[again] = np.minimum(low[again], np.where(own > 0, own, np.inf))
 
         def profiles(table, bounds):
             column = table.column(vector).combine_chunks()
@@ -159,13 +166,21 @@ def _profile_task(keys: list[str], vector: str, out: list[str], similarity: Call
 
 
 def _run_tasks(
-    df: DataFrame, keys: list[str], vector: str, out: list[str], similarity: Callable | None
+    df: DataFrame,
+    keys: list[str],
+    vector: str,
+    out: list[str],
+    similarity: Callable | None,
+    lowest: bool,
+    tasks: int | None = None,
 ) -> DataFrame:
+    """``tasks`` keeps adaptive execution from merging partitions, which it judges by bytes alone."""
     fields = [df.schema[c] for c in out]
     scores = [T.StructField(c, T.DoubleType()) for c in ("max_sim", "min_positive_sim")]
     schema = T.StructType(fields + scores)
-    task = _profile_task(keys, vector, [f.name for f in schema.fields], similarity)
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(task, schema)
+    task = _profile_task(keys, vector, [f.name for f in schema.fields], similarity, lowest)
+    spread = df.repartition(*keys) if tasks is None else df.repartition(tasks, *keys)
+    return spread.sortWithinPartitions(*keys).mapInArrow(task, schema)
 
 
 def _matches(df: DataFrame, other: DataFrame, keys: list[str], prefix: str) -> Column:
@@ -189,6 +204,7 @@ def similarity_profile(
     block_rows: int = BLOCK_ROWS,
     group_sizes: DataFrame | None = None,
     similarity: Callable | None = None,
+    lowest: bool = True,
 ) -> DataFrame:
     """Per candidate: ``max_sim`` and ``min_positive_sim`` to all *other* candidates of its group.
 
@@ -198,6 +214,7 @@ def similarity_profile(
 
     ``similarity(a, b)`` may replace the cosine: it gets two numpy blocks of vectors and returns
     the matrix of similarities. ``group_sizes`` may name a cheaper table to count groups on.
+    ``lowest=False`` leaves ``min_positive_sim`` out (NULL), which halves the work.
 
     One pass over the group columns runs at once, to find groups above ``block_rows``.
     """
@@ -208,7 +225,7 @@ def similarity_profile(
     large = counted.filter(F.col("_n") > block_rows).drop("_n")
     found = large.limit(_BROADCAST_GROUPS + 1).collect()
     if not found:
-        return _run_tasks(df, keys, vector, kept, similarity)
+        return _run_tasks(df, keys, vector, kept, similarity, lowest)
 
     few = len(found) <= _BROADCAST_GROUPS
     if few:
@@ -220,8 +237,8 @@ def similarity_profile(
     large = _prefixed(large, keys, "_l_")
     usual = df.join(small(large), _matches(df, large, keys, "_l_"), "left_anti")
     hot = df.join(small(large), _matches(df, large, keys, "_l_"), "left_semi")
-    scored = _large_groups(hot, keys, id, vector, block_rows, similarity, small)
-    return _run_tasks(usual, keys, vector, kept, similarity).unionByName(
+    scored = _large_groups(hot, keys, id, vector, block_rows, similarity, lowest, small)
+    return _run_tasks(usual, keys, vector, kept, similarity, lowest).unionByName(
         scored.select(*kept, "max_sim", "min_positive_sim")
     )
 
@@ -233,6 +250,7 @@ def _large_groups(
     vector: str,
     block_rows: int,
     similarity: Callable | None,
+    lowest: bool,
     small: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     facts = hot.groupBy(*keys).agg(
@@ -256,7 +274,9 @@ def _large_groups(
         .withColumn("_hi", F.greatest("_block", "_other"))
         .select(*keys, "_lo", "_hi", "_block", "_copies", "_rep", vector)
     )
-    parts = _run_tasks(dealt, [*keys, "_lo", "_hi"], vector, [*keys, "_rep"], similarity)
+    tasks = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = [*keys, "_lo", "_hi"]
+    parts = _run_tasks(dealt, pieces, vector, [*keys, "_rep"], similarity, lowest, tasks)
     whole = parts.groupBy(*keys, "_rep").agg(
         F.max("max_sim").alias("max_sim"), F.min("min_positive_sim").alias("min_positive_sim")
     )
@@ -287,8 +307,8 @@ def max_sim_diversity(
     column is dropped. ``score(max_sim, min_positive_sim)`` may replace the formula; ``options`` go
     to :func:`similarity_profile`.
     """
-    profile = similarity_profile(df, group, id, vector, **options)
-    highest, lowest = F.col("max_sim"), F.col("min_positive_sim")
-    value = 1 - highest if score is None else score(highest, lowest)
+    profile = similarity_profile(df, group, id, vector, lowest=score is not None, **options)
+    highest = F.col("max_sim")
+    value = 1 - highest if score is None else score(highest, F.col("min_positive_sim"))
     value = F.when(highest.isNull(), F.lit(0.0)).otherwise(round6(value))
     return profile.withColumn("diversity", value).drop("max_sim", "min_positive_sim")

@@ -107,7 +107,7 @@ def diversity_score(
         )
     if mode == "max":
         present = df.filter(F.col(vector).isNotNull())
-        profile = similarity_profile(present, keys, id, vector, **options)
+        profile = similarity_profile(present, keys, id, vector, lowest=False, **options)
         return profile.groupBy(*keys).agg((1 - F.max("max_sim")).alias("diversity_score"))
     raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
 
@@ -163,13 +163,13 @@ def run_report(
         "diversity_avg",
         "diversity_max",
     ]
-    # one row per run, written so that the baseline is not computed a second time
+    # One row per run, written so that the baseline's figures are read and not computed again.
     report = materialise(report)
-    base = report.filter(F.col(run) == baseline).select(
-        F.col(run).alias("_base_run"), *[F.col(f).alias("_base_" + f) for f in figures]
-    )
-    compared = report.withColumn("baseline", F.lit(baseline)).join(
-        base, F.col("baseline") == F.col("_base_run"), "left"
-    )
-    deltas = [(F.col(f) - F.col("_base_" + f)).alias(f + "_delta") for f in figures]
-    return compared.select(run, "baseline", *figures, *deltas)
+    base = report.filter(F.col(run) == baseline).first()
+    if base is None:
+        raise ValueError(f"no run named {baseline!r}")
+    kinds = dict(report.dtypes)
+    deltas = [
+        (F.col(f) - F.lit(base[f]).cast(kinds[f])).alias(f + "_delta") for f in figures
+    ]
+    return report.select(run, F.lit(baseline).alias("baseline"), *figures, *deltas)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairmine.functions import preference as pf
 from pairmine.schemas import require
+from pairmine.settings import DEFAULTS
 
 LOGPS = ("policy_chosen", "policy_rejected", "ref_chosen", "ref_rejected")
 
@@ -39,7 +40,7 @@ def complete_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def pair_terms(
-    pairs: DataFrame, loss: str = "sigmoid", beta: float = pf.DEFAULT_BETA
+    pairs: DataFrame, loss: str = "sigmoid", beta: float = DEFAULTS.beta
 ) -> DataFrame:
     """Add logits, loss, both rewards, the margin and whether the pair is ranked right."""
     require(pairs, *LOGPS)
@@ -80,7 +81,7 @@ def batch_metrics(
     batch: str = "batch_id",
     batch_size: str = "batch_size",
     loss: str = "sigmoid",
-    beta: float = pf.DEFAULT_BETA,
+    beta: float = DEFAULTS.beta,
 ) -> DataFrame:
     """The nine metrics of every batch in ``batches``; all 0.0 where a batch has no valid pair.
 
@@ -102,7 +103,7 @@ def group_metrics(
     prompts: DataFrame,
     group: Column | list[Column],
     loss: str = "sigmoid",
-    beta: float = pf.DEFAULT_BETA,
+    beta: float = DEFAULTS.beta,
 ) -> DataFrame:
     """The nine metrics per group of a table that holds every prompt of the batch.
 
@@ -125,10 +126,10 @@ def sample_pairs_log(
     pairs: DataFrame,
     order: list[str],
     step: str = "batch_id",
-    logging_steps: int = 10,
+    logging_steps: int = DEFAULTS.logging_steps,
     first: int = 3,
     loss: str = "sigmoid",
-    beta: float = pf.DEFAULT_BETA,
+    beta: float = DEFAULTS.beta,
 ) -> DataFrame:
     """The first pairs of every fifth logged step, with the step's accuracy and margin.
 

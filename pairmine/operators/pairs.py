@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from pairmine.operators.diversity import group_columns
 from pairmine.schemas import require
+from pairmine.session import materialise
+from pairmine.settings import DEFAULTS
 
-# The score from which a candidate is good, and the longest side of a pair.
+# Fixed value: the score from which a candidate is good.
 GOOD_FROM = 1.0
-MAX_TARGET_LENGTH = 10
 
 TIES = ("first", "seeded")
 
@@ -111,7 +112,7 @@ def mine_pairs(
 
 def max_target_filter(
     pairs: DataFrame,
-    longest: int = MAX_TARGET_LENGTH,
+    longest: int = DEFAULTS.max_target_length,
     chosen_tokens: Column | None = None,
     rejected_tokens: Column | None = None,
 ) -> DataFrame:
@@ -151,8 +152,10 @@ def audit_lines(
     ``word(diversity)`` written out.
 
     Rows instead of a list per prompt, so that a prompt with very many candidates stays spread.
+    The scored candidates are written first, since they are counted and then listed.
     """
     keys = group_columns(group)
+    df = materialise(df)
     audit = pair_audit(df, keys, threshold)
     renamed = audit.select(*[F.col(k).alias("_a_" + k) for k in keys], "candidates", "no_pair_reason")
     condition = F.lit(True)

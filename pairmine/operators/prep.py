@@ -69,17 +69,22 @@ def align_to_batch(
     position = F.col(key)
     if isinstance(kind, (T.DateType, T.TimestampNTZType)):
         position = position.cast("timestamp")
-    rows = df.filter(F.col(key).isNotNull()).withColumn("_pos", position.cast("double"))
+    rows = df.withColumn("_pos", position.cast("double"))
 
     spark = df.sparkSession
     ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), _MAX_BUCKETS)
     cuts = rows.approxQuantile("_pos", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
     if len(splits) > 2:
-        rows = Bucketizer(splits=splits, inputCol="_pos", outputCol="_range").transform(rows)
+        cut = Bucketizer(splits=splits, inputCol="_pos", outputCol="_range", handleInvalid="keep")
+        rows = cut.transform(rows)
     else:
         rows = rows.withColumn("_range", F.lit(0.0))
-    counts = {int(r["_range"]): r["n"] for r in rows.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    counted = rows.groupBy("_range").agg(F.count("*").alias("n"), F.count("_pos").alias("keyed"))
+    found = counted.collect()
+    if any(r["n"] != r["keyed"] for r in found):
+        raise ValueError(f"key {key!r} has missing values")
+    counts = {int(r["_range"]): r["n"] for r in found}
     total = sum(counts.values())
     target = aligned_count(total if base is None else base, device_batch, accumulation)
     effective = device_batch * accumulation

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairmine.functions.preference import DEFAULT_BETA
 from pairmine.operators.metrics import METRICS, group_metrics
+from pairmine.settings import DEFAULTS
 
 
 def stream_step_metrics(
@@ -15,7 +15,7 @@ def stream_step_metrics(
     delay: str | None = "10 minutes",
     ts: str = "ts",
     loss: str = "sigmoid",
-    beta: float = DEFAULT_BETA,
+    beta: float = DEFAULTS.beta,
 ) -> DataFrame:
     """The nine metrics per window of a table or stream of prompts.
 

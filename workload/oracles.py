@@ -189,6 +189,26 @@ def _report(baseline: str) -> str:
 FROM report r JOIN report b ON b.run = '{baseline}'"""
 
 
+_UNIQUE = "count(DISTINCT word) FILTER (word <> '[empty]')"
+_WORD_REPORT = f"""{_UNIT},
+summary AS (SELECT run, count(*) AS total_words, {_UNIQUE} AS unique_words FROM runs GROUP BY run),
+words AS (SELECT DISTINCT run, word, {_WORD_NUMBER} AS vec_id FROM runs WHERE word <> '[empty]'),
+held AS (SELECT run, vec_id, count(*) AS c FROM words GROUP BY run, vec_id),
+sims AS (
+  SELECT a.run, a.vec_id AS va, b.vec_id AS vb, a.c AS ca, b.c AS cb, list_dot_product(x.u, y.u) AS sim
+  FROM held a JOIN held b ON a.run = b.run JOIN unit x ON x.vec_id = a.vec_id JOIN unit y ON y.vec_id = b.vec_id),
+extremes AS (
+  SELECT run, sum(sim * CASE WHEN va = vb THEN ca * (ca - 1) ELSE ca * cb END)
+              / sum(CASE WHEN va = vb THEN ca * (ca - 1) ELSE ca * cb END) AS avg_similarity,
+         min(sim) FILTER (sim > 0 AND (va <> vb OR ca > 1)) AS min_positive_similarity,
+         max(sim) FILTER (va <> vb OR ca > 1) AS max_similarity
+  FROM sims GROUP BY run),
+report AS (
+  SELECT s.*, e.avg_similarity, e.min_positive_similarity, 1 - e.avg_similarity AS diversity_avg,
+         1 - e.max_similarity AS diversity_max
+  FROM summary s JOIN extremes e USING (run))"""
+
+
 def _aligned(table: str, columns: str, key: str, base: str, device: int) -> str:
     """Rows in key order, from the start again until the aligned count is reached."""
     effective = device * 8
@@ -292,14 +312,16 @@ FROM sized"""
 
     sql["b1_expand_samples"] = """
 SELECT item_id AS prompt_id, text AS prompt, CAST(r.i AS INTEGER) AS sample_idx FROM benchmark, range(64) r(i)"""
-    sql["b2_strip_prompt_echo"] = f"""WITH {turns},
+    outputs = f"""{turns},
 outputs AS (
-  SELECT conv_id, turn, text_before, CASE conv_id % 3 WHEN 0 THEN text_before || ' ' || text
+  SELECT conv_id, turn, role, text_before, CASE conv_id % 3 WHEN 0 THEN text_before || ' ' || text
          WHEN 1 THEN text || ' ' || text_before ELSE text END AS output
-  FROM turns WHERE text_before IS NOT NULL)
-SELECT conv_id, turn, trim(CASE WHEN starts_with(output, text_before)
-  THEN substr(output, length(text_before) + 1) ELSE replace(output, text_before, '') END,
-  ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS answer FROM outputs"""
+  FROM turns WHERE text_before IS NOT NULL),
+answers AS (
+  SELECT conv_id, turn, role, trim(CASE WHEN starts_with(output, text_before)
+    THEN substr(output, length(text_before) + 1) ELSE replace(output, text_before, '') END,
+    ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS answer FROM outputs)"""
+    sql["b2_strip_prompt_echo"] = f"WITH {outputs} SELECT conv_id, turn, answer FROM answers"
     sql["b3_last_word"] = f"WITH {_LINES} SELECT prompt_id, sample_idx, {_last_word('text')} AS word FROM lines"
     sql["b4_normalise_train"] = f"WITH {_CANDIDATES} SELECT prompt_id, sample_idx, word FROM cleaned WHERE word <> ''"
     sql["b4_normalise_eval"] = f"""WITH {_LINES}
@@ -403,6 +425,31 @@ SELECT {key}, {_r6('reward_chosen')} AS reward_chosen, {_r6('reward_rejected')}
        {_r6('reward_chosen - reward_rejected')} AS margin, reward_chosen > reward_rejected AS accurate FROM terms"""
     sql["f6_batch_metrics"] = f"WITH {_batch('sigmoid', 0.1)} SELECT * FROM metrics"
     sql["f6_batch_metrics_hinge"] = f"WITH {_batch('hinge', 0.5)} SELECT * FROM metrics"
+    x = "(0.1 * logits)"
+
+    def mean(expression: str, name: str) -> str:
+        return f"coalesce({_r6(f'avg({expression})')}, 0.0) AS {name}"
+
+    sql["f6_step_metrics"] = f"""WITH {_SCORED_WORDS},
+{_pick('chosen', 'prompt_id', 'scored_words')}, {_pick('rejected', 'prompt_id', 'scored_words')},
+logps AS (
+  SELECT prompt_id, -ln(2 + length(chosen)) AS pc, -ln(3 + length(rejected)) AS pr,
+         -ln(4 + l.quality) AS rc, -ln(5 + l.toxic) AS rr
+  FROM chosen_pick JOIN rejected_pick USING (prompt_id) JOIN labels l ON l.doc_id = prompt_id
+  WHERE length(chosen) <= 10 AND length(rejected) <= 10),
+numbered AS (
+  SELECT doc_id AS prompt_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS total FROM documents),
+aligned AS (SELECT prompt_id, idx // 4 AS batch_id FROM numbered WHERE idx < total // 8 * 8),
+joined AS (
+  SELECT *, (pc - pr) - (rc - rr) AS logits, 0.1 * (pc - rc) AS reward_chosen, 0.1 * (pr - rr) AS reward_rejected
+  FROM aligned LEFT JOIN logps USING (prompt_id))
+SELECT batch_id, {mean(f'greatest(-{x}, 0) + ln(1 + exp(-abs({x})))', 'loss')},
+       {mean('reward_chosen', 'rewards_chosen')}, {mean('reward_rejected', 'rewards_rejected')},
+       {mean('CASE WHEN reward_chosen > reward_rejected THEN 1.0::DOUBLE WHEN pc IS NOT NULL THEN 0.0::DOUBLE END', 'rewards_accuracy')},
+       {mean('reward_chosen - reward_rejected', 'rewards_margins')}, {mean('pr', 'logps_rejected')},
+       {mean('pc', 'logps_chosen')}, {mean('logits', 'logits')},
+       {_r6('count(pc) / CAST(count(*) AS DOUBLE)')} AS valid_pairs_frac
+FROM joined GROUP BY batch_id"""
     sql["f7_zero_pair_batches"] = f"WITH {_batch('sigmoid', 0.1)} SELECT * FROM metrics WHERE valid_pairs_frac = 0"
     sql["f8_sample_pairs_log"] = f"""WITH {_terms(0.1)},
 ranked AS (
@@ -412,9 +459,8 @@ ranked AS (
   FROM terms WHERE batch_id % 50 = 0)
 SELECT {key}, rank, {_r6('accuracy')} AS accuracy, {_r6('margin')} AS margin FROM ranked WHERE rank <= 3"""
 
-    unique = "count(DISTINCT word) FILTER (word <> '[empty]')"
     sql["g1_vocabulary_summary"] = f"""WITH {_RUNS}
-SELECT run, count(*) AS total_words, {unique} AS unique_words FROM runs GROUP BY run"""
+SELECT run, count(*) AS total_words, {_UNIQUE} AS unique_words FROM runs GROUP BY run"""
     sql["g1_vocabulary_list"] = f"""WITH {_RUNS}
 SELECT run, word, count(*) AS n FROM runs WHERE word <> '[empty]' GROUP BY run, word"""
     sql["g2_avg_pairwise_similarity"] = f"WITH {_VECTOR_STATS} SELECT run, n, {_r6('avg_similarity')} AS avg_similarity FROM stats"
@@ -429,31 +475,15 @@ SELECT word, CASE WHEN bool_or(run = 'en') AND bool_or(run = 'fr') THEN 'both'
 FROM runs WHERE run IN ('en', 'fr') AND word <> '[empty]' GROUP BY word"""
     sql["g6_run_report"] = f"""WITH {_VECTOR_STATS},
 report AS (SELECT *, n AS total_words, n AS unique_words FROM stats) {_report('0')}"""
-    sql["g6_run_report_words"] = f"""WITH {_RUNS}, {_UNIT},
-summary AS (SELECT run, count(*) AS total_words, {unique} AS unique_words FROM runs GROUP BY run),
-words AS (SELECT DISTINCT run, word, {_WORD_NUMBER} AS vec_id FROM runs WHERE word <> '[empty]'),
-held AS (SELECT run, vec_id, count(*) AS c FROM words GROUP BY run, vec_id),
-sims AS (
-  SELECT a.run, a.vec_id AS va, b.vec_id AS vb, a.c AS ca, b.c AS cb, list_dot_product(x.u, y.u) AS sim
-  FROM held a JOIN held b ON a.run = b.run JOIN unit x ON x.vec_id = a.vec_id JOIN unit y ON y.vec_id = b.vec_id),
-extremes AS (
-  SELECT run, sum(sim * CASE WHEN va = vb THEN ca * (ca - 1) ELSE ca * cb END)
-              / sum(CASE WHEN va = vb THEN ca * (ca - 1) ELSE ca * cb END) AS avg_similarity,
-         min(sim) FILTER (sim > 0 AND (va <> vb OR ca > 1)) AS min_positive_similarity,
-         max(sim) FILTER (va <> vb OR ca > 1) AS max_similarity
-  FROM sims GROUP BY run),
-report AS (
-  SELECT s.*, e.avg_similarity, e.min_positive_similarity, 1 - e.avg_similarity AS diversity_avg,
-         1 - e.max_similarity AS diversity_max
-  FROM summary s JOIN extremes e USING (run)) {_report('en')}"""
+    sql["g6_run_report_words"] = f"WITH {_RUNS}, {_WORD_REPORT} {_report('en')}"
+    sql["g6_report_on_outputs"] = f"""WITH {outputs},
+runs AS (
+  SELECT role AS run, CASE WHEN regexp_extract(answer, '(\\S+)\\s*$', 1) = '' THEN '[empty]'
+         ELSE lower({_last_word('answer')}) END AS word FROM answers), {_WORD_REPORT} {_report('user')}"""
 
     sql["h1_window_pairs"] = _event_pairs("")
     sql["h1_stream_pairs"] = _event_pairs("JOIN latest ON window_start + INTERVAL 7 DAY <= mark")
-    beta, x = 0.1, "(0.1 * logits)"
-
-    def window_mean(expression: str, name: str) -> str:
-        return f"coalesce({_r6(f'avg({expression})')}, 0.0) AS {name}"
-
+    beta = 0.1
     sql["h2_step_metrics"] = f"""WITH prompts AS (
   SELECT date_trunc('hour', ts) AS w, event_type <> 'error' AS found, -ln(1 + abs(value)) AS pc,
          -ln(3 + user_id) AS pr, -ln(length(event_type)) AS rc, -ln(length(props)) AS rr
@@ -461,12 +491,12 @@ report AS (
 logits AS (SELECT *, (pc - pr) - (rc - rr) AS logits FROM prompts),
 valid AS (SELECT * FROM logits WHERE found),
 means AS (
-  SELECT w, {window_mean(f'greatest(-{x}, 0) + ln(1 + exp(-abs({x})))', 'loss')},
-         {window_mean(f'{beta} * (pc - rc)', 'rewards_chosen')},
-         {window_mean(f'{beta} * (pr - rr)', 'rewards_rejected')},
-         {window_mean(f'CASE WHEN {beta} * (pc - rc) > {beta} * (pr - rr) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END', 'rewards_accuracy')},
-         {window_mean(f'{beta} * (pc - rc) - {beta} * (pr - rr)', 'rewards_margins')},
-         {window_mean('pr', 'logps_rejected')}, {window_mean('pc', 'logps_chosen')}, {window_mean('logits', 'logits')}
+  SELECT w, {mean(f'greatest(-{x}, 0) + ln(1 + exp(-abs({x})))', 'loss')},
+         {mean(f'{beta} * (pc - rc)', 'rewards_chosen')},
+         {mean(f'{beta} * (pr - rr)', 'rewards_rejected')},
+         {mean(f'CASE WHEN {beta} * (pc - rc) > {beta} * (pr - rr) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END', 'rewards_accuracy')},
+         {mean(f'{beta} * (pc - rc) - {beta} * (pr - rr)', 'rewards_margins')},
+         {mean('pr', 'logps_rejected')}, {mean('pc', 'logps_chosen')}, {mean('logits', 'logits')}
   FROM valid GROUP BY w),
 shares AS (SELECT w, {_r6('avg(CASE WHEN found THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS valid_pairs_frac FROM prompts GROUP BY w)
 SELECT CAST(epoch(w) AS BIGINT) AS window_start, valid_pairs_frac,

@@ -21,8 +21,9 @@ from pairmine.operators import metrics as mt
 from pairmine.operators import pairs as pr
 from pairmine.operators import prep
 from pairmine.operators import quality as ql
-from pairmine.plans import mining
+from pairmine.plans import comparison, mining, steps
 from pairmine.session import materialise, shared_folder
+from pairmine.settings import DEFAULTS
 from pairmine.sources import sinks
 from pairmine.sources.tables import table
 from pairmine.streaming import metrics as sm
@@ -31,10 +32,10 @@ from workload import tables as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# The prompt-set size and batch shape used by default, and the legacy list length.
-BASE_PROMPTS, DEVICE_BATCH, ACCUMULATION = 512, 1, 8
-COMMON_WORDS = 20_000
-PROMPT_LENGTH = 64
+BASE_PROMPTS, DEVICE_BATCH = DEFAULTS.base_prompts, DEFAULTS.device_batch
+ACCUMULATION = DEFAULTS.accumulation
+COMMON_WORDS = DEFAULTS.common_words
+PROMPT_LENGTH = DEFAULTS.max_prompt_length
 
 
 def _joined(column):
@@ -161,11 +162,10 @@ def a9_top_n_vocab(spark, d):
 
 
 def b1_expand_samples(spark, d):
-    return cd.expand_samples(tb.prompts(spark, d), 64)
+    return cd.expand_samples(tb.prompts(spark, d), DEFAULTS.samples_per_prompt)
 
 
-def b2_strip_prompt_echo(spark, d):
-    """Outputs that begin with the prompt, end with it, or do not hold it."""
+def _echoed(spark, d):
     turns = _with_previous(spark, d).filter(F.col("text_before").isNotNull())
     kind = F.col("conv_id") % 3
     output = (
@@ -173,9 +173,13 @@ def b2_strip_prompt_echo(spark, d):
         .when(kind == 1, F.concat_ws(" ", "text", "text_before"))
         .otherwise(F.col("text"))
     )
-    return turns.select(
-        "conv_id", "turn", tx.strip_prompt_echo(output, F.col("text_before")).alias("answer")
-    )
+    return turns.withColumn("output", output)
+
+
+def b2_strip_prompt_echo(spark, d):
+    """Outputs that begin with the prompt, end with it, or do not hold it."""
+    answer = tx.strip_prompt_echo(F.col("output"), F.col("text_before"))
+    return _echoed(spark, d).select("conv_id", "turn", answer.alias("answer"))
 
 
 def b3_last_word(spark, d):
@@ -370,7 +374,7 @@ def text_to_pairs(spark, d):
     """The whole way from completions to pairs within the length limit."""
     completions = tb.completions(spark, d).drop("lang")
     return mining.pairs_from_completions(
-        completions, tb.word_vectors(spark, d), max_target_length=pr.MAX_TARGET_LENGTH,
+        completions, tb.word_vectors(spark, d), max_target_length=DEFAULTS.max_target_length,
         lexicon=tb.lexicon(spark, d), gazetteer=tb.names(spark, d),
     )
 
@@ -428,6 +432,22 @@ def f6_batch_metrics_hinge(spark, d):
     return _rounded(metrics, *mt.METRICS)
 
 
+def f6_step_metrics(spark, d):
+    """Documents as prompts in batches of four; log-probabilities only where a label exists."""
+    ids = table(spark, d, "documents", "doc_id").withColumnRenamed("doc_id", "prompt_id")
+    prompts = prep.align_to_batch(ids, "prompt_id", None, 4, 2)
+    pairs = materialise(text_to_pairs(spark, d))
+    labelled = table(spark, d, "labels", "doc_id", "quality", "toxic").withColumnRenamed("doc_id", "prompt_id")
+    logps = pairs.join(labelled, "prompt_id").select(
+        "prompt_id",
+        (-F.ln(2 + F.length("chosen"))).alias("policy_chosen"),
+        (-F.ln(3 + F.length("rejected"))).alias("policy_rejected"),
+        (-F.ln(4 + F.col("quality"))).alias("ref_chosen"),
+        (-F.ln(5 + F.col("toxic"))).alias("ref_rejected"),
+    )
+    return _rounded(steps.step_metrics(prompts, pairs, logps), *mt.METRICS)
+
+
 def f7_zero_pair_batches(spark, d):
     return f6_batch_metrics(spark, d).filter(F.col("valid_pairs_frac") == 0)
 
@@ -485,6 +505,16 @@ def g6_run_report_words(spark, d):
     return _report(tb.runs(spark, d), tb.word_vectors(spark, d), "en")
 
 
+def g6_report_on_outputs(spark, d):
+    """Raw outputs with echoed prompts; the role is the run."""
+    outputs = _echoed(spark, d).select(
+        F.col("role").alias("run"), F.col("turn").alias("sample_idx"),
+        F.col("text_before").alias("prompt"), F.col("output").alias("text"),
+    )
+    report = comparison.report_on_outputs(outputs, tb.word_vectors(spark, d), "user")
+    return _rounded(report, *_FIGURES, *[f + "_delta" for f in _FIGURES])
+
+
 # --- H: streams
 
 
