@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from pairmine.functions.vectors import NORM_FLOOR, round6
 from pairmine.schemas import require
+from pairmine.session import materialise
 
 BLOCK_ROWS = 4096
 # At most this many large groups are broadcast; beyond, they are joined by shuffle.
@@ -253,21 +254,20 @@ def _large_groups(
     lowest: bool,
     small: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    facts = hot.groupBy(*keys).agg(
-        F.count(F.when(F.col(vector).isNull(), 1)).alias("_missing"),
-        F.approx_count_distinct(F.xxhash64(vector)).alias("_distinct"),
+    # Copies of a vector are merged (before the shuffle already) and compared once. The distinct
+    # vectors are written: they are counted, dealt into blocks and joined back.
+    distinct = materialise(
+        hot.groupBy(*keys, vector).agg(F.min(id).alias("_rep"), F.count("*").alias("_copies"))
     )
-    facts = _prefixed(facts.filter(F.col("_missing") == 0), keys, "_f_")
-    # copies of a vector are merged (before the shuffle already) and compared once
-    distinct = (
-        hot.filter(F.col(vector).isNotNull())
-        .groupBy(*keys, vector)
-        .agg(F.min(id).alias("_rep"), F.count("*").alias("_copies"))
+    facts = distinct.groupBy(*keys).agg(
+        F.count("*").alias("_distinct"), F.count_if(F.col(vector).isNull()).alias("_missing")
     )
-    blocks = F.greatest(F.ceil(F.col("_distinct") / block_rows), F.lit(1)).cast("int")
+    facts = _prefixed(facts.filter(F.col("_missing") == 0), keys, "_f_")
+    # Larger blocks for very large groups, since each vector is sent once per block.
+    rows = F.least(F.greatest(F.col("_distinct") / 64, F.lit(block_rows)), F.lit(8 * block_rows))
     dealt = (
         distinct.join(small(facts), _matches(distinct, facts, keys, "_f_"), "inner")
-        .withColumn("_blocks", blocks)
+        .withColumn("_blocks", F.ceil(F.col("_distinct") / rows).cast("int"))
         .withColumn("_block", F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumn("_lo", F.least("_block", "_other"))

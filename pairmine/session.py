@@ -27,7 +27,10 @@ def build_session(app: str = "pairmine", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh folder only where none is set (tests)."""
+    """The cluster's ``spark.checkpoint.dir``.
+
+    Without one, the folder set on the context; a fresh local one only in local mode (tests).
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if configured:
@@ -35,6 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="pairmine-"))
     return context.getCheckpointDir()
 

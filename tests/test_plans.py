@@ -29,3 +29,27 @@ def test_completions_to_pairs(spark):
         completions, vectors, rules=lambda w: F.when(w == "tree", 1.0).otherwise(0.0)
     )
     assert {r.prompt_id: r.chosen for r in custom.collect()} == {1: "tree", 2: "tree"}
+
+
+def test_a_prompt_with_a_third_of_all_samples(spark):
+    """Split into blocks or not, the pairs are the same, and the large prompt has its own."""
+    completions = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 200 + 1).alias("prompt_id"),
+        F.col("id").cast("int").alias("sample_idx"),
+        F.concat(F.lit("say word"), F.col("id") % 1500).alias("text"),
+    )
+
+    def embed(words):
+        parts = [(F.xxhash64("word", F.lit(i)) % 1000 / 1000).cast("float") for i in range(8)]
+        return words.withColumn("embedding", F.array(*parts))
+
+    def rule(word):
+        return (F.xxhash64(word) % 2 == 0).cast("double")
+
+    found = [
+        sorted(map(tuple, mining.pairs_from_completions(completions, embed, rules=rule, block_rows=n).collect()))
+        for n in (100, 4096)
+    ]
+    assert found[0] == found[1]
+    assert found[0][0][0] == 0
+    assert len(found[0]) > 100
