@@ -39,10 +39,11 @@ def attach_embeddings(
     """Put the vector of each candidate beside it; NULL where there is none.
 
     ``embeddings`` has one row per distinct word. Where no such table exists, pass a function that
-    makes one: it gets the distinct words, so that a model sees each word once.
+    makes one: it gets the distinct words, and what it makes is written once, so that a model sees
+    each word a single time.
     """
     if callable(embeddings):
-        embeddings = embeddings(candidates.select(key).distinct())
+        embeddings = materialise(embeddings(candidates.select(key).distinct()))
     require(embeddings, key, vector)
     return candidates.join(embeddings.select(key, vector), key, "left")
 
