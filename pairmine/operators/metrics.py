@@ -122,6 +122,18 @@ def group_metrics(
     return terms.groupBy(*groups).agg(*_means(), fraction).fillna(0.0, list(METRICS))
 
 
+def step_window_metrics(
+    prompts: DataFrame,
+    step: str = "step",
+    every: int = DEFAULTS.logging_steps,
+    loss: str = "sigmoid",
+    beta: float = DEFAULTS.beta,
+) -> DataFrame:
+    """The nine metrics over tumbling windows of ``every`` steps, named by their first step."""
+    first = (F.floor(F.col(step) / every) * every).alias("first_step")
+    return group_metrics(prompts, first, loss, beta)
+
+
 def sample_pairs_log(
     pairs: DataFrame,
     order: list[str],

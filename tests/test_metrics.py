@@ -82,3 +82,11 @@ def test_sample_pairs_are_limited_before_the_shuffle(spark):
 def test_sequence_logps(spark):
     df = spark.createDataFrame([(1, -1.0, 0), (1, -2.0, 1), (2, -4.0, 0)], "s int, logp double, mask int")
     assert {r.s: r.sequence_logp for r in mt.sequence_logps(df, "s").collect()} == {1: -2.0, 2: 0.0}
+
+
+def test_step_windows(spark):
+    df = pairs(spark).withColumnRenamed("batch_id", "step")
+    got = {r.first_step: r for r in mt.step_window_metrics(df).collect()}
+    assert set(got) == {0, 50}
+    assert got[50].rewards_accuracy == 0.2
+    assert got[0].valid_pairs_frac == pytest.approx(2 / 3)

@@ -503,6 +503,21 @@ SELECT CAST(epoch(w) AS BIGINT) AS window_start, valid_pairs_frac,
        {', '.join(f'coalesce({m}, 0.0) AS {m}' for m in ('loss', 'rewards_chosen', 'rewards_rejected', 'rewards_accuracy', 'rewards_margins', 'logps_rejected', 'logps_chosen', 'logits'))}
 FROM shares LEFT JOIN means USING (w)"""
 
+    sql["h2_step_windows"] = f"""WITH {_terms(0.1)},
+shares AS (
+  SELECT l_orderkey // 10 * 10 AS first_step, {_r6('avg(CASE WHEN l_discount > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS valid_pairs_frac
+  FROM lineitem GROUP BY 1),
+means AS (
+  SELECT batch_id // 10 * 10 AS first_step, {mean('sigmoid', 'loss')}, {mean('reward_chosen', 'rewards_chosen')},
+         {mean('reward_rejected', 'rewards_rejected')},
+         {mean('CASE WHEN reward_chosen > reward_rejected THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END', 'rewards_accuracy')},
+         {mean('reward_chosen - reward_rejected', 'rewards_margins')}, {mean('pr', 'logps_rejected')},
+         {mean('pc', 'logps_chosen')}, {mean('logits', 'logits')}
+  FROM terms GROUP BY 1)
+SELECT first_step, valid_pairs_frac,
+       {', '.join(f'coalesce({m}, 0.0) AS {m}' for m in ('loss', 'rewards_chosen', 'rewards_rejected', 'rewards_accuracy', 'rewards_margins', 'logps_rejected', 'logps_chosen', 'logits'))}
+FROM shares LEFT JOIN means USING (first_step)"""
+
     sql["i1_write_pairs"] = f"""WITH {_PAIRS}
 SELECT CAST(prompt_id AS VARCHAR) AS prompt, chosen, rejected, CAST(prompt_id // 4 AS BIGINT) AS step FROM pairs"""
     sql["i2_write_metrics"] = sql["f6_batch_metrics"]

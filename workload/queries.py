@@ -564,6 +564,12 @@ def h2_step_metrics(spark, d):
     return _rounded(metrics.select(_seconds(), *mt.METRICS), *mt.METRICS)
 
 
+def h2_step_windows(spark, d):
+    """Orders as steps, ten to a window."""
+    prompts = tb.pair_logps(spark, d).withColumnRenamed("batch_id", "step")
+    return _rounded(mt.step_window_metrics(prompts), *mt.METRICS)
+
+
 # --- I: sinks
 
 
