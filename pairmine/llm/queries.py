@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmine.llm import imatch, lines, mixing, sharding
+from pairmine.llm import imatch, lines, mixing, sharding, simhash
 from pairmine.llm.common import whole, word_count
 from pairmine.session import materialise
 
@@ -37,6 +37,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sharding.sized(_table(spark, sf_dir, "documents"))
     slim = materialise(docs.select("doc_id", "source", "size", "text_crc32"))
@@ -52,5 +57,11 @@ def op9_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_imatch_fingerprints, op2_mix_sources, op3_line_dedup, op9_interleaved_shards)
+    found = (
+        op1_imatch_fingerprints,
+        op2_mix_sources,
+        op3_line_dedup,
+        op6_simhash_near_duplicates,
+        op9_interleaved_shards,
+    )
     return {f.__name__: f for f in found}
