@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmine.llm import imatch, lines, mixing, sharding, simhash
-from pairmine.llm.common import whole, word_count
+from pairmine.llm import decontam, html, imatch, langid, lines, mixing, ngram, quality, sharding, simhash
+from pairmine.llm.common import held_out, whole, word_count
 from pairmine.session import materialise
 
 
@@ -37,11 +37,43 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_extract_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("mark")
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 4))
+    model = langid.train(docs.filter(~F.col("held_out")))
+    told = langid.predict(docs.select("doc_id", "text", "held_out"), model)
+    return told.select(
+        "doc_id",
+        "held_out",
+        F.col("langid_pred").alias("lang_pred"),
+        F.col("langid_score").alias("score"),
+        F.col("langid_rejected").alias("rejected"),
+    )
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").filter(~held_out("doc_id", 4))
+    rated = quality.rate(
+        _table(spark, sf_dir, "documents"), labels.select("doc_id", F.col("quality").alias("label"))
+    )
+    return rated.select(
+        "doc_id", held_out("doc_id", 4).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op9_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sharding.sized(_table(spark, sf_dir, "documents"))
     slim = materialise(docs.select("doc_id", "source", "size", "text_crc32"))
@@ -56,12 +88,31 @@ def op9_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_trie_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ngram.train(docs.filter(~held_out("doc_id", 7)))
+    return ngram.score(docs, model).select(
+        "doc_id",
+        held_out("doc_id", 7).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_imatch_fingerprints,
         op2_mix_sources,
         op3_line_dedup,
+        op4_extract_main_text,
+        op5_decontaminate,
         op6_simhash_near_duplicates,
+        op7_language_id,
+        op8_quality_rules,
         op9_interleaved_shards,
+        op10_trie_language_model,
     )
     return {f.__name__: f for f in found}
