@@ -36,7 +36,7 @@ from pairmine.session import materialise
 WINDOW = 5
 SHARE = 0.8
 RUN_WORDS = 13
-MIN_LITERALS = 3
+MIN_LITERALS = 2
 CONSISTENT = 0.8
 FILTER_BITS = 22
 BROADCAST_WINDOWS = 100_000

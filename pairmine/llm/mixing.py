@@ -11,8 +11,7 @@ buckets by the leading digits of the key, and a bucket starts where the sums of
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a document of
 size 0 is never taken; rows that repeat a doc_id are ordered by size and otherwise alike; an empty table gives an
-empty table. Other columns of the input are carried along by ``mix`` unchanged; only the names that start with
-``mix_`` are its own, and clash with nothing else.
+empty table. Other columns of the input are carried along by ``mix`` unchanged; the names that start with ``mix_`` are its own.
 """
 
 from __future__ import annotations
@@ -111,8 +110,8 @@ def mix(
     left_over = F.round(F.col("mix_target") - whole_times * F.col("mix_source_size")).cast("long")
     starts = running_before(sums, "mix_bucket", "mix_sum", "mix_source")
     plan = starts.alias("s").join(targets.alias("t"), F.col("s.mix_source").eqNullSafe(F.col("t.mix_source"))).select(
-        F.col("s.mix_source").alias("plan_source"),
-        F.col("s.mix_bucket").alias("plan_bucket"),
+        F.col("s.mix_source").alias("mix_plan_source"),
+        F.col("s.mix_bucket").alias("mix_plan_bucket"),
         "mix_source_size",
         "mix_target",
         whole_times.cast("long").alias("mix_whole"),
@@ -125,11 +124,11 @@ def mix(
         dealt.withColumn("mix_prior", prior)
         .join(
             materialise(plan),
-            F.col("mix_source").eqNullSafe(F.col("plan_source")) & (F.col("mix_bucket") == F.col("plan_bucket")),
+            F.col("mix_source").eqNullSafe(F.col("mix_plan_source")) & (F.col("mix_bucket") == F.col("mix_plan_bucket")),
         )
         .withColumn("mix_part", part.cast("long"))
         .withColumn("mix_taken", F.col("mix_whole") * F.col("mix_size") + F.col("mix_part"))
-        .drop("plan_source", "plan_bucket", "mix_left", "mix_prior", "mix_key", "mix_bucket", "mix_source")
+        .drop("mix_plan_source", "mix_plan_bucket", "mix_left", "mix_prior", "mix_key", "mix_bucket", "mix_source")
     )
 
 

@@ -38,12 +38,12 @@ def interleave(
     rows = docs.withColumn("shard_hash", F.xxhash64(F.lit(seed), *key)).withColumn(
         "shard_bucket", F.floor(unit(F.col("shard_hash")) * F.lit(buckets))
     )
-    counts = materialise(rows.groupBy(F.col("source").alias("own"), F.col("shard_bucket").alias("b")).count())
-    sizes = counts.groupBy(F.col("own").alias("of")).agg(F.sum("count").alias("shard_of"))
-    starts = running_before(counts, "b", "count", "own")
+    counts = materialise(rows.groupBy(F.col("source").alias("shard_own"), F.col("shard_bucket").alias("shard_b")).count())
+    sizes = counts.groupBy(F.col("shard_own").alias("shard_source")).agg(F.sum("count").alias("shard_of"))
+    starts = running_before(counts, "shard_b", "count", "shard_own")
     starts = materialise(
-        starts.join(sizes, F.col("own").eqNullSafe(F.col("of"))).select(
-            "own", "b", F.col("before").alias("shard_before"), "shard_of"
+        starts.join(sizes, F.col("shard_own").eqNullSafe(F.col("shard_source"))).select(
+            "shard_own", "shard_b", F.col("before").alias("shard_before"), "shard_of"
         )
     )
     inside = Window.partitionBy("source", "shard_bucket").orderBy("shard_hash", "doc_id")
@@ -51,23 +51,25 @@ def interleave(
     place = (F.col("shard_before") + F.col("shard_in") - phase) / F.col("shard_of")
     placed = (
         rows.withColumn("shard_in", F.row_number().over(inside))
-        .join(starts, F.col("source").eqNullSafe(F.col("own")) & (F.col("shard_bucket") == F.col("b")))
+        .join(starts, F.col("source").eqNullSafe(F.col("shard_own")) & (F.col("shard_bucket") == F.col("shard_b")))
         .withColumn("shard_place", place)
         .withColumn("shard_piece", F.floor(F.col("shard_place") * F.lit(buckets)))
-        .drop("own", "b", "shard_in", "shard_before", "shard_of", "shard_bucket")
+        .drop("shard_own", "shard_b", "shard_in", "shard_before", "shard_of", "shard_bucket")
     )
     pieces = materialise(
-        running_before(placed.groupBy(F.col("shard_piece").alias("p")).count(), "p", "count").select("p", "before")
+        running_before(placed.groupBy(F.col("shard_piece").alias("shard_p")).count(), "shard_p", "count").select(
+            "shard_p", F.col("before").alias("shard_before")
+        )
     )
     order = Window.partitionBy("shard_piece").orderBy("shard_place", "source", "shard_hash", "doc_id")
-    at = F.col("before") + F.col("shard_in") - 1
+    at = F.col("shard_before") + F.col("shard_in") - 1
     return (
         placed.withColumn("shard_in", F.row_number().over(order))
-        .join(pieces, F.col("shard_piece") == F.col("p"))
+        .join(pieces, F.col("shard_piece") == F.col("shard_p"))
         .withColumn("shard_at", at)
         .withColumn("shard_no", F.expr(f"int(shard_at * {shards} div {total or 1})"))
         .withColumn("shard_slot", F.expr(f"shard_at - (shard_no * {total}L + {shards - 1}) div {shards}"))
-        .drop("p", "before", "shard_in", "shard_piece", "shard_place", "shard_hash", "shard_at")
+        .drop("shard_p", "shard_before", "shard_in", "shard_piece", "shard_place", "shard_hash", "shard_at")
     )
 
 
