@@ -191,8 +191,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     met = doc_side.join(item_side, ["item_hash", "size"]).filter(F.col("template") == F.col("item_template"))
     key = ["doc_id", "mark", "item_id", "item_mark", "item_words", "item_windows", "size"]
+    # Rows that repeat others on either side are met once.
     met = materialise(
-        met.select(*key, "item_at", (F.col("at") - F.col("item_at")).alias("line"), "values", "item_values")
+        met.select(*key, "item_at", (F.col("at") - F.col("item_at")).alias("line"), "values", "item_values").distinct()
     )
     line = [*key, "line"]
     order = Window.partitionBy(*line).orderBy("item_at")
