@@ -311,5 +311,5 @@ def max_sim_diversity(
     profile = similarity_profile(df, group, id, vector, lowest=score is not None, **options)
     highest = F.col("max_sim")
     value = 1 - highest if score is None else score(highest, F.col("min_positive_sim"))
-    value = F.when(highest.isNull(), F.lit(0.0)).otherwise(round6(value))
+    value = F.when(highest.isNull(), F.lit(0.0)).otherwise(F.coalesce(round6(value), F.lit(0.0)))
     return profile.withColumn("diversity", value).drop("max_sim", "min_positive_sim")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pairmine.operators.diversity import group_columns
 from pairmine.schemas import require
 from pairmine.session import materialise
-from pairmine.settings import DEFAULTS
 
 # Fixed value: the score from which a candidate is good.
 GOOD_FROM = 1.0
@@ -32,9 +31,10 @@ def _tie_order(tie: str, keys: list[str], idx: str, word: str, seed: int) -> lis
 def _picks(keys: list[str], idx: str, word: str, tie: str, seed: int, threshold: float):
     good = F.coalesce(F.col("quality"), F.lit(0.0)) >= threshold
     order = _tie_order(tie, keys, idx, word, seed)
-    value = F.struct(F.col(word).alias("word"), F.col(idx).alias("idx"), F.col("diversity").alias("diversity"))
-    chosen = F.min_by(value, F.when(good, F.struct(-F.col("diversity"), *order)))
-    rejected = F.min_by(value, F.when(~good, F.struct(F.col("diversity"), *order)))
+    diversity = F.coalesce(F.col("diversity"), F.lit(0.0))  # a missing one wins over none
+    value = F.struct(F.col(word).alias("word"), F.col(idx).alias("idx"), diversity.alias("diversity"))
+    chosen = F.min_by(value, F.when(good, F.struct(-diversity, *order)))
+    rejected = F.min_by(value, F.when(~good, F.struct(diversity, *order)))
     return chosen, rejected
 
 
@@ -112,18 +112,18 @@ def mine_pairs(
 
 def max_target_filter(
     pairs: DataFrame,
-    longest: int = DEFAULTS.max_target_length,
-    chosen_tokens: Column | None = None,
-    rejected_tokens: Column | None = None,
+    longest: int,
+    chosen_tokens: Column,
+    rejected_tokens: Column,
 ) -> DataFrame:
     """Keep pairs whose sides both have at most ``longest`` tokens.
 
-    The token counts are columns from the user's tokenizer. Without them the number of characters
-    stands in, which is never smaller than the number of tokens of a plain word.
+    The token counts are columns from the user's tokenizer; a missing count stops the job, since
+    neither keeping nor dropping the pair would be right.
     """
-    chosen = F.length("chosen") if chosen_tokens is None else chosen_tokens
-    rejected = F.length("rejected") if rejected_tokens is None else rejected_tokens
-    return pairs.filter((chosen <= longest) & (rejected <= longest))
+    missing = F.raise_error(F.lit("a picked word has no token count")).cast("boolean")
+    counted = chosen_tokens.isNotNull() & rejected_tokens.isNotNull()
+    return pairs.filter(F.when(counted, (chosen_tokens <= longest) & (rejected_tokens <= longest)).otherwise(missing))
 
 
 def pair_audit(

@@ -80,7 +80,7 @@ def align_to_batch(
         rows = cut.transform(rows)
     else:
         rows = rows.withColumn("_range", F.lit(0.0))
-    counted = rows.groupBy("_range").agg(F.count("*").alias("n"), F.count("_pos").alias("keyed"))
+    counted = rows.groupBy("_range").agg(F.count("*").alias("n"), F.count(F.when(~F.isnan("_pos"), 1)).alias("keyed"))
     found = counted.collect()
     if any(r["n"] != r["keyed"] for r in found):
         raise ValueError(f"key {key!r} has missing values")

@@ -1,9 +1,9 @@
 """Rule-based quality of candidate words.
 
 The word lists (lexicon, names, common words, tags) are tables with one row per word; lexicon and
-names are folded into one table first, so that candidates are joined once. No join is forced
-to broadcast: Spark broadcasts a word table while its measured size allows it and otherwise joins by
-shuffle, where adaptive skew handling splits popular words.
+names are folded into one table first, so that candidates are joined once. The facts are written before they are
+joined: Spark broadcasts them while their size allows it, and otherwise both sides of the join are plain
+shuffles, which adaptive execution can split at popular words (it cannot if a side comes straight from an aggregate).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pairmine.functions import text as tx
 from pairmine.schemas import require
+from pairmine.session import materialise
 
 # The part of speech and the tags the rules ask for.
 NOUN = "n"
@@ -33,7 +34,7 @@ def _only(df: DataFrame, word: str, value: str, what: str) -> DataFrame:
 
 
 def _attach(df: DataFrame, facts: DataFrame, key: Column) -> DataFrame:
-    return df.join(facts, key == F.col("_word"), "left").drop("_word")
+    return df.join(materialise(facts), key == F.col("_word"), "left").drop("_word")
 
 
 def lexicon_noun(
@@ -44,7 +45,8 @@ def lexicon_noun(
     The lexicon holds surface forms; inflected forms must be listed themselves.
     """
     require(lexicon, "word", "first_pos")
-    facts = _only(lexicon, "word", "first_pos", "the lexicon").select(
+    lowered = lexicon.withColumn("word", F.lower("word"))
+    facts = _only(lowered, "word", "first_pos", "the lexicon").select(
         F.col("word").alias("_word"), (F.col("first_pos") == NOUN).alias("_noun")
     )
     key = F.lower(tx.trim_space(F.col(word)))
@@ -61,7 +63,8 @@ def not_in_gazetteer(
     df: DataFrame, gazetteer: DataFrame, word: str = "word", out: str = "not_a_name"
 ) -> DataFrame:
     """Is the word absent from the known names? Rows are flagged, none is dropped."""
-    return _flag(df, gazetteer, word, "_known").withColumn(out, ~F.col("_known")).drop("_known")
+    lowered = gazetteer.select(F.lower("word").alias("word"))
+    return _flag(df, lowered, word, "_known").withColumn(out, ~F.col("_known")).drop("_known")
 
 
 def in_common_vocab(
@@ -94,8 +97,9 @@ def word_facts(lexicon: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Lexicon and names as one table: ``word, first_pos, is_name``."""
     require(lexicon, "word", "first_pos")
     no_pos, no_name = F.lit(None).cast("string"), F.lit(None).cast("boolean")
-    union = lexicon.select("word", "first_pos", no_name.alias("is_name")).unionByName(
-        gazetteer.select("word", no_pos.alias("first_pos"), F.lit(True).alias("is_name"))
+    lowered = F.lower("word").alias("word")
+    union = lexicon.select(lowered, "first_pos", no_name.alias("is_name")).unionByName(
+        gazetteer.select(lowered, no_pos.alias("first_pos"), F.lit(True).alias("is_name"))
     )
     twice = F.raise_error(F.concat(F.lit("the lexicon lists this word twice: "), F.col("word")))
     return union.groupBy("word").agg(

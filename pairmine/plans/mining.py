@@ -42,6 +42,7 @@ def pairs_from_completions(
     completions: DataFrame,
     embeddings: DataFrame | Callable[[DataFrame], DataFrame],
     max_target_length: int | None = None,
+    token_count: Callable[[Column], Column] | None = None,
     tie: str = "first",
     seed: int = 0,
     **scoring,
@@ -50,9 +51,14 @@ def pairs_from_completions(
 
     The unique candidates are written to the shared folder once: they are far smaller than the
     completions, and counting large groups and scoring both start from them, so the text is read
-    only one time.
+    only one time. A length limit counts tokens: ``token_count`` gives the number for a word, from the
+    tokenizer that is trained with.
     """
+    if max_target_length is not None and token_count is None:
+        raise ValueError("max_target_length counts tokens and needs token_count")
     candidates = materialise(unique_candidates(completions))
     scored = score_candidates(candidates, embeddings, **scoring)
     pairs = pr.mine_pairs(scored, tie=tie, seed=seed)
-    return pairs if max_target_length is None else pr.max_target_filter(pairs, max_target_length)
+    if max_target_length is None:
+        return pairs
+    return pr.max_target_filter(pairs, max_target_length, token_count(pairs["chosen"]), token_count(pairs["rejected"]))

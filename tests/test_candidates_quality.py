@@ -119,3 +119,34 @@ def test_pandas_udf_as_rule(spark):
 
     got = ql.quality_score(words(spark, "aa", "b"), rule).collect()
     assert {r.word: r.quality for r in got} == {"aa": 1.0, "b": 0.0}
+
+
+def test_popular_word_is_split(spark):
+    """95 % of the rows have one word; without broadcasts the join must be a skewed one."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        word = F.when(F.col("id") % 20 != 0, "rose").otherwise(F.concat(F.lit("w"), F.col("id") % 500))
+        df = spark.range(0, 400_000, 1, 8).select(F.col("id").alias("sample_idx"), word.alias("word"))
+        lexicon = df.select("word").distinct().withColumn("first_pos", F.lit("n"))
+        flagged = ql.lexicon_noun(df, lexicon)
+        flagged.write.format("noop").mode("overwrite").save()
+        flagged.collect()
+        assert "skew=true" in flagged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_lists_may_be_written_in_capitals(spark):
+    df = spark.createDataFrame([("rose",), ("Tulip",)], "word string")
+    names = spark.createDataFrame([("Rose",)], "word string")
+    assert [r.not_a_name for r in ql.not_in_gazetteer(df, names).orderBy("word").collect()] == [True, False]

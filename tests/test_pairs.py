@@ -55,8 +55,18 @@ def test_seeded_ties_do_not_depend_on_the_spread_of_rows(spark):
 
 def test_max_target_filter(spark):
     pairs = spark.createDataFrame([("short", "also"), ("much too long", "x"), ("x", "much too long")], "chosen string, rejected string")
-    assert [r.chosen for r in pr.max_target_filter(pairs).collect()] == ["short"]
+    tokens = [F.size(F.split(side, " ")) for side in ("chosen", "rejected")]
+    assert [r.chosen for r in pr.max_target_filter(pairs, 2, *tokens).collect()] == ["short"]
     assert pr.max_target_filter(pairs, 3, F.lit(3), F.lit(3)).count() == 3
+    with pytest.raises(Exception, match="no token count"):
+        pr.max_target_filter(pairs, 3, F.lit(None).cast("int"), F.lit(3)).collect()
+
+
+def test_missing_diversity_does_not_win(spark):
+    rows = [(1, 0, "a", 1.0, None), (1, 1, "b", 1.0, 0.9), (1, 2, "c", 0.0, 0.3), (1, 3, "d", 0.0, None)]
+    df = spark.createDataFrame(rows, "prompt_id long, sample_idx int, word string, quality double, diversity double")
+    got = pr.mine_pairs(df).first()
+    assert (got.chosen, got.rejected, got.rejected_diversity) == ("b", "d", 0.0)
 
 
 def test_pair_audit(spark):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from workload.queries import BASE_PROMPTS, COMMON_WORDS, PROMPT_LENGTH
-from workload.tables import WORD_VECTORS
+from workload.tables import MAX_TOKENS, VOWELS, WORD_VECTORS
 
 _STRIP = """'.,;:!?"''()[]{}<>'"""
 
@@ -98,6 +98,10 @@ _PICKS = f"""{_DIVERSE},
 {_pick('rejected', 'prompt_id', 'diverse')}"""
 _PAIRS = f"{_PICKS}, pairs AS (SELECT * FROM chosen_pick JOIN rejected_pick USING (prompt_id))"
 
+def _tokens(word: str) -> str:
+    return f"(len(regexp_extract_all({word}, '{VOWELS}')) + 1)"
+
+
 _WORD_NUMBER = f"(ascii(word) * 31 + ascii(right(word, 1)) * 17 + length(word) * 101) % {WORD_VECTORS}"
 
 
@@ -408,7 +412,7 @@ FROM scored_words JOIN audit USING (prompt_id)"""
     sql["text_to_pairs"] = f"""WITH {_SCORED_WORDS},
 {_pick('chosen', 'prompt_id', 'scored_words')}, {_pick('rejected', 'prompt_id', 'scored_words')}
 SELECT * FROM chosen_pick JOIN rejected_pick USING (prompt_id)
-WHERE length(chosen) <= 10 AND length(rejected) <= 10"""
+WHERE {_tokens('chosen')} <= {MAX_TOKENS} AND {_tokens('rejected')} <= {MAX_TOKENS}"""
 
     sql["f1_sequence_logp"] = f"""
 SELECT l_orderkey, {_r6("sum(CASE WHEN l_returnflag <> 'R' THEN -l_discount ELSE 0 END)")} AS sequence_logp
@@ -436,7 +440,7 @@ logps AS (
   SELECT prompt_id, -ln(2 + length(chosen)) AS pc, -ln(3 + length(rejected)) AS pr,
          -ln(4 + l.quality) AS rc, -ln(5 + l.toxic) AS rr
   FROM chosen_pick JOIN rejected_pick USING (prompt_id) JOIN labels l ON l.doc_id = prompt_id
-  WHERE length(chosen) <= 10 AND length(rejected) <= 10),
+  WHERE {_tokens('chosen')} <= {MAX_TOKENS} AND {_tokens('rejected')} <= {MAX_TOKENS}),
 numbered AS (
   SELECT doc_id AS prompt_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS total FROM documents),
 aligned AS (SELECT prompt_id, idx // 4 AS batch_id FROM numbered WHERE idx < total // 8 * 8),

@@ -374,7 +374,8 @@ def text_to_pairs(spark, d):
     """The whole way from completions to pairs within the length limit."""
     completions = tb.completions(spark, d).drop("lang")
     return mining.pairs_from_completions(
-        completions, tb.word_vectors(spark, d), max_target_length=DEFAULTS.max_target_length,
+        completions, tb.word_vectors(spark, d), max_target_length=tb.MAX_TOKENS,
+        token_count=lambda word: F.regexp_count(word, F.lit(tb.VOWELS)) + 1,
         lexicon=tb.lexicon(spark, d), gazetteer=tb.names(spark, d),
     )
 

@@ -13,6 +13,9 @@ from pairmine.sources.tables import table
 
 # Number of vectors that derived words are mapped to (present at every scale).
 WORD_VECTORS = 500
+# Tokens of a word in the length limit: its vowel groups and one more.
+VOWELS = "[aeiouyàâäéèêëîïôöùûü]+"
+MAX_TOKENS = 4
 
 
 def prompts(spark: SparkSession, d: str) -> DataFrame:
