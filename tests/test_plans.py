@@ -23,7 +23,9 @@ def test_completions_to_pairs(spark):
     assert [(r.prompt_id, r.chosen, r.chosen_idx, r.rejected, r.rejected_idx) for r in got.collect()] == [
         (1, "sea", 1, "rose", 5)
     ]
-    short = mining.pairs_from_completions(completions, vectors, 3, lexicon=lexicon, gazetteer=names)
+    short = mining.pairs_from_completions(
+        completions, vectors, 3, F.length, lexicon=lexicon, gazetteer=names
+    )
     assert short.count() == 0
     custom = mining.pairs_from_completions(
         completions, vectors, rules=lambda w: F.when(w == "tree", 1.0).otherwise(0.0)
