@@ -103,6 +103,16 @@ def _sequences(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tupl
         yield rows, np.concatenate(parts), np.array(lengths)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and the place of each value among them. For values that repeat: only distinct ones are sorted."""
+    encoded = pa.array(values).dictionary_encode()
+    found = encoded.dictionary.to_numpy()
+    order = np.argsort(found)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return found[order], rank[encoded.indices.to_numpy()]
+
+
 def _find(level: tuple[Range, ...], keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Places on a level of sorted values, whose sorted ``keys`` tell the range; -1 for none."""
     found = np.full(len(values), -1, dtype=np.int64)
@@ -114,30 +124,46 @@ def _find(level: tuple[Range, ...], keys: np.ndarray, values: np.ndarray) -> np.
     return found
 
 
+def _split(level: tuple[Range, ...], values: np.ndarray, by_context: bool) -> Iterator[tuple[Range, np.ndarray]]:
+    """Each range that holds any of the values (contexts, or places on the level), with where those values stand."""
+    begins = np.array([p.first if by_context else p.before for p in level], dtype=np.int64)
+    ends = np.array([p.last + 1 if by_context else p.before + p.n for p in level], dtype=np.int64)
+    owner = (np.searchsorted(begins, values, side="right") - 1).astype(np.int16 if len(level) < 2**15 else np.int64)
+    order = np.argsort(owner, kind="stable") if len(level) > 1 else np.arange(len(values))
+    cuts = np.searchsorted(owner[order], np.arange(len(level) + 1)) if len(level) > 1 else (0, len(values))
+    for i, part in enumerate(level):
+        at = order[cuts[i] : cuts[i + 1]]
+        at = at[(values[at] >= begins[i]) & (values[at] < ends[i])]
+        if len(at):
+            yield part, at
+
+
 def _take(level: tuple[Range, ...], places: np.ndarray, table: str) -> np.ndarray:
     """What a level has in ``table`` at the given places."""
     found = np.zeros(len(places))
-    order = np.argsort(places, kind="stable")
-    ranked = places[order]
-    for part in level:
-        lo, hi = np.searchsorted(ranked, part.before), np.searchsorted(ranked, part.before + part.n)
-        if lo < hi:
-            arrays = map_arrays(part.path)
-            found[order[lo:hi]] = arrays[f"{table}.table"][arrays[f"{table}.code"][ranked[lo:hi] - part.before]]
+    for part, at in _split(level, places, by_context=False):
+        arrays = map_arrays(part.path)
+        found[at] = arrays[f"{table}.table"][arrays[f"{table}.code"][places[at] - part.before]]
     return found
 
 
-def _of_context(level: tuple[Range, ...], contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted contexts: the first successor's place on the level, and log10 of the weight of the shorter context."""
-    first, weight = np.zeros(len(contexts), dtype=np.int64), np.zeros(len(contexts))
-    for part in level:
-        lo, hi = np.searchsorted(contexts, part.first), np.searchsorted(contexts, part.last, side="right")
-        if lo < hi:
-            arrays = map_arrays(part.path)
-            own = contexts[lo:hi] - part.first
-            first[lo:hi] = Ascending.of_parts(group(arrays, "p.")).access(own) + part.before
-            weight[lo:hi] = arrays["w.table"][arrays["w.code"][own]]
-    return first, weight
+def _first_of(level: tuple[Range, ...], contexts: np.ndarray) -> np.ndarray:
+    """The place of each context's first successor on the level."""
+    distinct, back = _distinct(contexts)
+    first = np.zeros(len(distinct), dtype=np.int64)
+    for part, at in _split(level, distinct, by_context=True):
+        pointers = Ascending.of_parts(group(map_arrays(part.path), "p."))
+        first[at] = pointers.access(distinct[at] - part.first) + part.before
+    return first[back]
+
+
+def _weight_of(level: tuple[Range, ...], contexts: np.ndarray) -> np.ndarray:
+    """log10 of the weight that each context leaves to the shorter one; 0 for a context without successors."""
+    weight = np.zeros(len(contexts))
+    for part, at in _split(level, contexts, by_context=True):
+        arrays = map_arrays(part.path)
+        weight[at] = arrays["w.table"][arrays["w.code"][contexts[at] - part.first]]
+    return weight
 
 
 def _places(model: Model, hashes: np.ndarray, levels: int) -> list[np.ndarray]:
@@ -145,7 +171,7 @@ def _places(model: Model, hashes: np.ndarray, levels: int) -> list[np.ndarray]:
 
     N-grams over the border of two rows are found too; whoever asks knows the rows and skips them.
     """
-    words, back = np.unique(hashes, return_inverse=True)
+    words, back = _distinct(hashes)
     found = [_find(model.levels[0], words, words)[back]]
     for k in range(2, levels + 1):
         context = np.concatenate([[-1], found[-1][:-1]])
@@ -164,9 +190,7 @@ def _codes(model: Model, found: list[np.ndarray], context: np.ndarray, k: int) -
     fits = np.flatnonzero((context >= 0) & (last >= 0))
     successor = last[fits]
     if k > 2:  # relative to the words between: its place among those that follow them
-        between = found[-2][fits - 1]
-        distinct, back = np.unique(between, return_inverse=True)
-        successor = successor - _of_context(model.levels[k - 2], distinct)[0][back]
+        successor = successor - _first_of(model.levels[k - 2], found[-2][fits - 1])
     return context[fits] * model.widths[k - 1] + successor, fits
 
 
@@ -259,26 +283,19 @@ def _shorter(model: Model, k: int, contexts: np.ndarray, successors: np.ndarray)
         return np.log10(_take(model.levels[0], successors, "c") + 1.0) + model.log_unit
     # The context's own last word as an n-gram: its code on its level names the words between and the last one.
     level = model.levels[k - 2]
-    between = _between(model, k, contexts)
-    distinct, back = np.unique(between, return_inverse=True)
-    return _take(level, _of_context(level, distinct)[0][back] + successors, "l")
+    return _take(level, _first_of(level, _between(model, k, contexts)) + successors, "l")
 
 
 def _between(model: Model, k: int, contexts: np.ndarray) -> np.ndarray:
     """The place on level k - 2 of each context (a place on level k - 1) without its first word."""
     level, width = model.levels[k - 2], model.widths[k - 2]
     codes = np.zeros(len(contexts), dtype=np.int64)
-    order = np.argsort(contexts, kind="stable")
-    ranked = contexts[order]
-    for part in level:
-        lo, hi = np.searchsorted(ranked, part.before), np.searchsorted(ranked, part.before + part.n)
-        if lo < hi:
-            codes[order[lo:hi]] = Ascending.of_parts(group(map_arrays(part.path), "s.")).access(ranked[lo:hi] - part.before)
+    for part, at in _split(level, contexts, by_context=False):
+        codes[at] = Ascending.of_parts(group(map_arrays(part.path), "s.")).access(contexts[at] - part.before)
     if k == 3:
         return codes % width
     above = _between(model, k - 1, codes // width)
-    distinct, back = np.unique(above, return_inverse=True)
-    return _of_context(model.levels[k - 3], distinct)[0][back] + codes % width
+    return _first_of(model.levels[k - 3], above) + codes % width
 
 
 def _discounts(counts_of_counts: list[int]) -> tuple[float, ...]:
@@ -328,8 +345,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for k in range(2, len(model.levels) + 1):
                 context = np.concatenate([[-1], found[k - 2][:-1]])
                 inside = at >= k - 1
-                distinct, back = np.unique(context, return_inverse=True)
-                weight = _of_context(model.levels[k - 1], distinct)[1][back]
+                weight = _weight_of(model.levels[k - 1], context)
                 best = np.where(inside & (context >= 0), best + weight, best)
                 here = np.flatnonzero(inside & (found[k - 1] >= 0))
                 best[here] = _take(model.levels[k - 1], found[k - 1][here], "l")
