@@ -80,16 +80,28 @@ class Ascending:
         place = word * 64 + _select_in_word(self.high[word], at - self.ones[word])
         return (((place - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)).astype(np.int64)
 
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """The place of the first number that is not below each value; n if there is none."""
-        values = np.asarray(values, dtype=np.uint64)
+    def _next_zero(self, place: np.ndarray) -> np.ndarray:
+        """The place of the first zero after each place; the sequence ends in zeros."""
+        place = place + 1
+        word = place >> 6
+        rest = ~self.high[word] >> (place & 63).astype(np.uint64)
+        found = place + np.bitwise_count((rest & -rest) - _ONE)
+        far = np.flatnonzero(rest == 0)
+        if len(far):  # none left in the word: the first one counted after it
+            found[far] = self._select_zero(self.zeros[word[far] + 1])
+        return found
+
+    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per value, the place of the first number not below it, the end of the numbers that share its high
+        bits, and its low bits."""
         top = (values >> np.uint64(self.low_bits)).astype(np.int64)
         last = int(self.zeros[-1]) + int(np.bitwise_count(~self.high[-1:])[0]) - 1
         beyond = top > last
         top = np.minimum(top, last)
-        lo = np.where(top > 0, self._select_zero(np.maximum(top - 1, 0)) - top + 1, 0)
-        hi = np.minimum(self._select_zero(top) - top, self.n)
-        lo = np.minimum(lo, hi)
+        before = np.where(top > 0, self._select_zero(np.maximum(top - 1, 0)), -1)
+        end = np.minimum(self._next_zero(before) - top, self.n)
+        lo = np.minimum(before - top + 1, end)
+        hi = end.copy()
         want = values & np.uint64((1 << self.low_bits) - 1)
         active = np.flatnonzero(lo < hi)
         while len(active):
@@ -98,15 +110,22 @@ class Ascending:
             lo[active] = np.where(less, mid + 1, lo[active])
             hi[active] = np.where(less, hi[active], mid)
             active = active[lo[active] < hi[active]]
-        return np.where(beyond, self.n, lo)
+        return np.where(beyond, self.n, lo), np.where(beyond, 0, end), want
+
+    def successor(self, values: np.ndarray) -> np.ndarray:
+        """The place of the first number that is not below each value; n if there is none."""
+        return self._search(np.asarray(values, dtype=np.uint64))[0]
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The place of each value, or -1."""
+        found = np.full(len(values), -1, dtype=np.int64)
         if not self.n or not len(values):
-            return np.full(len(values), -1, dtype=np.int64)
-        at = self.successor(values)
-        safe = np.minimum(at, self.n - 1)
-        return np.where((at < self.n) & (self.access(safe) == np.asarray(values, dtype=np.int64)), safe, -1)
+            return found
+        at, end, want = self._search(np.asarray(values, dtype=np.uint64))
+        inside = np.flatnonzero(at < end)
+        inside = inside[self._low(at[inside]) == want[inside]]
+        found[inside] = at[inside]
+        return found
 
     def parts(self) -> dict[str, np.ndarray]:
         return {"shape": np.array([self.n, self.low_bits]), "low": self.low, "high": self.high, "zeros": self.zeros}

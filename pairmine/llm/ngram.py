@@ -89,7 +89,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tupl
             found = text.as_py().encode("utf-8").translate(_LOWER).split()
             part = np.empty(len(found) + 2, dtype=np.int64)
             part[0] = part[-1] = END
-            part[1:-1] = [known[w] for w in found]
+            part[1:-1] = np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))
             parts.append(part)
             lengths.append(len(part))
             size += len(part)
