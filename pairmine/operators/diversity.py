@@ -84,20 +84,29 @@ def _profile_task(
             high_b, low_b = np.full(len(b), -np.inf), np.full(len(b), np.inf)
             if len(a) == 0 or len(b) == 0:
                 return high_a, low_a, high_b, low_b
+            mirrored = same or similarity is None
             for start in range(0, len(a), chunk):
                 rows = slice(start, start + chunk)
                 sims = compare(a[rows], b)
                 if same:
                     own = np.arange(len(sims))
                     sims[own, own + start] = -np.inf
-                else:
+                elif mirrored:
                     high_b = np.maximum(high_b, sims.max(axis=0))
                 high_a[rows] = sims.max(axis=1)
                 if lowest:
                     sims[sims <= 0] = np.inf
                     low_a[rows] = sims.min(axis=1)
-                    if not same:
+                    if not same and mirrored:
                         low_b = np.minimum(low_b, sims.min(axis=0))
+            if not mirrored:  # a plug-in need not be symmetric: the other rows are asked on their own
+                for start in range(0, len(b), chunk):
+                    rows = slice(start, start + chunk)
+                    sims = compare(b[rows], a)
+                    high_b[rows] = sims.max(axis=1)
+                    if lowest:
+                        sims[sims <= 0] = np.inf
+                        low_b[rows] = sims.min(axis=1)
             return high_a, low_a, high_b, low_b
 
         def with_copies(rows, copies, high, low):
@@ -108,7 +117,7 @@ def _profile_task(
                 own = np.array([compare(rows[[i]], rows[[i]])[0, 0] for i in places])
                 high[again] = np.maximum(high[again], own)
                 if lowest:
-                    low[again] = np.minimum(low[again], np.where(own > 0, own, np.inf))
+                    low[again] = np.minimum(low[again], np.where(own <= 0, np.inf, own))
 
         def profiles(table, bounds):
             column = table.column(vector).combine_chunks()
@@ -116,21 +125,21 @@ def _profile_task(
             high, low = np.full(table.num_rows, -np.inf), np.full(table.num_rows, np.inf)
             present = int((~missing).sum())
             if present:
-                flat = column.flatten().to_numpy(zero_copy_only=False)
-                rows = flat.reshape(present, -1).astype(np.float64)
-                if similarity is None:
-                    norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
-                    rows /= np.maximum(norms, floor)[:, None]
-                place = np.cumsum(~missing) - 1
+                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                begin = np.concatenate([[0], np.cumsum(sizes)])
                 dealt = "_block" in table.column_names
                 if dealt:
                     block, lo = numbers(table.column("_block")), numbers(table.column("_lo"))
                     hi, copies = numbers(table.column("_hi")), numbers(table.column("_copies"))
                 for first, last in zip(bounds[:-1], bounds[1:]):
-                    if missing[first:last].any():
-                        continue  # one missing vector leaves the whole group without scores
-                    mine = rows[place[first] : place[first] + last - first]
-                    span = slice(first, last)
+                    span, size = slice(first, last), sizes[first]
+                    if missing[span].any() or size == 0 or (sizes[span] != size).any():
+                        continue  # one vector that is missing or of another length leaves the group without scores
+                    mine = flat[begin[first] : begin[last]].reshape(last - first, size)
+                    if similarity is None:
+                        norms = np.sqrt(np.einsum("ij,ij->i", mine, mine))
+                        mine = mine / np.maximum(norms, floor)[:, None]
                     if not dealt or lo[first] == hi[first]:
                         h, m, _, _ = extremes(mine, mine, True)
                         if dealt:
@@ -211,11 +220,12 @@ def similarity_profile(
     """Per candidate: ``max_sim`` and ``min_positive_sim`` to all *other* candidates of its group.
 
     Takes the place of the table of all ordered pairs: every pair is compared, none is emitted.
-    NULL stands for no partner, no positive similarity, or a group in which a vector is missing.
+    NULL stands for no partner, no positive similarity, or a group in which a vector is missing, empty or
+    of another length. A similarity that is not a number makes both figures of its candidates NaN.
     The columns of ``df`` stay, except the vector. ``id`` is unique within its group.
 
     ``similarity(a, b)`` may replace the cosine: it gets two numpy blocks of vectors and returns
-    the matrix of similarities. ``group_sizes`` may name a cheaper table to count groups on.
+    the matrix of similarities of each row of ``a`` to each of ``b``; it need not be symmetric. ``group_sizes`` may name a cheaper table to count groups on.
     ``lowest=False`` leaves ``min_positive_sim`` out (NULL), which halves the work.
 
     One pass over the group columns runs at once, to find groups above ``block_rows``.
@@ -261,9 +271,13 @@ def _large_groups(
         hot.groupBy(*keys, vector).agg(F.min(id).alias("_rep"), F.count("*").alias("_copies"))
     )
     facts = distinct.groupBy(*keys).agg(
-        F.count("*").alias("_distinct"), F.count_if(F.col(vector).isNull()).alias("_missing")
+        F.count("*").alias("_distinct"),
+        F.count_if(F.col(vector).isNull()).alias("_missing"),
+        F.min(F.size(vector)).alias("_shortest"),
+        F.max(F.size(vector)).alias("_longest"),
     )
-    facts = _prefixed(facts.filter(F.col("_missing") == 0), keys, "_f_")
+    whole = (F.col("_missing") == 0) & (F.col("_shortest") == F.col("_longest")) & (F.col("_shortest") > 0)
+    facts = _prefixed(facts.filter(whole), keys, "_f_")
     # Larger blocks for very large groups, since each vector is sent once per block.
     rows = F.least(F.greatest(F.col("_distinct") / 64, F.lit(block_rows)), F.lit(8 * block_rows))
     dealt = (
@@ -278,8 +292,10 @@ def _large_groups(
     tasks = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = [*keys, "_lo", "_hi"]
     parts = _run_tasks(dealt, pieces, vector, [*keys, "_rep"], similarity, lowest, tasks)
+    undefined = F.bool_or(F.isnan("min_positive_sim"))  # one NaN makes the result NaN, as within a block
     whole = parts.groupBy(*keys, "_rep").agg(
-        F.max("max_sim").alias("max_sim"), F.min("min_positive_sim").alias("min_positive_sim")
+        F.max("max_sim").alias("max_sim"),
+        F.when(undefined, F.lit(float("nan"))).otherwise(F.min("min_positive_sim")).alias("min_positive_sim"),
     )
     whole = _prefixed(whole.withColumnRenamed("_rep", "_w_rep"), keys, "_w_")
     of_rep = _matches(distinct, whole, keys, "_w_") & (distinct["_rep"] == whole["_w_rep"])
@@ -304,7 +320,7 @@ def max_sim_diversity(
     """Add ``diversity`` = 1 − the highest similarity to another candidate; between 0 and 2.
 
     0 for the only candidate of a group and for every candidate of a group in which a vector is
-    missing. Rounded to six places, so that summation order cannot decide a ranking. The vector
+    missing, empty or of another length. Rounded to six places, so that summation order cannot decide a ranking. The vector
     column is dropped. ``score(max_sim, min_positive_sim)`` may replace the formula; ``options`` go
     to :func:`similarity_profile`.
     """

@@ -129,15 +129,20 @@ def step_window_metrics(
     loss: str = "sigmoid",
     beta: float = DEFAULTS.beta,
 ) -> DataFrame:
-    """The nine metrics over tumbling windows of ``every`` steps, named by their first step."""
-    first = (F.floor(F.col(step) / every) * every).alias("first_step")
-    return group_metrics(prompts, first, loss, beta)
+    """The nine metrics over tumbling windows of ``every`` steps, named by their first step.
+
+    Each is the mean of the steps' own values, with the zeros of a step without a valid pair, whatever the
+    number of pairs in a step.
+    """
+    per_step = group_metrics(prompts, F.col(step).alias("_step"), loss, beta)
+    first = (F.floor(F.col("_step") / every) * every).alias("first_step")
+    return per_step.groupBy(first).agg(*[F.avg(name).alias(name) for name in METRICS])
 
 
 def sample_pairs_log(
     pairs: DataFrame,
     order: list[str],
-    step: str = "batch_id",
+    step: str = "step",
     logging_steps: int = DEFAULTS.logging_steps,
     first: int = 3,
     loss: str = "sigmoid",
@@ -145,6 +150,8 @@ def sample_pairs_log(
 ) -> DataFrame:
     """The first pairs of every fifth logged step, with the step's accuracy and margin.
 
+    ``step`` counts optimiser steps, as numbered by ``align_to_batch``.
+
     The row-number filter is applied to each partition before the shuffle, so a step with very
     many pairs sends only its first ones.
     """

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pairmine.functions import arrays
 from pairmine.schemas import require
+from pairmine.session import materialise
 
 # One row is never blown up to more copies than this within a single task.
 _COPIES_PER_ROW = 4096
@@ -164,7 +165,20 @@ def gazetteer(*names: DataFrame, word: str = "word", allow_empty: bool = False)
 def top_n_vocab(
     df: DataFrame, n: int, text: str = "text", pattern: str = r"[\p{L}\p{M}]+"
 ) -> DataFrame:
-    """The ``n`` most frequent lower-cased words; equal counts in word order."""
+    """The ``n`` most frequent lower-cased words; equal counts in word order.
+
+    The counts are written, and the words per count give the count at which the list ends; only words with just
+    that count are put in order to fill it up. What is held by one task is one row per different count.
+    """
     words = df.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "word").limit(n)
+    counts = materialise(words.groupBy("word").agg(F.count("*").alias("n")))
+    more = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    alike = counts.groupBy("n").agg(F.count("*").alias("words"))
+    cut = (
+        alike.withColumn("above", F.coalesce(F.sum("words").over(more), F.lit(0)))
+        .filter(F.col("above") < n).orderBy("n").first()
+    )
+    if cut is None:
+        return counts.limit(0)
+    last = counts.filter(F.col("n") == cut["n"]).orderBy("word").limit(n - cut["above"])
+    return counts.filter(F.col("n") > cut["n"]).unionByName(last).orderBy(F.desc("n"), "word")

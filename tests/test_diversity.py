@@ -156,3 +156,32 @@ def test_no_pair_rows_in_the_plan(spark):
     rows = random_rows(5, [5, 5])
     plan = dv.max_sim_diversity(table(spark, rows))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("block_rows", [3, 5])
+def test_a_similarity_that_is_not_symmetric_gives_the_same_in_blocks(spark, block_rows):
+    df = table(spark, [(1, i, [float(i), 1.0]) for i in range(12)])
+    results = []
+    for options in ({}, {"block_rows": block_rows}):
+        rows = dv.similarity_profile(df, similarity=lambda a, b: 2 * a[:, :1] - b[:, :1].T, **options).collect()
+        results.append({r.sample_idx: (r.max_sim, r.min_positive_sim) for r in rows})
+    assert results[0] == results[1]
+    assert results[0][3] == (6.0, 1.0), "2 * 3 less the smallest, and less the largest that leaves more than 0"
+
+
+def test_not_a_number_stays_so_in_blocks(spark):
+    df = table(spark, [(1, i, [float(i + 1), 1.0]) for i in range(7)] + [(1, 7, [float("nan"), 1.0])])
+    for options in ({}, {"block_rows": 3}):
+        for r in dv.similarity_profile(df, **options).collect():
+            assert np.isnan(r.max_sim) and np.isnan(r.min_positive_sim), (options, r)
+
+
+@pytest.mark.parametrize("block_rows", [2, 4096])
+def test_vectors_of_another_length_leave_only_their_group_without_scores(spark, block_rows):
+    mixed = [(1, 0, [1.0]), (1, 1, [1.0, 0.0, 0.0]), (1, 2, [1.0, 0.0])]
+    short, empty = [(2, i, [1.0, float(i)]) for i in range(3)], [(3, i, []) for i in range(3)]
+    long = [(4, i, [1.0, 0.0, float(i)]) for i in range(3)]
+    got = diversities(table(spark, mixed + short + empty + long).coalesce(1), block_rows=block_rows)
+    assert {k[0] for k, v in got.items() if v == 0.0} == {1, 3}
+    for group in (2, 4):
+        assert got[group, 1] == pytest.approx(1 - 3 / 10**0.5, abs=1e-6)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from workload.queries import BASE_PROMPTS, COMMON_WORDS, PROMPT_LENGTH
-from workload.tables import MAX_TOKENS, VOWELS, WORD_VECTORS
+from workload.tables import MAX_TOKENS, VOWELS
 
 _STRIP = """'.,;:!?"''()[]{}<>'"""
 
@@ -102,16 +102,15 @@ def _tokens(word: str) -> str:
     return f"(len(regexp_extract_all({word}, '{VOWELS}')) + 1)"
 
 
-_WORD_NUMBER = f"(ascii(word) * 31 + ascii(right(word, 1)) * 17 + length(word) * 101) % {WORD_VECTORS}"
+_WORD_NUMBER = "CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings)"
 
 
 def _word_diverse(source: str) -> str:
-    """Similarities between the 500 word vectors once, then the best partner per word."""
+    """Similarities between the vectors once, then the best partner per word."""
     return f"""{_UNIT},
 placed AS (SELECT c.*, {_WORD_NUMBER} AS vec_id FROM {source} c),
 vec_sims AS (
-  SELECT a.vec_id AS va, b.vec_id AS vb, list_dot_product(a.u, b.u) AS sim FROM unit a, unit b
-  WHERE a.vec_id < {WORD_VECTORS} AND b.vec_id < {WORD_VECTORS}),
+  SELECT a.vec_id AS va, b.vec_id AS vb, list_dot_product(a.u, b.u) AS sim FROM unit a, unit b),
 word_diverse AS (
   SELECT a.prompt_id, a.word, coalesce({_r6('1 - max(s.sim)')}, 0.0) AS diversity
   FROM placed a LEFT JOIN placed b ON a.prompt_id = b.prompt_id AND a.word <> b.word
@@ -382,6 +381,9 @@ SELECT sample_idx, dim, {_r6('x')} AS x FROM (
 SELECT label AS prompt_id, vec_id AS sample_idx, {_r6('max_sim')} AS max_sim,
        {_r6('min_positive_sim')} AS min_positive_sim FROM profile"""
     sql["d4_max_sim_diversity"] = f"WITH {_DIVERSE} SELECT prompt_id, sample_idx, diversity FROM diverse"
+    sql["d4_blocks"] = f"""WITH {_UNIT}
+SELECT a.vec_id AS sample_idx, coalesce({_r6('1 - max(list_dot_product(a.u, b.u))')}, 0.0) AS diversity
+FROM unit a LEFT JOIN unit b ON a.vec_id <> b.vec_id GROUP BY a.vec_id"""
     sql["d4_word_diversity"] = f"""WITH {_CANDIDATES}, {_word_diverse('candidates')}
 SELECT prompt_id, word, sample_idx, diversity FROM candidates JOIN word_diverse USING (prompt_id, word)"""
     sql["d5_diversity_fallback"] = f"""WITH {_UNIT},
@@ -508,19 +510,18 @@ SELECT CAST(epoch(w) AS BIGINT) AS window_start, valid_pairs_frac,
 FROM shares LEFT JOIN means USING (w)"""
 
     sql["h2_step_windows"] = f"""WITH {_terms(0.1)},
+per_step AS (
+  SELECT batch_id AS step, avg(sigmoid) AS loss, avg(reward_chosen) AS rewards_chosen, avg(reward_rejected) AS rewards_rejected,
+         avg(CASE WHEN reward_chosen > reward_rejected THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rewards_accuracy,
+         avg(reward_chosen - reward_rejected) AS rewards_margins, avg(pr) AS logps_rejected, avg(pc) AS logps_chosen,
+         avg(logits) AS logits
+  FROM terms GROUP BY 1),
 shares AS (
-  SELECT l_orderkey // 10 * 10 AS first_step, {_r6('avg(CASE WHEN l_discount > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS valid_pairs_frac
-  FROM lineitem GROUP BY 1),
-means AS (
-  SELECT batch_id // 10 * 10 AS first_step, {mean('sigmoid', 'loss')}, {mean('reward_chosen', 'rewards_chosen')},
-         {mean('reward_rejected', 'rewards_rejected')},
-         {mean('CASE WHEN reward_chosen > reward_rejected THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END', 'rewards_accuracy')},
-         {mean('reward_chosen - reward_rejected', 'rewards_margins')}, {mean('pr', 'logps_rejected')},
-         {mean('pc', 'logps_chosen')}, {mean('logits', 'logits')}
-  FROM terms GROUP BY 1)
-SELECT first_step, valid_pairs_frac,
-       {', '.join(f'coalesce({m}, 0.0) AS {m}' for m in ('loss', 'rewards_chosen', 'rewards_rejected', 'rewards_accuracy', 'rewards_margins', 'logps_rejected', 'logps_chosen', 'logits'))}
-FROM shares LEFT JOIN means USING (first_step)"""
+  SELECT l_orderkey AS step, avg(CASE WHEN l_discount > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS valid_pairs_frac
+  FROM lineitem GROUP BY 1)
+SELECT step // 10 * 10 AS first_step, {mean('valid_pairs_frac', 'valid_pairs_frac')},
+       {', '.join(mean(f'coalesce({m}, 0.0)', m) for m in ('loss', 'rewards_chosen', 'rewards_rejected', 'rewards_accuracy', 'rewards_margins', 'logps_rejected', 'logps_chosen', 'logits'))}
+FROM shares LEFT JOIN per_step USING (step) GROUP BY 1"""
 
     sql["i1_write_pairs"] = f"""WITH {_PAIRS}
 SELECT CAST(prompt_id AS VARCHAR) AS prompt, chosen, rejected, CAST(prompt_id // 4 AS BIGINT) AS step FROM pairs"""

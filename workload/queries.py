@@ -299,6 +299,11 @@ def d4_max_sim_diversity(spark, d):
     return dv.max_sim_diversity(tb.vectors(spark, d)).drop("word")
 
 
+def d4_blocks(spark, d):
+    """All vectors as one group, in several blocks."""
+    return dv.max_sim_diversity(tb.vectors(spark, d).withColumn("prompt_id", F.lit(0)), block_rows=64).drop("word", "prompt_id")
+
+
 def d4_word_diversity(spark, d):
     words = materialise(tb.candidates(spark, d))
     vectors = dv.attach_embeddings(words, tb.word_vectors(spark, d))
@@ -454,7 +459,7 @@ def f7_zero_pair_batches(spark, d):
 
 
 def f8_sample_pairs_log(spark, d):
-    log = mt.sample_pairs_log(tb.pair_logps(spark, d), _PAIR_KEY[1:])
+    log = mt.sample_pairs_log(tb.pair_logps(spark, d), _PAIR_KEY[1:], step="batch_id")
     return _rounded(log.select(*_PAIR_KEY, "rank", "accuracy", "margin"), "accuracy", "margin")
 
 

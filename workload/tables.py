@@ -11,8 +11,6 @@ from pairmine.operators import prep
 from pairmine.plans import mining
 from pairmine.sources.tables import table
 
-# Number of vectors that derived words are mapped to (present at every scale).
-WORD_VECTORS = 500
 # Tokens of a word in the length limit: its vowel groups and one more.
 VOWELS = "[aeiouyàâäéèêëîïôöùûü]+"
 MAX_TOKENS = 4
@@ -77,12 +75,10 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
 def word_vectors(spark: SparkSession, d: str):
     """Stands for an embedding model: from distinct words to their vectors.
 
-    A word's vector is picked by its first and last letter and its length.
+    A word's vector is picked among all there are, whose ids count from 0, by a hash of the word.
     """
-    number = (
-        F.ascii("word") * 31 + F.ascii(F.right("word", F.lit(1))) * 17 + F.length("word") * 101
-    ) % WORD_VECTORS
     vectors = table(spark, d, "embeddings", "vec_id", "embedding")
+    number = F.conv(F.left(F.md5("word"), F.lit(8)), 16, 10).cast("bigint") % vectors.count()
 
     def embed(words: DataFrame) -> DataFrame:
         return words.withColumn("vec_id", number).join(vectors, "vec_id").select("word", "embedding")
