@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -40,12 +41,11 @@ from pairmine.session import materialise, shared_folder
 ORDER = 3
 MIN_COUNT = 2
 RANGE_ROWS = 1_000_000
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_KEPT_WORDS = 300_000
-_BATCH_TOKENS = 1_000_000
+_LONG_WORD = 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_PIECE_BYTES = 500_000
+_BATCH_TOKENS = 500_000
 _BATCH_CODES = 3_000_000
-#: No word has white space inside, so nothing else has this hash but by chance.
-END = xxhash.xxh64_intdigest(b" ") >> 1
 
 
 @dataclass(frozen=True)
@@ -72,35 +72,73 @@ class Model:
         return -float(np.log10(self.tokens + self.vocabulary + 1))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word) >> 1
-        return h
+def _mixed(state: np.ndarray) -> np.ndarray:
+    """Each number to another, one to one, so that near numbers lie far apart (the finaliser of SplitMix64)."""
+    state = (state ^ (state >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    state = (state ^ (state >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return state ^ (state >> np.uint64(31))
+
+
+def _hashes(words: pa.StringArray) -> np.ndarray:
+    """63-bit hashes of words, all at once: the length, then eight bytes after eight. Words over ``_LONG_WORD`` bytes: XXH64."""
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.cumsum(lengths) - lengths
+    data = np.zeros(int(lengths.sum()) + 8, dtype=np.uint8)
+    if len(data) > 8:
+        data[:-8] = np.frombuffer(words.buffers()[2], dtype=np.uint8, count=len(data) - 8)
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    state = _mixed(lengths.astype(np.uint64))
+    long = np.flatnonzero(lengths > _LONG_WORD)
+    for i in long:
+        state[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + lengths[i]])
+    lengths[long] = 0
+    for done in range(0, int(lengths.max(initial=0)), 8):
+        left = np.flatnonzero(lengths > done)
+        own = eights[starts[left] + done] & _MASKS[np.minimum(lengths[left] - done, 8)]
+        state[left] = _mixed(state[left] ^ own)
+    return (state >> np.uint64(1)).astype(np.int64)
+
+
+#: No word has white space inside, so nothing else has this hash but by chance.
+END = int(_hashes(pa.array([" "]))[0])
+
+
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of stretches with about ``_PIECE_BYTES`` of text, one row at least."""
+    sums = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(sums // _PIECE_BYTES, prepend=0)).tolist() if len(sums) else []
+    begins = [0, *(c for c in cuts if c), len(sums)]
+    for begin, end in zip(begins, begins[1:], strict=False):
+        if end > begin:
+            yield begin, end - begin
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens' hashes of some texts with an end before and after each, and each text's number of them."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = parts.flatten()
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at a text's ends leaves empty ones
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))[real]
+    hashes = np.full(len(row) + 2 * len(texts), END, dtype=np.int64)
+    hashes[np.arange(len(row)) + 2 * row + 1] = _hashes(words)[real]
+    return hashes, np.bincount(row, minlength=len(texts)) + 2
 
 
 def _sequences(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
     """Rows in portions: the rows, their tokens' hashes with an end before and after each row, and the rows' lengths."""
-    known, rows, parts, lengths, size = _Hashes(), [], [], [], 0
+    rows, parts, lengths, size = [], [], [], 0
     for batch in batches:
-        start = 0
-        for i, text in enumerate(batch.column(text_at)):
-            if len(known) > _KEPT_WORDS:
-                known.clear()
-            found = text.as_py().encode("utf-8").translate(_LOWER).split()
-            part = np.empty(len(found) + 2, dtype=np.int64)
-            part[0] = part[-1] = END
-            part[1:-1] = np.fromiter(map(known.__getitem__, found), dtype=np.int64, count=len(found))
-            parts.append(part)
-            lengths.append(len(part))
-            size += len(part)
+        for begin, n in _pieces(batch.column(text_at)):
+            rows.append(batch.slice(begin, n))
+            hashes, own = _tokens(rows[-1].column(text_at))
+            parts.append(hashes)
+            lengths.append(own)
+            size += len(hashes)
             if size >= _BATCH_TOKENS:
-                rows.append(batch.slice(start, i + 1 - start))
-                yield rows, np.concatenate(parts), np.array(lengths)
-                rows, parts, lengths, size, start = [], [], [], 0, i + 1
-        if start < batch.num_rows:
-            rows.append(batch.slice(start))
+                yield rows, np.concatenate(parts), np.concatenate(lengths)
+                rows, parts, lengths, size = [], [], [], 0
     if parts:
-        yield rows, np.concatenate(parts), np.array(lengths)
+        yield rows, np.concatenate(parts), np.concatenate(lengths)
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

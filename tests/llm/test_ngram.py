@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,6 +55,23 @@ def test_quantisation():
     assert table[codes].tolist() == [7, 7, 9, 1000]
 
 
+WORD = st.text(alphabet="abAB\u00e9\u6f22\x1c \t\n\x0b", max_size=90)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(WORD | st.integers(60, 70).map("x".__mul__), max_size=12), st.integers(1, 60))
+def test_token_hashes(texts, piece):
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ngram, "_PIECE_BYTES", piece)
+        got = list(ngram._sequences(iter([batch, batch.slice(len(texts) // 2)]), 0))
+    want = [[None, *tokens(t)] for t in [*texts, *texts[len(texts) // 2 :]]]
+    assert [n for _, _, lengths in got for n in lengths] == [len(w) for w in want]
+    pairs = set(zip([w for row in want for w in row], [h for _, hashes, _ in got for h in hashes.tolist()], strict=True))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    assert all((w is None) == (h == ngram.END) and 0 <= h < 2**63 for w, h in pairs)
+
+
 def tokens(text):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\x0b\x0c\r":
