@@ -25,13 +25,13 @@ def dpo_logits(
 
 
 def dpo_loss(logits: Column, loss: str = "sigmoid", beta: float = DEFAULTS.beta) -> Column:
-    """Loss of one pair; the batch loss is the mean of it."""
+    """Loss of one pair, NULL without logits; the batch loss is the mean of it."""
     scaled = logits * F.lit(float(beta))
     if loss == "sigmoid":
         # -log(sigmoid(x)) in the form that neither overflows nor loses the tail
         return F.greatest(-scaled, F.lit(0.0)) + F.log1p(F.exp(-F.abs(scaled)))
     if loss == "hinge":
-        return F.greatest(F.lit(1.0) - scaled, F.lit(0.0))
+        return F.when(logits.isNotNull(), F.greatest(F.lit(1.0) - scaled, F.lit(0.0)))
     raise ValueError(f"unknown loss {loss!r}; expected one of {LOSSES}")
 
 

@@ -136,14 +136,15 @@ def run_report(
 ) -> DataFrame:
     """All figures of every run beside each other, with the differences to the baseline run.
 
-    A higher minimum similarity means that the two words farthest apart moved closer together.
+    A higher minimum similarity means that the two words farthest apart moved closer together. Words without a vector
+    take no part in the similarities; ``missing_vectors`` counts them.
     ``runs`` is read once: all figures come from the count per run and word, which is written first.
     """
     counts = materialise(runs.groupBy(run, word).agg(F.count("*").alias("n")))
     summary = _summary(counts, run, word)
     words = counts.filter(F.col(word) != EMPTY_MARK).select(run, F.col(word).alias(key))
     vectors = attach_embeddings(words, embeddings, key, vector).filter(F.col(vector).isNotNull())
-    average = avg_pairwise_similarity(vectors, run, vector).drop("n")
+    average = avg_pairwise_similarity(vectors, run, vector)
     profile = similarity_profile(vectors, run, key, vector, group_sizes=words, **options)
     extremes = profile.groupBy(run).agg(
         F.min("min_positive_sim").alias("min_positive_similarity"),
@@ -152,6 +153,8 @@ def run_report(
     report = (
         summary.join(average, run, "left")
         .join(extremes, run, "left")
+        .withColumn("missing_vectors", F.col("unique_words") - F.coalesce("n", F.lit(0)))
+        .drop("n")
         .withColumn("avg_similarity", F.coalesce("avg_similarity", F.lit(0.0)))
         .withColumn("diversity_avg", F.when(F.col("unique_words") > 1, 1 - F.col("avg_similarity")))
     )
@@ -172,4 +175,4 @@ def run_report(
     deltas = [
         (F.col(f) - F.lit(base[f]).cast(kinds[f])).alias(f + "_delta") for f in figures
     ]
-    return report.select(run, F.lit(baseline).alias("baseline"), *figures, *deltas)
+    return report.select(run, F.lit(baseline).alias("baseline"), *figures, "missing_vectors", *deltas)

@@ -21,12 +21,12 @@ def write_pairs(
 ) -> None:
     """Write ``prompt, chosen, rejected`` rows, one folder per step.
 
-    Rows are not shuffled by step: each task writes its own file per step, so a step that holds most
-    of the rows is still written by many tasks.
+    Rows are regrouped by step first: adaptive execution merges small steps into one task and splits a step that holds
+    most of the rows over many, so there are few files, and none grows with the step.
     """
     _check_format(fmt)
     require(pairs, *LAYOUT, partition)
-    pairs.write.partitionBy(partition).mode(mode).format(fmt).save(path)
+    pairs.hint("rebalance", partition).write.partitionBy(partition).mode(mode).format(fmt).save(path)
 
 
 def read_pairs(

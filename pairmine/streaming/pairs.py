@@ -60,6 +60,28 @@ def stream_pairs(
     return writer.foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def drain_open_windows(
+    completions: DataFrame,
+    score: Callable[[DataFrame], DataFrame],
+    path: str,
+    window: str = "1 hour",
+    delay: str = "10 minutes",
+    ts: str = "ts",
+) -> None:
+    """Mine the windows that a stream has left open when its input has come to an end.
+
+    ``completions`` is the stream's whole input as a table; the other arguments are those of
+    :func:`stream_pairs`, and the pairs go beside the others, as epoch -1. Only for input that is complete: a
+    stream that goes on would write these windows again.
+    """
+    mark = completions.agg(F.unix_micros(F.max(ts) - F.expr(f"INTERVAL {delay}"))).first()[0]
+    if mark is None:
+        return
+    candidates = closed_candidates(completions, window, None, ts)
+    end = F.unix_micros(F.col("window_start") + F.expr(f"INTERVAL {window}"))
+    write_epoch(candidates.filter(end > mark), -1, score, path)
+
+
 def write_epoch(
     batch: DataFrame, epoch_id: int, score: Callable[[DataFrame], DataFrame], path: str
 ) -> None:

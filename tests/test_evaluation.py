@@ -84,5 +84,8 @@ def test_run_report(spark):
     assert got["a"].avg_similarity == pytest.approx((root - 1 - root) / 3)
     assert got["b"].avg_similarity == pytest.approx(root)
     assert got["b"].avg_similarity_delta == pytest.approx(root + 1 / 3)
+    assert got["a"].missing_vectors == got["b"].missing_vectors == 0
+    fewer = {r.run: r for r in ev.run_report(runs(spark), words.filter("word <> 'sea'"), "a").collect()}
+    assert fewer["a"].missing_vectors + fewer["b"].missing_vectors > 0
     assert got["a"].unique_words_delta == 0 and got["b"].unique_words_delta == -1
     assert got["b"].diversity_max == pytest.approx(1 - root)

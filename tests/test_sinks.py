@@ -25,6 +25,13 @@ def test_pairs_round_trip(spark, tmp_path, fmt):
     assert (tmp_path / fmt / "step=1").is_dir()
 
 
+def test_one_step_is_not_spread_over_all_tasks(spark, tmp_path):
+    rows = spark.range(800).selectExpr("cast(id as string) prompt", "'c' chosen", "'r' rejected", "id % 4 step")
+    sinks.write_pairs(rows.repartition(8), str(tmp_path / "p"))
+    assert len(list((tmp_path / "p").glob("step=*/*.parquet"))) == 4
+    assert sinks.read_pairs(spark, str(tmp_path / "p")).count() == 800
+
+
 def test_unknown_format_and_missing_schema(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.write_pairs(pairs(spark), str(tmp_path / "x"), fmt="csv")

@@ -58,6 +58,16 @@ def test_stream_equals_batch_over_several_runs(spark, tmp_path):
     assert rows_of(streamed) == rows_of(batch(spark, first + second))
 
 
+def test_open_windows_are_mined_at_the_end_of_the_input(spark, tmp_path):
+    folder, rows = str(tmp_path), samples(4)
+    write(spark, rows, f"{folder}/in")
+    closed = run(spark, folder)
+    assert closed.count() < batch(spark, rows).count()
+    for _ in range(2):
+        sp.drain_open_windows(spark.read.parquet(f"{folder}/in"), score, f"{folder}/out")
+        assert rows_of(spark.read.parquet(f"{folder}/out/pairs").drop("epoch_id")) == rows_of(batch(spark, rows))
+
+
 def test_late_samples_are_dropped(spark, tmp_path):
     folder, rows = str(tmp_path), samples(2)
     write(spark, rows + [(START + timedelta(hours=5), 9, 0, "end")], f"{folder}/in")

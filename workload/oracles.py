@@ -138,12 +138,15 @@ _LOGPS = """pair_logps AS (
   FROM lineitem WHERE l_discount > 0),
 logits AS (SELECT *, (pc - pr) - (rc - rr) AS logits FROM pair_logps)"""
 
+# Every line; without a discount it has no reference log-probability, and so none of the terms.
+_ALL_LOGPS = _LOGPS.replace("ln(l_discount)", "CASE WHEN l_discount > 0 THEN ln(l_discount) END").replace(" WHERE l_discount > 0", "")
 
-def _terms(beta: float) -> str:
+
+def _terms(beta: float, logps: str = _LOGPS) -> str:
     x = f"({beta} * logits)"
-    return f"""{_LOGPS},
+    return f"""{logps},
 terms AS (
-  SELECT *, greatest(-{x}, 0) + ln(1 + exp(-abs({x}))) AS sigmoid, greatest(1 - {x}, 0) AS hinge,
+  SELECT *, greatest(-{x}, 0) + ln(1 + exp(-abs({x}))) AS sigmoid, CASE WHEN logits IS NOT NULL THEN greatest(1 - {x}, 0) END AS hinge,
          {beta} * (pc - rc) AS reward_chosen, {beta} * (pr - rr) AS reward_rejected
   FROM logits)"""
 
@@ -186,7 +189,7 @@ def _report(baseline: str) -> str:
     """Over ``report``: the figures and the differences to the baseline."""
     rounded = ", ".join(f"{_r6('r.' + f)} AS {f}" for f in _FIGURES)
     deltas = ", ".join(f"{_r6(f'r.{f} - b.{f}')} AS {f}_delta" for f in _FIGURES)
-    return f"""SELECT r.run, '{baseline}' AS baseline, r.total_words, r.unique_words, {rounded},
+    return f"""SELECT r.run, '{baseline}' AS baseline, r.total_words, r.unique_words, r.missing_vectors, {rounded},
        r.total_words - b.total_words AS total_words_delta,
        r.unique_words - b.unique_words AS unique_words_delta, {deltas}
 FROM report r JOIN report b ON b.run = '{baseline}'"""
@@ -208,7 +211,8 @@ extremes AS (
   FROM sims GROUP BY run),
 report AS (
   SELECT s.*, e.avg_similarity, e.min_positive_similarity, 1 - e.avg_similarity AS diversity_avg,
-         1 - e.max_similarity AS diversity_max
+         1 - e.max_similarity AS diversity_max,
+         CAST(s.unique_words - (SELECT sum(h.c) FROM held h JOIN unit USING (vec_id) WHERE h.run = s.run) AS BIGINT) AS missing_vectors
   FROM summary s JOIN extremes e USING (run))"""
 
 
@@ -423,10 +427,10 @@ FROM lineitem GROUP BY l_orderkey"""
 SELECT doc_id, {_r6('coalesce(list_sum(list_transform(ids, lambda x: CASE WHEN x > 3 THEN -x / 10.0::DOUBLE ELSE 0.0::DOUBLE END)), 0)')} AS sequence_logp
 FROM rows"""
     key = "batch_id, l_linenumber, l_partkey, l_suppkey"
-    sql["f2_dpo_logits"] = f"WITH {_LOGPS} SELECT {key}, {_r6('logits')} AS logits FROM logits"
+    sql["f2_dpo_logits"] = f"WITH {_ALL_LOGPS} SELECT {key}, {_r6('logits')} AS logits FROM logits"
     for loss, name in (("sigmoid", "f3_dpo_loss_sigmoid"), ("hinge", "f4_dpo_loss_hinge")):
-        sql[name] = f"WITH {_terms(0.1)} SELECT {key}, {_r6(loss)} AS loss FROM terms"
-    sql["f5_rewards"] = f"""WITH {_terms(0.1)}
+        sql[name] = f"WITH {_terms(0.1, _ALL_LOGPS)} SELECT {key}, {_r6(loss)} AS loss FROM terms"
+    sql["f5_rewards"] = f"""WITH {_terms(0.1, _ALL_LOGPS)}
 SELECT {key}, {_r6('reward_chosen')} AS reward_chosen, {_r6('reward_rejected')} AS reward_rejected,
        {_r6('reward_chosen - reward_rejected')} AS margin, reward_chosen > reward_rejected AS accurate FROM terms"""
     sql["f6_batch_metrics"] = f"WITH {_batch('sigmoid', 0.1)} SELECT * FROM metrics"
@@ -480,7 +484,7 @@ SELECT word, CASE WHEN bool_or(run = 'en') AND bool_or(run = 'fr') THEN 'both'
                   WHEN bool_or(run = 'en') THEN 'only_a' ELSE 'only_b' END AS side
 FROM runs WHERE run IN ('en', 'fr') AND word <> '[empty]' GROUP BY word"""
     sql["g6_run_report"] = f"""WITH {_VECTOR_STATS},
-report AS (SELECT *, n AS total_words, n AS unique_words FROM stats) {_report('0')}"""
+report AS (SELECT *, n AS total_words, n AS unique_words, CAST(0 AS BIGINT) AS missing_vectors FROM stats) {_report('0')}"""
     sql["g6_run_report_words"] = f"WITH {_RUNS}, {_WORD_REPORT} {_report('en')}"
     sql["g6_report_on_outputs"] = f"""WITH {outputs},
 runs AS (
@@ -488,7 +492,7 @@ runs AS (
          ELSE lower({_last_word('answer')}) END AS word FROM answers), {_WORD_REPORT} {_report('user')}"""
 
     sql["h1_window_pairs"] = _event_pairs("")
-    sql["h1_stream_pairs"] = _event_pairs("JOIN latest ON window_start + INTERVAL 7 DAY <= mark")
+    sql["h1_stream_pairs"] = sql["h1_window_pairs"]
     beta = 0.1
     sql["h2_step_metrics"] = f"""WITH prompts AS (
   SELECT date_trunc('hour', ts) AS w, event_type <> 'error' AS found, -ln(1 + abs(value)) AS pc,

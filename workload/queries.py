@@ -366,7 +366,8 @@ def _scored_words(spark, d):
 
 
 def e6_pair_audit(spark, d):
-    return pr.pair_audit(_scored_words(spark, d))
+    scored = ql.quality_score(tb.candidates(spark, d), "lexicon", lexicon=tb.lexicon(spark, d), gazetteer=tb.names(spark, d))
+    return pr.pair_audit(scored)
 
 
 def e6_audit_lines(spark, d):
@@ -408,7 +409,7 @@ _PAIR_KEY = ["batch_id", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def _terms(spark, d, loss, *columns):
-    terms = mt.pair_terms(mt.complete_pairs(tb.pair_logps(spark, d)), loss)
+    terms = mt.pair_terms(tb.pair_logps(spark, d), loss)
     return terms.select(*_PAIR_KEY, *columns)
 
 
@@ -546,13 +547,15 @@ def _new_folder(spark, name):
 
 
 def h1_stream_pairs(spark, d):
-    """The events as a stream, run until all input is read; windows closed by then."""
+    """The events as a stream, run until all input is read; then the windows still open."""
     folder = _new_folder(spark, "stream-pairs")
+    score = _event_score(spark, d)
     query = sp.stream_pairs(
-        tb.event_completions(tb.events(spark, d, stream=True)), _event_score(spark, d),
+        tb.event_completions(tb.events(spark, d, stream=True)), score,
         f"{folder}/out", f"{folder}/state", window="7 days", delay="1 day",
     )
     query.awaitTermination()
+    sp.drain_open_windows(tb.event_completions(tb.events(spark, d)), score, f"{folder}/out", "7 days", "1 day")
     pairs = spark.read.parquet(f"{folder}/out/pairs")
     return pairs.select(_seconds(), "prompt_id", "chosen", "rejected")
 
