@@ -142,18 +142,23 @@ def _words(bits: np.ndarray) -> np.ndarray:
     return np.concatenate([packed, np.zeros(16 - len(packed) % 8, dtype=np.uint8)]).view("<u8").astype(np.uint64)
 
 
-def coded(values: np.ndarray, codes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def coded(values: np.ndarray, codes: int | None = None, mass: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A table of values and the place of each value in it.
 
     Without ``codes`` the table has every value there is; with it, that many values at most, each the mean of an equally
-    large group (quantisation).
+    large group (quantisation). With ``mass`` groups are equally heavy instead: rare values that weigh much stay apart.
     """
     table, at = np.unique(values, return_inverse=True)
     if codes is not None and len(table) > codes:
-        edges = np.quantile(values, np.linspace(0, 1, codes + 1)[1:-1])
+        if mass is None:
+            mass = np.ones(len(values))
+            edges = np.quantile(values, np.linspace(0, 1, codes + 1)[1:-1])
+        else:
+            below = np.cumsum(np.bincount(at, weights=mass))
+            edges = table[np.searchsorted(below, below[-1] * np.linspace(0, 1, codes + 1)[1:-1])]
         at = np.searchsorted(edges, values, side="right")
-        sums, n = np.bincount(at, weights=values, minlength=codes), np.bincount(at, minlength=codes)
-        table = sums / np.maximum(n, 1)
+        sums, n = np.bincount(at, weights=values * mass, minlength=codes), np.bincount(at, weights=mass, minlength=codes)
+        table = sums / np.maximum(n, 1e-300)
     kind = np.uint8 if len(table) <= 256 else np.uint16 if len(table) <= 65536 else np.uint32
     return table, at.astype(kind)
 

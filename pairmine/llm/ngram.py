@@ -10,8 +10,9 @@ trie are sorted by range and written to the shared folder, a file per range:
   that follow the words between. Ascending pointers give the first successor of each context.
 
 Probabilities are interpolated, with discounts from the counts of counts (modified Kneser-Ney discounts over plain counts); each
-level keeps them quantised to 256 values, and so the weight that a context leaves to the shorter one. N-grams of
-two words and more are kept if they occur ``min_count`` times; what that takes from a context goes to its shorter one.
+level keeps them quantised to 256 values, of equal shares of the tokens, and so the weight that a context leaves to the shorter one. N-grams of
+two words and more are kept if they occur ``min_count`` times; what that takes from a context goes to its shorter one. The query
+keeps all of them (``min_count`` 1), so that the counts of counts are those of the whole text.
 
 Scoring reads each document where it is stored: the levels are memory-mapped by the tasks, a batch's distinct n-grams are looked
 up by successor search in the ranges they fall into, and only the pages that are touched are read.
@@ -40,7 +41,7 @@ from pairmine.session import materialise, shared_folder
 
 ORDER = 3
 MIN_COUNT = 2
-RANGE_ROWS = 1_000_000
+RANGE_ROWS = 500_000
 _LONG_WORD = 64
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _PIECE_BYTES = 500_000
@@ -297,8 +298,8 @@ def _write_level(rows: DataFrame, model: Model | None, k: int, width: int, disco
             left -= np.bincount(at, weights=less, minlength=len(left)) / size
             left = np.maximum(left, 1e-9)
             chance = less / size[at] + left[at] * 10.0 ** _shorter(model, k, contexts, codes % width)
-            arrays["l.table"], arrays["l.code"] = coded(np.log10(chance), 256)
-            arrays["w.table"], arrays["w.code"] = coded(np.log10(left), 256)
+            arrays["l.table"], arrays["l.code"] = coded(np.log10(chance), 256, n)
+            arrays["w.table"], arrays["w.code"] = coded(np.log10(left), 256, size)
         path = f"{folder}/level{k}-{uuid.uuid4().hex}.bin"
         write_arrays(path, arrays)
         yield pa.RecordBatch.from_arrays(

@@ -90,7 +90,7 @@ def op9_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_trie_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = ngram.train(docs.filter(~held_out("doc_id", 7)))
+    model = ngram.train(docs.filter(~held_out("doc_id", 7)), min_count=1)
     return ngram.score(docs, model).select(
         "doc_id",
         held_out("doc_id", 7).alias("held_out"),

@@ -134,6 +134,19 @@ def test_against_a_plain_model(spark, order):
         assert r.score == pytest.approx(plain.score(rows[r.doc_id]), abs=0.02 * len(found) + 0.05)
 
 
+def test_the_query_keeps_every_ngram(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id < 60").select("doc_id", "text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    plain = Plain([t for i, t in rows.items() if zlib.crc32(str(i).encode()) % 7 != 2], 3, 1)
+    assert all(plain.kept[k] == plain.counts[k] for k in (2, 3))
+    got = queries.op10_trie_language_model(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n = len(tokens(rows[r.doc_id]))
+        assert r.score == pytest.approx(plain.score(rows[r.doc_id]), abs=0.02 * n + 0.05)
+
+
 def test_chances_add_up(spark):
     texts = ["a b a c", "a b a b", "b a b c c", "a b a c"]
     plain = Plain(texts, 3, 2)
