@@ -5,7 +5,7 @@ A text becomes the counts of its character 1-, 2- and 3-grams (letters in lower
 language has several centroids, found by spherical k-means. The nearest centroid by cosine gives the language.
 
 The document frequencies are counted over all the labelled rows. The centroids are fitted, one language per task, on at most
-``PER_LANGUAGE`` labelled rows of each language, those with the smallest seeded hash. The model is one array of
+``PER_LANGUAGE`` distinct labelled texts of each language, those with the smallest seeded hash. The model is one array of
 (languages x CENTROIDS) x DIMS floats.
 
 Rejection by distance: a text whose cosine is below ``REJECT`` times the lowest centile that the fitted rows of that centroid reach
@@ -118,16 +118,19 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, reject: floa
         seen[row["dim"]] = row["n"]
     weights = np.log((1.0 + seen[DIMS]) / (1.0 + seen[:DIMS])) + 1.0
 
-    # A share of each language by hash first, so that the window below sorts a few times per_language rows.
-    sizes = materialise(rows.groupBy("lang").count())
-    mark = F.xxhash64(F.lit(SEED), "text")
-    drawn = (
-        rows.withColumn("mark", mark)
-        .join(sizes, "lang")
+    # Copies of a text count once. A share of each language's texts by hash first, so that the window below sorts a few times
+    # per_language rows.
+    marked = rows.withColumn("mark", F.xxhash64(F.lit(SEED), "text"))
+    marks = materialise(marked.select("lang", "mark").distinct())
+    sizes = materialise(marks.groupBy("lang").count())
+    chosen = materialise(
+        marks.join(sizes, "lang")
         .filter(unit(F.col("mark")) < F.lit(4.0 * per_language) / F.col("count"))
         .withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("mark")))
         .filter(F.col("at") <= per_language)
+        .select("lang", "mark")
     )
+    drawn = marked.join(chosen, ["lang", "mark"]).groupBy("lang", "mark").agg(F.min("text").alias("text"))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         found = [c for c in (counts(t) for t in group["text"]) if c is not None]

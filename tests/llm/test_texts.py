@@ -141,6 +141,21 @@ def test_language_of_odd_documents(spark):
     assert {r.langid_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_language_of_few_texts_with_many_copies(spark):
+    few = [f"le chat numéro {w} dort dans la maison près de la rivière" for w in ("un", "deux", "trois", "quatre", "cinq")]
+    many = [f"the {w} dog sleeps in the house near the river" for w in ("old", "big", "red", "sad", "shy", "odd", "new", "wet")]
+    rows = [(t, "fr") for t in few] * 2000 + [(t, "en") for t in many] * 50
+    labelled = spark.createDataFrame(rows, "text string, lang string").repartition(8)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(langid, "CENTROIDS", 8)  # as many centroids as distinct texts are fitted on, if there are fewer
+        model = langid.train(labelled, per_language=6)
+    assert [model.languages.count(x) for x in ("fr", "en")] == [5, 6]
+    seen = [(few[0], "fr"), ("la maison du chat est dans la rue", "fr"), (many[0], "en")]
+    told = langid.predict(spark.createDataFrame(seen, "text string, want string"), model).collect()
+    assert all(r.langid_pred == r.want for r in told)
+    assert not any(r.langid_rejected for r in told if r.text in few + many)
+
+
 def test_long_pieces_are_read_whole(monkeypatch):
     text = "Some words, and more; " * 50
     want = langid.counts(text)
