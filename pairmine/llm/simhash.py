@@ -35,7 +35,6 @@ SEED = 42
 BITS = 3
 BLOCK = 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_LAST = 2**63 - 1
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -211,13 +210,33 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, bits: int = BITS
     return prints.join(classes, "print").select("doc_id", "print", "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, *, shingle: int = SHINGLE, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """Rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Of rows that repeat this doc_id, one stays. Rows without a doc_id count as one document: one of them stays if there is a
-    component of such rows alone.
+    A null doc_id comes last; of rows with this doc_id and other texts, the one with the smallest hash of the text stays. Rows
+    that share a doc_id, or have none, are documents of their own; only those that repeat doc_id and text are one.
     """
-    found = near_duplicates(docs, **options)
-    key = F.coalesce("doc_id", F.lit(_LAST))
-    keepers = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("keeper")).distinct()
-    return docs.join(materialise(keepers), key == F.col("keeper"), "left_semi").dropDuplicates(["doc_id"])
+    known = ["simhash_none", "simhash_id", "simhash_mark"]
+    ident = F.col("doc_id").cast("long")
+    named = docs.select(
+        "*",
+        ident.isNull().alias(known[0]),
+        F.coalesce(ident, F.lit(0)).alias(known[1]),
+        F.xxhash64(whole("text")).alias(known[2]),
+    )
+    texts = named.select(F.struct(*known).alias("own"), whole("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(prints.view(np.int64))], names=["own", "print"]
+            )
+
+    schema = "own struct<simhash_none: boolean, simhash_id: long, simhash_mark: long>, print long"
+    distinct = materialise(texts.mapInArrow(run, schema).groupBy("print").agg(F.min("own").alias("own")))
+    found = materialise(components(links(distinct, bits=bits, block=block)))
+    rooted = distinct.join(found, F.col("print") == F.col("node"), "left").withColumn("root", F.coalesce("root", "print"))
+    keepers = materialise(rooted.groupBy("root").agg(F.min("own").alias("own")).select("own.*"))
+    kept = named.join(keepers, known, "left_semi").dropDuplicates(known)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -92,6 +92,18 @@ def test_edge_rows(spark):
     assert simhash.one_of_each(docs.filter("doc_id > 99")).count() == 0
 
 
+def test_texts_that_stay(spark):
+    text = lambda i: " ".join(f"{w}{i}" for w in "abcdefgh")
+    rows = [(None, text(i)) for i in range(40)]  # unrelated, without an id
+    rows += [(1, text(100)), (7, text(100)), (7, text(101)), (7, text(102))]  # of id 7, one is a copy of another document
+    rows += [(8, text(103)), (8, text(103)), (None, text(0)), (None, text(103))]  # repeated rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = [*rows[:40], (1, text(100)), (7, text(101)), (7, text(102)), (8, text(103))]
+    assert sorted(map(repr, map(tuple, simhash.one_of_each(docs).collect()))) == sorted(map(repr, want))
+    odd = spark.createDataFrame([(None, " "), (None, "x y z w"), (3, "")], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.one_of_each(odd).collect()) == ["", "x y z w"]
+
+
 def test_components_of_a_path_and_a_hub(spark):
     path = [(i, i + 1) for i in range(14)]
     hub = [(1000, 1001 + i) for i in range(300)]
