@@ -10,11 +10,14 @@ item, if that is shorter), counting only lines whose slots are consistent: a val
 value of the document throughout. A question with other numbers and names is caught; text that only looks alike in its
 placeholders is not.
 
+Beside the templates, the words themselves are joined: runs of ``RUN_WORDS`` lower-cased words without placeholders (or all the
+item, if that is shorter), whatever they are. So a copy in other case, or an item of names and numbers only, is a leak too.
+
 The documents are sifted before the join by a bitmap of the benchmark's window hashes. It has 2**FILTER_BITS bits whatever
 the benchmark's size; a larger benchmark lets more windows through to the join, and the result is the same.
 
 Defined results: a null or empty text on either side has no tokens; an item below five tokens is one window as long as itself;
-windows without ``MIN_LITERALS`` plain tokens say nothing; rows that repeat a doc_id with another text are documents of their
+templates without ``MIN_LITERALS`` plain tokens say nothing; rows that repeat a doc_id with another text are documents of their
 own; an empty table on either side gives no leaks. Other columns of the inputs are ignored, and kept by ``remove_leaks``.
 """
 
@@ -52,10 +55,12 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve")
 _OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$%") + "“”‘’«»¿¡…–—"
 _SPACE = re.compile(r"[\x20\x09\x0B-\x0D]+")
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(WINDOW, 0, -1)], dtype=np.uint64)
 _KEPT_WORDS = 300_000
 
-_SCHEMA = "id long, mark long, at int, size int, hash long, template string, values array<string>, words int, windows int"
+_SCHEMA = "id long, mark long, at int, size int, exact boolean, hash long, template string, values array<string>, words int, windows int"
 
 
 class _Words(dict):
@@ -71,8 +76,8 @@ class _Words(dict):
         return fact
 
 
-def canonical(text: str, known: _Words) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Of the words of a text that are more than punctuation: bare forms, token hashes and kinds.
+def canonical(text: str, known: _Words) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of a text that are more than punctuation: bare forms, token hashes, kinds and hashes of the bare forms.
 
     Kinds are places in ``PLACEHOLDERS``; 0 is a plain word.
     """
@@ -82,7 +87,7 @@ def canonical(text: str, known: _Words) -> tuple[list[str], np.ndarray, np.ndarr
         raw += found
         begins += [True, *[False] * (len(found) - 1)] if found else []
     if not raw:
-        return [], np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        return [], np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
     if len(known) > _KEPT_WORDS:
         known.clear()
     hashes, number, unit, capital, ends, plain = zip(*(known[w] for w in raw), strict=True)
@@ -91,8 +96,8 @@ def canonical(text: str, known: _Words) -> tuple[list[str], np.ndarray, np.ndarr
     measured = np.array(unit) & np.concatenate([[False], number[:-1]])
     kind = np.where(number, 1, np.where(measured, 3, np.where(np.array(capital) & ~begins, 2, 0))).astype(np.int8)
     keep = np.array([p != "" for p in plain])
-    hashes = np.where(kind == 0, hashes, kind.astype(np.uint64))
-    return [p for p in plain if p], hashes[keep], kind[keep]
+    tokens = np.where(kind == 0, hashes, kind.astype(np.uint64))
+    return [p for p in plain if p], tokens[keep], kind[keep], hashes[keep]
 
 
 def windows(hashes: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,17 +115,38 @@ def windows(hashes: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarra
     return at, mixed[at]
 
 
-def _extract(sizes: tuple[int, ...] | None, bitmap: np.ndarray | None):
-    """Rows of windows: all of them for items (``sizes`` None), those the bitmap lets through for documents."""
+def _powers(base: int, n: int) -> np.ndarray:
+    found = np.full(n, base, dtype=np.uint64)
+    found[:1] = 1
+    return np.multiply.accumulate(found)
+
+
+def exact_windows(words: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size, the hashes of all runs of that many words, modulo 2**64 from running sums."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _powers(_BASE, len(words)), dtype=np.uint64)])
+    back = _powers(_INVERSE, len(words))
+    for size in sizes:
+        n = max(len(words) - size + 1, 0)
+        mixed = (sums[size : size + n] - sums[:n]) * back[:n]
+        yield size, mixed ^ (mixed >> np.uint64(29))
+
+
+def _extract(sizes: tuple[tuple[int, ...], tuple[int, ...]] | None, bitmap: np.ndarray | None):
+    """Rows of windows: all of them for items (``sizes`` None), those the bitmap lets through for documents.
+
+    ``sizes``: those of the templates, and those of the exact runs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
             rows: list[tuple] = []
             for ident, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                plain, hashes, kinds = canonical(text, known)
-                for size in sizes or (min(WINDOW, max(len(plain), 1)),):
-                    at, mixed = windows(hashes, kinds, size)
+                plain, hashes, kinds, bare = canonical(text, known)
+                few, runs = sizes or ((min(WINDOW, max(len(plain), 1)),), (min(RUN_WORDS, max(len(plain), 1)),))
+                found = [(False, size, *windows(hashes, kinds, size)) for size in few]
+                found += [(True, size, np.arange(len(mixed)), mixed) for size, mixed in exact_windows(bare, runs)]
+                for exact, size, at, mixed in found:
                     total = len(at)
                     if bitmap is not None:
                         low = mixed & np.uint64(2**FILTER_BITS - 1)
@@ -129,9 +155,9 @@ def _extract(sizes: tuple[int, ...] | None, bitmap: np.ndarray | None):
                         at, mixed = at[hit], mixed[hit]
                     for i, h in zip(at.tolist(), mixed.view(np.int64).tolist(), strict=True):
                         here = range(i, i + size)
-                        template = " ".join(PLACEHOLDERS[kinds[j]] or plain[j] for j in here)
-                        values = [plain[j] for j in here if kinds[j]]
-                        rows.append((ident, mark, i, size, h, template, values, len(plain), total))
+                        template = " ".join(plain[i : i + size] if exact else [PLACEHOLDERS[kinds[j]] or plain[j] for j in here])
+                        values = [] if exact else [plain[j] for j in here if kinds[j]]
+                        rows.append((ident, mark, i, size, exact, h, template, values, len(plain), total))
                 if len(rows) >= 20_000:
                     yield _batch(rows)
                     rows = []
@@ -142,7 +168,7 @@ def _extract(sizes: tuple[int, ...] | None, bitmap: np.ndarray | None):
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32())
     names = [part.split()[0] for part in _SCHEMA.split(", ")]
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -168,10 +194,14 @@ def _bitmap(items: DataFrame) -> np.ndarray:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row per leaking document and item: doc_id, mark (hash of the text), item_id, matched, windows, run_words, slots."""
+    """A row per leaking document and item: doc_id, mark (hash of the text), item_id, matched, windows, run_words, slots.
+
+    The figures are those of the templates, or of the exact runs if only those tell.
+    """
     items = materialise(_marked(benchmark, "item_id").mapInArrow(_extract(None, None), _SCHEMA))
-    counted = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()
-    sizes = tuple(sorted(counted["sizes"])) or (WINDOW,)
+    counted = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.struct("exact", "size")).alias("sizes")).first()
+    few, runs = (tuple(sorted(r["size"] for r in counted["sizes"] if r["exact"] == kind)) for kind in (False, True))
+    sizes = (few, runs)
     sifted = _marked(docs, "doc_id").mapInArrow(_extract(sizes, _bitmap(items)), _SCHEMA)
     item_side = items.select(
         F.col("id").alias("item_id"),
@@ -183,14 +213,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("words").alias("item_words"),
         F.col("windows").alias("item_windows"),
         "size",
+        "exact",
     )
     if counted["n"] <= BROADCAST_WINDOWS:
         item_side = F.broadcast(item_side)
     doc_side = sifted.select(
-        F.col("id").alias("doc_id"), "mark", "at", F.col("hash").alias("item_hash"), "template", "values", "size"
+        F.col("id").alias("doc_id"), "mark", "at", F.col("hash").alias("item_hash"), "template", "values", "size", "exact"
     )
-    met = doc_side.join(item_side, ["item_hash", "size"]).filter(F.col("template") == F.col("item_template"))
-    key = ["doc_id", "mark", "item_id", "item_mark", "item_words", "item_windows", "size"]
+    met = doc_side.join(item_side, ["item_hash", "size", "exact"]).filter(F.col("template") == F.col("item_template"))
+    key = ["doc_id", "mark", "item_id", "item_mark", "item_words", "item_windows", "size", "exact"]
     # Rows that repeat others on either side are met once.
     met = materialise(
         met.select(*key, "item_at", (F.col("at") - F.col("item_at")).alias("line"), "values", "item_values").distinct()
@@ -227,9 +258,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     leaked = (F.col("matched") >= SHARE * F.col("item_windows")) | (
         F.col("run_words") >= F.least(F.lit(RUN_WORDS), F.col("item_words"))
     )
-    return held.filter(leaked).select(
-        "doc_id", "mark", "item_id", "matched", F.col("item_windows").cast("long").alias("windows"), "run_words", "slots"
-    )
+    told = ["matched", F.col("item_windows").cast("long").alias("windows"), "run_words", "slots"]
+    one = held.filter(leaked).groupBy("doc_id", "mark", "item_id", "item_mark").agg(F.min(F.struct("exact", *told)).alias("told"))
+    return one.select("doc_id", "mark", "item_id", "told.matched", "told.windows", "told.run_words", "told.slots")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -107,6 +107,19 @@ def test_leaks_with_other_values(spark):
     assert decontam.remove_leaks(docs, benchmark.limit(0)).count() == docs.count()
 
 
+def test_leaks_in_other_case_and_without_literals(spark):
+    names, sums, title = "Anna Bob Carl Dora Emil Frida", "12 + 7 = 19", "The Old Man And His Three Red Boats Went Out Once More Before Dawn Came"
+    items = [(1, QUESTION), (2, names), (3, sums), (4, title), (5, "!!")]
+    texts = [QUESTION.upper(), QUESTION.lower(), f"we saw {names} there", f"as told, {sums}, no more", "so: " + title.swapcase(), QUESTION, "12 and 7 make 19"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.find_leaks(docs, benchmark).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 1)]
+    words = len(QUESTION.split())
+    assert [(r.matched, r.windows, r.run_words) for r in got if r.doc_id == 0] == [(words - 12, words - 12, words)]
+    assert [r.doc_id for r in decontam.remove_leaks(docs, benchmark).collect()] == [6]
+
+
 def test_slots_must_be_consistent(spark):
     item = "The number 4 goes to x and the number 4 goes to y and the number 4 goes to z at the very end"
     same = item.replace("4", "9").lower()
