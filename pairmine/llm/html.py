@@ -4,8 +4,10 @@ A page is cut into text nodes, each under its path of open elements from the roo
 the text, its punctuation and its link text are added up over the nodes; the ratios of text and of punctuation to nodes
 are smoothed over neighbouring paths of the page, fused by their product (less by the share of link text), and
 paths above a threshold of the page are content. The element that holds nearly all the content, or the article
-around it, is the article; its blocks in page order are the text. Elements that are known to be
-something else (menus, footers, forms, adverts, comments, …) are left out by tag, role, class or id.
+around it, is the article; its blocks in page order are the text. Without an article or main element, blocks of content outside it
+are text too, with the headings before them and what stands between them, but for links. Elements that are known to be
+something else (menus, footers, forms, adverts, comments, …) are left out by tag, role, class or id; a class or id does not
+leave out an element that holds most of the page's text, unless it is of comments and there is other text.
 
 Pages do not depend on each other, so a page is read where it is stored: one pass and no shuffle.
 
@@ -62,20 +64,25 @@ _HINTS = re.compile(
     r"(?:$|[-_\s]|\d)",
     re.IGNORECASE,
 )
+_TALK = re.compile(r"(?:^|[-_\s])(?:comments?|disqus|replies|respond)(?:$|[-_\s]|\d)", re.IGNORECASE)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 _ARTICLES = frozenset(["article", "main"])
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "out", "link", "path", "depth", "article")
+    __slots__ = ("tag", "parent", "out", "link", "path", "depth", "article", "heading", "hint", "hard", "held", "marks")
 
     def __init__(self, tag: str, parent: _Element | None, marks: str = "", hidden: bool = False) -> None:
         self.tag, self.parent = tag, parent
         above = parent
         self.article = tag in _ARTICLES or (above is not None and above.article)
         named = tag == "header" and not (above is not None and above.article)
-        labelled = tag not in ("html", "body", "article", "main") and _HINTS.search(marks) is not None
-        self.out = (above is not None and above.out) or tag in _OUT or named or hidden or labelled
+        self.hint = tag not in ("html", "body", "article", "main") and _HINTS.search(marks) is not None
+        self.hard = (above is not None and above.hard) or tag in _OUT or named or hidden
+        self.out: bool | None = None  # told when the whole page is read
+        self.heading = tag in _HEADINGS or (above is not None and above.heading)
+        self.held, self.marks = 0, marks
         self.link = tag == "a" or (above is not None and above.link)
         self.path = (above.path if above else "") + "/" + tag + ("." + marks if marks else "")
         self.depth = above.depth + 1 if above else 0
@@ -102,6 +109,7 @@ def text_nodes(page: str) -> list[tuple[_Element, int, str]]:
         if text:
             found.append((here, block, html.unescape(text)))
         if token is None:
+            _leave_out(found)
             return found
         at = token.end()
         closing, tag = token.group(1), (token.group(2) or "").lower()
@@ -141,6 +149,28 @@ def text_nodes(page: str) -> list[tuple[_Element, int, str]]:
         here = _Element(tag, here, marks, hidden) if not token.group(3).rstrip().endswith("/") or tag in _BLOCK else here
 
 
+def _leave_out(nodes: list[tuple[_Element, int, str]]) -> None:
+    """Tells of every element around text whether it is out."""
+    total = free = 0
+    for element, _, text in nodes:
+        size = 0 if element.hard else len(text.strip())
+        total += size
+        hinted, up = False, element
+        while up is not None:
+            up.held += size
+            hinted = hinted or up.hint
+            up = up.parent
+        free += 0 if hinted else size
+    for element, _, _ in nodes:
+        chain, up = [], element
+        while up is not None and up.out is None:
+            chain.append(up)
+            up = up.parent
+        for one in reversed(chain):
+            most = 2 * one.held > total and not (10 * free >= total and _TALK.search(one.marks))
+            one.out = one.hard or (one.hint and not most) or (one.parent is not None and bool(one.parent.out))
+
+
 def path_scores(nodes: list[tuple[_Element, int, str]]) -> dict[str, float]:
     """The smoothed and fused ratio of every path that is not known to be something else."""
     sums: dict[str, list[float]] = {}
@@ -173,11 +203,14 @@ def main_text(page: str) -> str:
     weight: dict[int, float] = {}
     known: dict[int, _Element] = {}
     total = 0.0
-    for element, _, text in nodes:
+    content: set[int] = set()
+    for element, block, text in nodes:
         if element.out or scores.get(element.path, 0.0) < least or not least:
             continue
         size = len(text.strip())
         total += size
+        if size:
+            content.add(block)
         up: _Element | None = element
         while up is not None:
             weight[id(up)] = weight.get(id(up), 0.0) + size
@@ -192,10 +225,19 @@ def main_text(page: str) -> str:
         up = up.parent
     while article is not None and article.tag not in _SCOPE and article.parent is not None:
         article = article.parent
+    around = article
+    if article is not None and not article.article:
+        around = max((known[i] for i, w in weight.items() if w >= total), key=lambda e: e.depth)
+        while around.tag not in _SCOPE and around.parent is not None:
+            around = around.parent
+    first, final = min(content, default=0), max(content, default=0)
     blocks: list[list[str]] = []
     last = None
     for element, block, text in nodes:
-        if element.out or not _inside(element, article):
+        if element.out or not _inside(element, around):
+            continue
+        between = first < block < final and not element.link
+        if not (_inside(element, article) or block in content or between or (element.heading and block < final)):
             continue
         if block != last:
             blocks.append([])

@@ -49,6 +49,23 @@ def test_pages(page):
     assert html.main_text(page) == CASES[page]
 
 
+LONG = " ".join(["Much more text, and more, in the body."] * 30)
+BODY = "<p>Much more text, and more, in the body.</p>" * 30
+TEMPLATES = {
+    f"<div id=page><h1>Title</h1><div class=lead><p>A lead, of one line or so, stands first.</p></div><div class=body>{BODY}</div></div>": f"Title A lead, of one line or so, stands first. {LONG}",
+    f"<div><p>One line before, and so on.</p><blockquote>{BODY}</blockquote><p>One line after, and so on.</p></div>": f"One line before, and so on. {LONG} One line after, and so on.",
+    f"<div class='menu'><a href=x>Home</a></div><div class='site has-sidebar'><p>{LONG}</p><div class=sidebar>Side</div></div>": LONG,
+    f"<div id='main search-results'><h1>Found</h1><p>{LONG}</p></div><div class=footer>Foot</div>": f"Found {LONG}",
+    "<div class='post tags-x'><p>Short, but the page.</p></div>": "Short, but the page.",
+    f"<div><p>An article, of some words only.</p><p>And more, at its end.</p></div><div class=comments><p>{LONG[:160]}</p></div>": "An article, of some words only. And more, at its end.",
+}
+
+
+@pytest.mark.parametrize("page", list(TEMPLATES))
+def test_pages_of_divs(page):
+    assert html.main_text(page) == TEMPLATES[page]
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None, "x"), (None, "u", "", "x"), (2, "u", "<p>a b</p>", "x"), (2, "u", "<p>a b</p>", "x"), (3, "u", "<p>" + "w " * 200000, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
