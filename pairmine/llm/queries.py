@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmine.llm import decontam, html, imatch, langid, lines, mixing, ngram, quality, sharding, simhash
+from pairmine.llm import decontam, html, imatch, langid, lines, mixing, ngram, quality, secrets, sharding, simhash
 from pairmine.llm.common import held_out, whole, word_count
-from pairmine.session import materialise
+from pairmine.session import materialise, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +103,23 @@ def op10_trie_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _listed(spans: Column) -> Column:
+    """Findings as kind:start:end, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["rule"], s["start"], s["end"])), ",")
+
+
+def op11_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    found = secrets.scan(_table(spark, sf_dir, "documents"), folder)
+    kinds = F.transform("findings", lambda s: s["rule"])
+    counts = [
+        (F.size("findings") - F.size(F.array_remove(kinds, rule.name))).cast("long").alias(f"n_{rule.name}")
+        for rule in secrets.RULES
+    ]
+    listed = _listed(F.col("findings"))
+    return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_imatch_fingerprints,
@@ -114,5 +132,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_interleaved_shards,
         op10_trie_language_model,
+        op11_secret_ledger,
     )
     return {f.__name__: f for f in found}

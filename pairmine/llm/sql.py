@@ -63,5 +63,39 @@ FROM marked GROUP BY doc_id
 """
 
 
+def _spans(kind: str, rank: int, pattern: str, kept: str) -> str:
+    """Matches of a pattern with their places: what stands before a match is the pieces and matches up to it."""
+    return f"""
+  SELECT row, '{kind}' AS kind, {rank} AS rank, m, start, start + length(m) AS stop FROM (
+    SELECT row, unnest(ms) AS m,
+           unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda x: length(x)))
+             + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))) AS start
+    FROM (SELECT row, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS ps FROM docs)
+  ) WHERE {kept}"""
+
+
+_SPACE = r"\x20*"
+_QUOTE = """["'']?"""
+_NAMES = "[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+_ASSIGN = f"({_NAMES}){_QUOTE}{_SPACE}[:=]{_SPACE}{_QUOTE}([A-Za-z0-9+/_.=-]+)"
+_ACCESS, _HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
+
+SECRETS = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents
+), spans AS ({_spans("assign", 1, _ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6")}
+  UNION ALL {_spans("access", 2, _ACCESS, "length(m) >= 20")}
+  UNION ALL {_spans("hex", 3, _HEX, "length(m) >= 24")}
+), lists AS (
+  SELECT row, count(*) FILTER (rank = 1) AS n_assign, count(*) FILTER (rank = 2) AS n_access, count(*) FILTER (rank = 3) AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN lists USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": MIX_SOURCES, "op3_line_dedup": LINE_DEDUP}
+    return {"op2_mix_sources": MIX_SOURCES, "op3_line_dedup": LINE_DEDUP, "op11_secret_ledger": SECRETS}
