@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmine.llm import decontam, html, imatch, langid, lines, mixing, ngram, quality, secrets, sharding, simhash
-from pairmine.llm.common import held_out, whole, word_count
+from pairmine.llm import decontam, html, imatch, langid, lines, mixing, ngram, periodic, quality, secrets, sharding, simhash
+from pairmine.llm.common import held_out, whole, word_count, words
 from pairmine.session import materialise, shared_folder
 
 
@@ -120,6 +120,35 @@ def op11_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
 
 
+def _periodic_edit(docs: DataFrame) -> DataFrame:
+    """One document of ten, by its doc_id, repeats a part of its words up to its end; none without doc_id."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    edited = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words(whole("text"))).alias("ws"))
+    n = F.size("ws")
+    at = (F.col("g") % F.greatest(n, F.lit(1))).cast("int")
+    period = (1 + F.floor((n - at) / (3 + F.col("g") % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("ws", at + 1, period), F.ceil((n - at) / period).cast("int")))
+    text = F.array_join(F.concat(F.slice("ws", 1, at), F.slice(again, 1, n - at)), " ")
+    return edited.select("doc_id", F.when(F.col("ws").isNull(), F.col("text")).otherwise(text).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_periodic_edit(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = found.select("doc_id", "runs", "collapsed", periodic.strongest().alias("best"))
+    start, length, period = (F.col(f"best.{c}").cast("long") for c in ("start", "length", "period"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_imatch_fingerprints,
@@ -133,5 +162,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_interleaved_shards,
         op10_trie_language_model,
         op11_secret_ledger,
+        op12_periodic_runs,
     )
     return {f.__name__: f for f in found}
