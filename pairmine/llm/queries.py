@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairmine.llm import decontam, html, imatch, langid, lines, mixing, ngram, periodic, quality, secrets, sharding, simhash
+from pairmine.llm import decontam, html, imatch, langid, lines, mixing, ngram, periodic, quality, secrets, sharding, simhash, whitening
 from pairmine.llm.common import held_out, whole, word_count, words
 from pairmine.session import materialise, shared_folder
 
@@ -149,6 +149,23 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, model)
+    explained = F.array(*(F.lit(float(e)) for e in model.explained)).cast("array<double>")
+    long = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return long.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, "at").alias("explained"),
+        F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_imatch_fingerprints,
@@ -163,5 +180,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_trie_language_model,
         op11_secret_ledger,
         op12_periodic_runs,
+        op13_whitened_embeddings,
     )
     return {f.__name__: f for f in found}
