@@ -122,21 +122,27 @@ def group_metrics(
     return terms.groupBy(*groups).agg(*_means(), fraction).fillna(0.0, list(METRICS))
 
 
+def mean_of_batches(per_batch: DataFrame, group: Column) -> DataFrame:
+    """The nine metrics per group as means over batches: every batch has the same weight, whatever its number of pairs."""
+    return per_batch.groupBy(group).agg(*[F.avg(name).alias(name) for name in METRICS])
+
+
 def step_window_metrics(
     prompts: DataFrame,
     step: str = "step",
     every: int = DEFAULTS.logging_steps,
     loss: str = "sigmoid",
     beta: float = DEFAULTS.beta,
+    batch: str | None = None,
 ) -> DataFrame:
     """The nine metrics over tumbling windows of ``every`` steps, named by their first step.
 
-    Each is the mean of the steps' own values, with the zeros of a step without a valid pair, whatever the
-    number of pairs in a step.
+    Each is the mean of the values of the steps' batches, with the zeros of a batch without a valid pair, whatever the
+    number of pairs in a batch. Without ``batch`` a step is one batch.
     """
-    per_step = group_metrics(prompts, F.col(step).alias("_step"), loss, beta)
-    first = (F.floor(F.col("_step") / every) * every).alias("first_step")
-    return per_step.groupBy(first).agg(*[F.avg(name).alias(name) for name in METRICS])
+    groups = [F.col(step).alias("_step")] + ([F.col(batch).alias("_batch")] if batch else [])
+    per_batch = group_metrics(prompts, groups, loss, beta)
+    return mean_of_batches(per_batch, (F.floor(F.col("_step") / every) * every).alias("first_step"))
 
 
 def sample_pairs_log(

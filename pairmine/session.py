@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders written by ``materialise`` inside the innermost ``temporary_tables`` block, if there is one.
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned_tables", default=None)
+
 
 def build_session(app: str = "pairmine", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators were measured with.
@@ -55,5 +61,30 @@ def materialise(df: DataFrame, folder: str | None = None) -> DataFrame:
     spark = df.sparkSession
     if folder is None:
         folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+        if (owned := _OWNED.get()) is not None:
+            owned.append(folder)
     df.write.mode("overwrite").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder with all it holds, in whatever file system it is; nothing happens if it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write for themselves inside the block are deleted at its end.
+
+    Results that are read after the block must have been written or collected in it. Without such a block the tables
+    stay: a DataFrame that an operator has handed back may still read them.
+    """
+    owned: list[str] = []
+    before = _OWNED.set(owned)
+    try:
+        yield
+    finally:
+        _OWNED.reset(before)
+        for folder in owned:
+            remove_folder(spark, folder)

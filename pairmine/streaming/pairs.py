@@ -10,9 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairmine.operators import candidates as cd
 from pairmine.operators import pairs as pr
-from pairmine.session import materialise
+from pairmine.session import materialise, remove_folder, temporary_tables
+from pairmine.streaming.ends import late_rows, mark_end, with_end_marks
 
 GROUP = ["window_start", "prompt_id"]
+COLUMNS = ["prompt_id", "sample_idx", "text"]
 
 
 def closed_candidates(
@@ -44,14 +46,14 @@ def stream_pairs(
     ts: str = "ts",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start the stream: closed groups are scored, mined and written under ``path``.
+    """Start the stream: closed groups are scored, mined and written under ``path/pairs``.
 
     ``score`` turns the closed candidates (grouped by ``GROUP``) into scored ones. Each micro-batch
-    overwrites its own ``epoch_id`` folders, of candidates (``path/candidates``) and of pairs
-    (``path/pairs``), so a repeated one leaves each pair once. Samples later than the watermark
-    are dropped.
+    overwrites its own ``epoch_id`` folder of pairs, so a repeated one leaves each pair once. Samples later
+    than the watermark are dropped. The next run after :func:`end_input` closes all windows.
     """
-    closed = closed_candidates(completions, window, delay, ts)
+    own = with_end_marks(completions.select(ts, *COLUMNS), f"{path}/end")
+    closed = closed_candidates(own, window, delay, ts)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         write_epoch(batch, epoch_id, score, path)
@@ -60,33 +62,44 @@ def stream_pairs(
     return writer.foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def drain_open_windows(
+def end_input(completions: DataFrame, path: str, ts: str = "ts") -> None:
+    """Tell the stream that writes to ``path`` that its input is complete."""
+    # The mark needs a word: a row without one is taken out before the watermark sees it.
+    schema = completions.select(ts, *COLUMNS).schema
+    mark_end(completions.sparkSession, schema, f"{path}/end", ts, text="end")
+
+
+def stream_pairs_to_end(
     completions: DataFrame,
     score: Callable[[DataFrame], DataFrame],
     path: str,
+    checkpoint: str,
     window: str = "1 hour",
     delay: str = "10 minutes",
     ts: str = "ts",
 ) -> None:
-    """Mine the windows that a stream has left open when its input has come to an end.
+    """Run the stream over all input there is, then close it: every window is mined, and the input read once.
 
-    ``completions`` is the stream's whole input as a table; the other arguments are those of
-    :func:`stream_pairs`, and the pairs go beside the others, as epoch -1. Only for input that is complete: a
-    stream that goes on would write these windows again.
+    ``path/late`` says how many rows came too late: samples with a word, those alike in window, prompt and word counting
+    once for each task that read them.
     """
-    mark = completions.agg(F.unix_micros(F.max(ts) - F.expr(f"INTERVAL {delay}"))).first()[0]
-    if mark is None:
-        return
-    candidates = closed_candidates(completions, window, None, ts)
-    end = F.unix_micros(F.col("window_start") + F.expr(f"INTERVAL {window}"))
-    write_epoch(candidates.filter(end > mark), -1, score, path)
+    spark, late = completions.sparkSession, 0
+    for last in (False, True):
+        if last:
+            end_input(completions, path, ts)
+        query = stream_pairs(completions, score, path, checkpoint, window, delay, ts)
+        query.awaitTermination()
+        late += late_rows(query)
+    spark.createDataFrame([(late,)], "late_rows bigint").write.mode("append").parquet(f"{path}/late")
 
 
 def write_epoch(
     batch: DataFrame, epoch_id: int, score: Callable[[DataFrame], DataFrame], path: str
 ) -> None:
     """Mine one micro-batch into its own folder, replacing what an earlier attempt left there."""
-    # Written once: scoring passes over the closed groups more than one time.
-    candidates = materialise(batch, f"{path}/candidates/epoch_id={epoch_id}")
-    mined = pr.mine_pairs(score(candidates), GROUP)
-    mined.write.mode("overwrite").parquet(f"{path}/pairs/epoch_id={epoch_id}")
+    spark, folder = batch.sparkSession, f"{path}/candidates/epoch_id={epoch_id}"
+    with temporary_tables(spark):
+        # Written once: scoring passes over the closed groups more than one time.
+        mined = pr.mine_pairs(score(materialise(batch, folder)), GROUP)
+        mined.write.mode("overwrite").parquet(f"{path}/pairs/epoch_id={epoch_id}")
+    remove_folder(spark, folder)

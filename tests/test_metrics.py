@@ -90,3 +90,12 @@ def test_step_windows(spark):
     assert set(got) == {0, 50}
     assert got[50].rewards_accuracy == 0.125, "the mean of the steps' own values, 1/4 and 0"
     assert got[0].valid_pairs_frac == pytest.approx(2 / 3)
+
+
+def test_step_windows_over_batches(spark):
+    from pyspark.sql import functions as F
+
+    df = pairs(spark).withColumn("step", F.floor(F.col("batch_id") / 50))
+    one = {r.first_step: r for r in mt.step_window_metrics(df, every=1).collect()}
+    each = {r.first_step: r for r in mt.step_window_metrics(df, every=1, batch="batch_id").collect()}
+    assert one[1].rewards_accuracy == 0.2 and each[1].rewards_accuracy == 0.125, "batches 50 and 51 weigh alike"

@@ -61,11 +61,15 @@ def test_stream_equals_batch_over_several_runs(spark, tmp_path):
 def test_open_windows_are_mined_at_the_end_of_the_input(spark, tmp_path):
     folder, rows = str(tmp_path), samples(4)
     write(spark, rows, f"{folder}/in")
-    closed = run(spark, folder)
-    assert closed.count() < batch(spark, rows).count()
-    for _ in range(2):
-        sp.drain_open_windows(spark.read.parquet(f"{folder}/in"), score, f"{folder}/out")
-        assert rows_of(spark.read.parquet(f"{folder}/out/pairs").drop("epoch_id")) == rows_of(batch(spark, rows))
+    assert run(spark, folder).count() < batch(spark, rows).count()
+    more = [(START + timedelta(hours=h, minutes=1), 5, i, f"word{'x' * i}") for h in (1, 5) for i in range(3)]
+    write(spark, more, f"{folder}/in")  # three samples of a closed window, three of a new one
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
+    sp.stream_pairs_to_end(stream, score, f"{folder}/out", f"{folder}/state")
+    pairs = spark.read.parquet(f"{folder}/out/pairs").drop("epoch_id")
+    assert rows_of(pairs) == rows_of(batch(spark, rows + more[3:])), "closed by the stream, without its input once more"
+    assert [r.late_rows for r in spark.read.parquet(f"{folder}/out/late").collect()] == [3]
+    assert not list((tmp_path / "out" / "candidates").glob("*")), "candidates go when their pairs are written"
 
 
 def test_late_samples_are_dropped(spark, tmp_path):
@@ -109,3 +113,32 @@ def test_step_metrics_stream_equals_batch(spark, tmp_path):
         assert a.window_start == b.window_start
         for name in mt.METRICS:
             assert a[name] == pytest.approx(b[name])
+
+
+def test_stream_means_over_batches(spark, tmp_path):
+    schema = "ts timestamp, batch string, policy_chosen double, policy_rejected double, ref_chosen double, ref_rejected double"
+    rows = [
+        (START + timedelta(minutes=7 * i), f"b{i * i % 3}", -i / 3, -2.0, -1.0, None if i % 4 == 0 or i % 3 == 0 else -i / 5)
+        for i in range(40)
+    ]
+    df = spark.createDataFrame(rows, schema)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    query = (
+        sm.stream_step_metrics(stream, batch="batch").writeStream.outputMode("append").format("parquet")
+        .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    last = max(r[0] for r in rows) - timedelta(minutes=10)
+    pooled = {r.window_start: r for r in sm.stream_step_metrics(df, delay=None).collect()}
+    want = {r.window_start: r for r in sm.stream_step_metrics(df, delay=None, batch="batch").collect()}
+    got = {r.window_start: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(got) == {w for w in want if w + timedelta(hours=1) <= last} and len(got) > 2
+    for start, row in got.items():
+        assert all(row[m] == pytest.approx(want[start][m]) for m in mt.METRICS)
+    assert any(abs(pooled[w].loss - want[w].loss) > 1e-3 for w in want), "a batch without pairs lowers the mean"
+    first = df.filter(F.col("ts") < START + timedelta(hours=1))
+    per_batch = mt.group_metrics(first, F.col("batch")).collect()
+    assert len(per_batch) == 2 and 0.0 in [r.loss for r in per_batch]
+    assert want[START].loss == pytest.approx(sum(r.loss for r in per_batch) / 2)

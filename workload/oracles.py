@@ -513,19 +513,36 @@ SELECT CAST(epoch(w) AS BIGINT) AS window_start, valid_pairs_frac,
        {', '.join(f'coalesce({m}, 0.0) AS {m}' for m in ('loss', 'rewards_chosen', 'rewards_rejected', 'rewards_accuracy', 'rewards_margins', 'logps_rejected', 'logps_chosen', 'logits'))}
 FROM shares LEFT JOIN means USING (w)"""
 
-    sql["h2_step_windows"] = f"""WITH {_terms(0.1)},
-per_step AS (
-  SELECT batch_id AS step, avg(sigmoid) AS loss, avg(reward_chosen) AS rewards_chosen, avg(reward_rejected) AS rewards_rejected,
+    figures = ("loss", "rewards_chosen", "rewards_rejected", "rewards_accuracy", "rewards_margins", "logps_rejected", "logps_chosen", "logits")
+    means = ", ".join(mean(f"coalesce({m}, 0.0)", m) for m in figures)
+    for name, window in (("h2_step_windows", 10), ("h2_batch_windows", 70)):
+        sql[name] = f"""WITH {_terms(0.1)},
+per_batch AS (
+  SELECT batch_id AS batch, avg(sigmoid) AS loss, avg(reward_chosen) AS rewards_chosen, avg(reward_rejected) AS rewards_rejected,
          avg(CASE WHEN reward_chosen > reward_rejected THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rewards_accuracy,
          avg(reward_chosen - reward_rejected) AS rewards_margins, avg(pr) AS logps_rejected, avg(pc) AS logps_chosen,
          avg(logits) AS logits
   FROM terms GROUP BY 1),
 shares AS (
-  SELECT l_orderkey AS step, avg(CASE WHEN l_discount > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS valid_pairs_frac
+  SELECT l_orderkey AS batch, avg(CASE WHEN l_discount > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS valid_pairs_frac
   FROM lineitem GROUP BY 1)
-SELECT step // 10 * 10 AS first_step, {mean('valid_pairs_frac', 'valid_pairs_frac')},
-       {', '.join(mean(f'coalesce({m}, 0.0)', m) for m in ('loss', 'rewards_chosen', 'rewards_rejected', 'rewards_accuracy', 'rewards_margins', 'logps_rejected', 'logps_chosen', 'logits'))}
-FROM shares LEFT JOIN per_step USING (step) GROUP BY 1"""
+SELECT batch // {window} * 10 AS first_step, {mean('valid_pairs_frac', 'valid_pairs_frac')}, {means}
+FROM shares LEFT JOIN per_batch USING (batch) GROUP BY 1"""
+    sql["h2_stream_windows"] = f"""WITH prompts AS (
+  SELECT date_trunc('day', ts) AS w, user_id AS batch, event_type <> 'error' AS found, -ln(1 + abs(value)) AS pc,
+         -ln(3 + user_id) AS pr, -ln(length(event_type)) AS rc, -ln(length(props)) AS rr
+  FROM events),
+logits AS (SELECT *, (pc - pr) - (rc - rr) AS logits, {beta} * (pc - rc) AS rewc, {beta} * (pr - rr) AS rewr FROM prompts),
+per_batch AS (
+  SELECT w, batch, avg(greatest(-{x}, 0) + ln(1 + exp(-abs({x})))) FILTER (found) AS loss, avg(rewc) FILTER (found) AS rewards_chosen,
+         avg(rewr) FILTER (found) AS rewards_rejected,
+         avg(CASE WHEN rewc > rewr THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (found) AS rewards_accuracy,
+         avg(rewc - rewr) FILTER (found) AS rewards_margins, avg(pr) FILTER (found) AS logps_rejected,
+         avg(pc) FILTER (found) AS logps_chosen, avg(logits) FILTER (found) AS logits,
+         avg(CASE WHEN found THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS valid_pairs_frac
+  FROM logits GROUP BY w, batch)
+SELECT CAST(epoch(w) AS BIGINT) AS window_start, {mean('valid_pairs_frac', 'valid_pairs_frac')}, {means}
+FROM per_batch WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY w"""
 
     sql["i1_write_pairs"] = f"""WITH {_PAIRS}
 SELECT CAST(prompt_id AS VARCHAR) AS prompt, chosen, rejected, CAST(prompt_id // 4 AS BIGINT) AS step FROM pairs"""

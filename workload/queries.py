@@ -547,15 +547,12 @@ def _new_folder(spark, name):
 
 
 def h1_stream_pairs(spark, d):
-    """The events as a stream, run until all input is read; then the windows still open."""
+    """The events as a stream, run until all input is read and every window closed."""
     folder = _new_folder(spark, "stream-pairs")
-    score = _event_score(spark, d)
-    query = sp.stream_pairs(
-        tb.event_completions(tb.events(spark, d, stream=True)), score,
+    sp.stream_pairs_to_end(
+        tb.event_completions(tb.events(spark, d, stream=True)), _event_score(spark, d),
         f"{folder}/out", f"{folder}/state", window="7 days", delay="1 day",
     )
-    query.awaitTermination()
-    sp.drain_open_windows(tb.event_completions(tb.events(spark, d)), score, f"{folder}/out", "7 days", "1 day")
     pairs = spark.read.parquet(f"{folder}/out/pairs")
     return pairs.select(_seconds(), "prompt_id", "chosen", "rejected")
 
@@ -573,6 +570,26 @@ def h2_step_metrics(spark, d):
     return _rounded(metrics.select(_seconds(), *mt.METRICS), *mt.METRICS)
 
 
+def h2_stream_windows(spark, d):
+    """The events as a stream; the mean over users, each a batch, of every window that the watermark closes."""
+    folder = _new_folder(spark, "stream-metrics")
+    prompts = tb.event_prompts(tb.events(spark, d, stream=True), "user_id")
+    metrics = sm.stream_step_metrics(prompts, "1 day", "1 hour", batch="user_id")
+    query = (
+        metrics.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    windows = spark.read.schema(metrics.schema).parquet(f"{folder}/out")
+    return _rounded(windows.select(_seconds(), *mt.METRICS), *mt.METRICS)
+
+
+def h2_batch_windows(spark, d):
+    """Seven order keys to a step, each order a batch; the mean over batches of ten steps."""
+    prompts = tb.pair_logps(spark, d).withColumn("step", F.floor(F.col("batch_id") / 7))
+    return _rounded(mt.step_window_metrics(prompts, batch="batch_id"), *mt.METRICS)
+
+
 def h2_step_windows(spark, d):
     """Orders as steps, ten to a window."""
     prompts = tb.pair_logps(spark, d).withColumnRenamed("batch_id", "step")

@@ -179,11 +179,12 @@ def event_completions(events: DataFrame) -> DataFrame:
     )
 
 
-def event_prompts(events: DataFrame) -> DataFrame:
-    """Events as prompts of a step; an ``error`` event has no pair."""
+def event_prompts(events: DataFrame, *more: str) -> DataFrame:
+    """Events as prompts of a step, with ``more`` of their columns; an ``error`` event has no pair."""
     found = F.col("event_type") != "error"
     return events.select(
         "ts",
+        *more,
         F.when(found, -F.ln(1 + F.abs("value"))).alias("policy_chosen"),
         F.when(found, -F.ln(3 + F.col("user_id"))).alias("policy_rejected"),
         F.when(found, -F.ln(F.length("event_type"))).alias("ref_chosen"),
