@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairmine.functions.text import EMPTY_MARK
-from pairmine.functions.vectors import NORM_FLOOR, l2_norm
 from pairmine.operators.diversity import (
     attach_embeddings,
+    average_of_sums,
     group_columns,
+    group_spread,
     similarity_profile,
+    unit_sums,
 )
 from pairmine.session import materialise
 
@@ -46,34 +48,28 @@ def vocabulary_list(runs: DataFrame, run: str = "run", word: str = "word") -> Da
     return run_words(runs, run, word).orderBy(run, word)
 
 
-def _unit_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    norm = F.greatest(l2_norm(F.col(vector)), F.lit(NORM_FLOOR))
-    values = df.filter(F.col(vector).isNotNull()).select(*keys, norm.alias("_norm"), vector)
-    long = values.select(*keys, "_norm", F.posexplode(vector).alias("_dim", "_x"))
-    unit = F.col("_x").cast("double") / F.col("_norm")
-    return long.groupBy(*keys, "_dim").agg(
-        F.sum(unit).alias("_sum"), F.sum(unit * unit).alias("_squares"), F.count("*").alias("_n")
-    )
-
-
 def avg_pairwise_similarity(
     df: DataFrame, group: str | list[str] = "run", vector: str = "embedding"
 ) -> DataFrame:
     """Mean cosine over all ordered pairs of different rows of a group; 0.0 below two rows.
 
-    Linear in the rows: (‖Σu‖² − Σ‖u‖²) / (n(n − 1)) over unit vectors u. Sums per dimension combine
-    before the shuffle, so a group of any size sends one row per dimension and task.
+    Linear in the rows: (‖Σu‖² − Σ‖u‖²) / (n(n − 1)) over unit vectors u. A group of any size sends one row per
+    batch of input rows.
     """
     keys = group_columns(group)
-    sums = _unit_sums(df, keys, vector)
-    totals = sums.groupBy(*keys).agg(
-        F.sum(F.col("_sum") * F.col("_sum")).alias("_whole"),
-        F.sum("_squares").alias("_own"),
-        F.max("_n").alias("n"),
-    )
-    n = F.col("n").cast("double")
-    average = F.when(n < 2, 0.0).otherwise((F.col("_whole") - F.col("_own")) / (n * (n - 1)))
-    return totals.select(*keys, "n", average.alias("avg_similarity"))
+    sums = unit_sums(df.filter(F.col(vector).isNotNull()), keys, vector)
+    average = average_of_sums(F.col("_n"), F.col("_whole"), F.col("_own"))
+    return sums.select(*keys, F.col("_n").alias("n"), average.alias("avg_similarity"))
+
+
+def _with_missing(figures: DataFrame, df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """Every group of ``df``, with ``missing_vectors``: its rows that have no vector and take no part."""
+    counts = df.groupBy(*[F.col(k).alias("_m_" + k) for k in keys]).agg(F.count_if(F.col(vector).isNull()).alias("missing_vectors"))
+    own = F.lit(True)
+    for k in keys:
+        own = own & F.col("_m_" + k).eqNullSafe(F.col(k))
+    rest = [c for c in figures.columns if c not in keys]
+    return counts.join(figures, own, "left").select(*[F.col("_m_" + k).alias(k) for k in keys], *rest, "missing_vectors")
 
 
 def min_positive_similarity(
@@ -83,11 +79,12 @@ def min_positive_similarity(
     vector: str = "embedding",
     **options,
 ) -> DataFrame:
-    """The smallest similarity above 0 in each group; NULL where there is none."""
+    """The smallest similarity above 0 in each group, NULL where there is none, and ``missing_vectors``."""
     keys = group_columns(group)
     present = df.filter(F.col(vector).isNotNull())
     profile = similarity_profile(present, keys, id, vector, **options)
-    return profile.groupBy(*keys).agg(F.min("min_positive_sim").alias("min_positive_similarity"))
+    lowest = profile.groupBy(*keys).agg(F.min("min_positive_sim").alias("min_positive_similarity"))
+    return _with_missing(lowest, df, keys, vector)
 
 
 def diversity_score(
@@ -98,18 +95,20 @@ def diversity_score(
     mode: str = "avg",
     **options,
 ) -> DataFrame:
-    """1 − average similarity (``avg``) or 1 − highest similarity (``max``); NULL below two rows."""
+    """1 − average similarity (``avg``) or 1 − highest similarity (``max``), NULL below two rows, and ``missing_vectors``."""
     keys = group_columns(group)
     if mode == "avg":
         average = avg_pairwise_similarity(df, keys, vector)
-        return average.select(
+        score = average.select(
             *keys, F.when(F.col("n") >= 2, 1 - F.col("avg_similarity")).alias("diversity_score")
         )
-    if mode == "max":
+    elif mode == "max":
         present = df.filter(F.col(vector).isNotNull())
         profile = similarity_profile(present, keys, id, vector, lowest=False, **options)
-        return profile.groupBy(*keys).agg((1 - F.max("max_sim")).alias("diversity_score"))
-    raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
+        score = profile.groupBy(*keys).agg((1 - F.max("max_sim")).alias("diversity_score"))
+    else:
+        raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
+    return _with_missing(score, df, keys, vector)
 
 
 def vocabulary_compare(
@@ -144,15 +143,11 @@ def run_report(
     summary = _summary(counts, run, word)
     words = counts.filter(F.col(word) != EMPTY_MARK).select(run, F.col(word).alias(key))
     vectors = attach_embeddings(words, embeddings, key, vector).filter(F.col(vector).isNotNull())
-    average = avg_pairwise_similarity(vectors, run, vector)
-    profile = similarity_profile(vectors, run, key, vector, group_sizes=words, **options)
-    extremes = profile.groupBy(run).agg(
-        F.min("min_positive_sim").alias("min_positive_similarity"),
-        (1 - F.max("max_sim")).alias("diversity_max"),
+    spread = group_spread(vectors, run, key, vector, group_sizes=words, **options).select(
+        run, "n", "avg_similarity", F.col("min_positive_sim").alias("min_positive_similarity"), (1 - F.col("max_sim")).alias("diversity_max")
     )
     report = (
-        summary.join(average, run, "left")
-        .join(extremes, run, "left")
+        summary.join(spread, run, "left")
         .withColumn("missing_vectors", F.col("unique_words") - F.coalesce("n", F.lit(0)))
         .drop("n")
         .withColumn("avg_similarity", F.coalesce("avg_similarity", F.lit(0.0)))

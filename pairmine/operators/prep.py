@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +14,9 @@ from pairmine.session import materialise
 
 # One row is never blown up to more copies than this within a single task.
 _COPIES_PER_ROW = 4096
-_MAX_BUCKETS = 4096
+_RANGE_ROWS = 250_000
+# At most so many words of one count are put in order.
+_SORT_ROWS = 10_000
 
 
 def _explode_steps(df: DataFrame, start, stop, step: int, most: int, out: str) -> DataFrame:
@@ -50,59 +51,59 @@ def aligned_count(base: int, device_batch: int, accumulation: int) -> int:
     return max(base // effective * effective, effective)
 
 
+def _missing(df: DataFrame, keys: list[str]):
+    """Is a key column null, or not a number?"""
+    found = F.lit(False)
+    for k in keys:
+        found = found | F.col(k).isNull()
+        if isinstance(df.schema[k].dataType, (T.DoubleType, T.FloatType)):
+            found = found | F.coalesce(F.isnan(k), F.lit(False))
+    return found
+
+
+def number_rows(df: DataFrame, key: str | list[str], ranges: int, out: str = "idx") -> DataFrame:
+    """Number the rows densely from 0 in the order of ``key``, one column or several of any type that can be ordered.
+
+    Spark cuts the keys into ``ranges`` by sampling them; each range is sorted in its own task and written with
+    the places of its rows, and the counts per range, one row each, give what to add to them. Equal keys are numbered in any order.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    ordered = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    # range number in the upper bits, place within the range in the lower 33
+    placed = materialise(ordered.withColumn("_place", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_range")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return (
+        placed.join(starts, part == F.col("_range")).withColumn(out, F.col("_start") + within).drop("_place", "_range", "_start")
+    )
+
+
 def align_to_batch(
-    df: DataFrame, key: str, base: int | None, device_batch: int, accumulation: int
+    df: DataFrame, key: str | list[str], base: int | None, device_batch: int, accumulation: int
 ) -> DataFrame:
     """Exactly ``aligned_count(base)`` rows, numbered densely in ``key`` order.
 
-    Adds ``idx``, ``batch_id`` (device batches) and ``step`` (optimiser steps). ``key`` is a unique
-    number, date or timestamp; ``base=None`` stands for the row count of ``df``. A table with fewer
-    rows than needed starts again from its first row.
+    Adds ``idx``, ``batch_id`` (device batches) and ``step`` (optimiser steps). ``key`` is a column, or several, of any
+    type that can be ordered, unique as a whole; a null or a NaN in it is an error. ``base=None`` stands for the row count of
+    ``df``. A table with fewer rows than needed starts again from its first row.
 
-    No global sort: quantiles of the key column cut the table into ranges, the counts per range give
-    each range its first index, and only ranges that are needed are numbered, each in its own task.
-    Two passes over the key column alone run at once; a list of range counts reaches the driver.
+    No global sort: ranges of about a quarter of a million rows are numbered each in its own task (see :func:`number_rows`). If only some of the rows
+    are needed, each task first keeps no more than that many. One count of the key columns runs at once.
     """
-    require(df, key)
-    kind = df.schema[key].dataType
-    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-        raise TypeError(f"key {key!r} must be a number, date or timestamp, not {kind}")
-    position = F.col(key)
-    if isinstance(kind, (T.DateType, T.TimestampNTZType)):
-        position = position.cast("timestamp")
-    rows = df.withColumn("_pos", position.cast("double"))
-
-    spark = df.sparkSession
-    ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), _MAX_BUCKETS)
-    cuts = rows.approxQuantile("_pos", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) > 2:
-        cut = Bucketizer(splits=splits, inputCol="_pos", outputCol="_range", handleInvalid="keep")
-        rows = cut.transform(rows)
-    else:
-        rows = rows.withColumn("_range", F.lit(0.0))
-    counted = rows.groupBy("_range").agg(F.count("*").alias("n"), F.count(F.when(~F.isnan("_pos"), 1)).alias("keyed"))
-    found = counted.collect()
-    if any(r["n"] != r["keyed"] for r in found):
+    keys = [key] if isinstance(key, str) else list(key)
+    require(df, *keys)
+    if not keys or any(isinstance(df.schema[k].dataType, (T.MapType, T.VariantType)) for k in keys):
+        raise TypeError(f"key {key!r} must be one column or more that can be ordered")
+    counted = df.agg(F.count("*").alias("n"), F.count_if(_missing(df, keys)).alias("missing")).first()
+    if counted["missing"]:
         raise ValueError(f"key {key!r} has missing values")
-    counts = {int(r["_range"]): r["n"] for r in found}
-    total = sum(counts.values())
+    total = counted["n"]
     target = aligned_count(total if base is None else base, device_batch, accumulation)
     effective = device_batch * accumulation
-
-    first, firsts = 0, []
-    for i in range(len(splits) - 1):
-        firsts.append(first)
-        first += counts.get(i, 0)
-    needed = sum(1 for f in firsts if f < target)
-    within = Window.partitionBy("_range").orderBy(key)
-    offset = F.element_at(F.array(*[F.lit(f).cast("bigint") for f in firsts]), F.col("_range").cast("int") + 1)
-    numbered = (
-        rows.filter(F.col("_range") < needed)
-        .withColumn("_first", offset + F.row_number().over(within) - 1)
-        .filter(F.col("_first") < target)
-        .drop("_pos", "_range")
-    )
+    rows = df.orderBy(*keys).limit(target) if target < total else df
+    numbered = number_rows(rows, keys, max(1, -(-min(target, total) // _RANGE_ROWS)), "_first")
     if total >= target:
         numbered = numbered.withColumnRenamed("_first", "idx")
     else:
@@ -162,13 +163,41 @@ def gazetteer(*names: DataFrame, word: str = "word", allow_empty: bool = False)
     return union.select(F.lower(word).alias("word")).distinct()
 
 
+def _first_words(words: DataFrame, count: int, at_once: int) -> DataFrame:
+    """The ``count`` first of the different words of a table, in binary order.
+
+    By counting what follows a common beginning, one character longer in each round, until the words that share the beginning at
+    which the list ends are at most ``at_once``; only these are put in order. What reaches the driver is one row per different character.
+    """
+    start, taken = "", F.lit(False)
+    while True:
+        inside = words.filter(F.startswith("word", F.lit(start)))
+        following = F.substring("word", len(start) + 1, 1)
+        counts = sorted((r["c"], r["n"]) for r in inside.groupBy(following.alias("c")).agg(F.count("*").alias("n")).collect())
+        if sum(n for _, n in counts) <= count:
+            return words.filter(taken | F.startswith("word", F.lit(start)))
+        # code points are in the order of the words' bytes
+        for char, n in counts:
+            if n > count:
+                break
+            count -= n
+            at = F.col("word") == start if char == "" else F.startswith("word", F.lit(start + char))
+            taken = taken | at
+        if count == 0:
+            return words.filter(taken)
+        start += char
+        if n <= at_once:
+            return words.filter(taken).unionByName(words.filter(F.startswith("word", F.lit(start))).orderBy("word").limit(count))
+
+
 def top_n_vocab(
-    df: DataFrame, n: int, text: str = "text", pattern: str = r"[\p{L}\p{M}]+"
+    df: DataFrame, n: int, text: str = "text", pattern: str = r"[\p{L}\p{M}]+", ordered: bool = True
 ) -> DataFrame:
     """The ``n`` most frequent lower-cased words; equal counts in word order.
 
-    The counts are written, and the words per count give the count at which the list ends; only words with just
-    that count are put in order to fill it up. What is held by one task is one row per different count.
+    The counts are written, and the words per count give the count at which the list ends; the words with just that count fill
+    it up in word order, which is found by their beginnings. At most ``_SORT_ROWS`` words and one row per different count
+    are held by one task. ``ordered=False`` leaves the order of the result open, for joins.
     """
     words = df.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))).alias("word"))
     counts = materialise(words.groupBy("word").agg(F.count("*").alias("n")))
@@ -180,5 +209,8 @@ def top_n_vocab(
     )
     if cut is None:
         return counts.limit(0)
-    last = counts.filter(F.col("n") == cut["n"]).orderBy("word").limit(n - cut["above"])
-    return counts.filter(F.col("n") > cut["n"]).unionByName(last).orderBy(F.desc("n"), "word")
+    found = counts.filter(F.col("n") >= cut["n"])
+    if cut["above"] + cut["words"] > n:
+        last = _first_words(counts.filter(F.col("n") == cut["n"]), n - cut["above"], _SORT_ROWS)
+        found = counts.filter(F.col("n") > cut["n"]).unionByName(last)
+    return found.orderBy(F.desc("n"), "word") if ordered else found

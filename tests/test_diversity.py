@@ -185,3 +185,59 @@ def test_vectors_of_another_length_leave_only_their_group_without_scores(spark,
     assert {k[0] for k, v in got.items() if v == 0.0} == {1, 3}
     for group in (2, 4):
         assert got[group, 1] == pytest.approx(1 - 3 / 10**0.5, abs=1e-6)
+
+
+@pytest.mark.parametrize("lowest", [False, True])
+def test_pairs_of_blocks_that_cannot_matter_are_skipped(spark, monkeypatch, lowest):
+    """Forty clusters: only few pairs of blocks are compared, and no result changes."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    rows = [(1, i, [float(x) for x in centres[i % 40] + 0.02 * rng.normal(size=24)]) for i in range(2000)]
+    df, counts = table(spark, rows), []
+    planned = dv.cells.block_pairs
+
+    def counted(parts, *args):
+        pairs = planned(parts, *args)
+        counts.append((parts.select("_block").distinct().count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(dv.cells, "block_pairs", counted)
+    got = {r.sample_idx: r for r in dv.similarity_profile(df, block_rows=40, lowest=lowest).collect()}
+    units = np.array([v for _, _, v in rows], dtype=np.float32).astype(float)
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    sims = units @ units.T
+    np.fill_diagonal(sims, -2)
+    assert all(got[i].max_sim == pytest.approx(sims[i].max(), abs=1e-9) for i in range(2000))
+    if lowest:
+        assert all(got[i].min_positive_sim == pytest.approx(sims[i][sims[i] > 0].min(), abs=1e-9) for i in range(2000))
+    blocks = counts[0][0]
+    compared, everything = sum(n for _, n in counts), blocks * (blocks - 1) // 2
+    assert blocks >= 40 and compared < everything / 2, (blocks, compared, everything)
+
+
+def test_directions_that_are_hard_to_bound(spark):
+    """Zero vectors, opposite ones, and angles near the bounds: blocks give what one block gives."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(6, 3))
+    vectors = [base[i % 6] * (1 if i % 2 else -1) + 1e-7 * rng.normal(size=3) * (i % 5) for i in range(120)]
+    rows = [(1, i, [0.0] * 3 if i % 17 == 0 else [float(x) for x in v]) for i, v in enumerate(vectors)]
+    assert_profile(table(spark, rows), rows, block_rows=10)
+
+
+@pytest.mark.parametrize("block_rows", [8, 4096])
+def test_spread_of_groups(spark, block_rows):
+    rows = random_rows(6, [1, 2, 60, 9], missing={(3, 2)})
+    got = {r.prompt_id: r for r in dv.group_spread(table(spark, rows), "prompt_id", "sample_idx", block_rows=block_rows).collect()}
+    present = [r for r in rows if r[2] is not None]
+    profiles = brute(present)
+    for g in range(4):
+        units = [np.array(v, dtype=np.float32).astype(float) for k, _, v in present if k == g]
+        units = np.array([v / max(np.linalg.norm(v), 1e-12) for v in units])
+        sims = units @ units.T
+        n = len(units)
+        want = (sims.sum() - np.trace(sims)) / (n * (n - 1)) if n > 1 else 0.0
+        highs = [h for (k, _), (h, _) in profiles.items() if k == g and h is not None]
+        lows = [x for (k, _), (_, x) in profiles.items() if k == g and x is not None]
+        assert got[g].n == n and got[g].avg_similarity == pytest.approx(want, abs=1e-12)
+        assert got[g].max_sim == pytest.approx(max(highs, default=None) if highs else None, abs=1e-9)
+        assert got[g].min_positive_sim == (pytest.approx(min(lows), abs=1e-9) if lows else None)

@@ -44,12 +44,31 @@ def test_align_to_batch_repeats_a_single_prompt(spark, monkeypatch):
     assert sorted(r.idx for r in got) == list(range(96))
 
 
-def test_align_to_batch_takes_dates_but_no_text(spark):
-    df = spark.sql("SELECT DATE'2024-01-01' + CAST(id AS INT) AS key FROM range(20)")
+def test_align_to_batch_takes_any_key_that_has_an_order(spark, monkeypatch):
+    monkeypatch.setattr(prep, "_RANGE_ROWS", 7)
+    df = spark.sql("SELECT DATE'2024-01-01' + CAST(id AS INT) AS key FROM range(20)").repartition(3)
     got = prep.align_to_batch(df, "key", 8, 1, 8).orderBy("idx").collect()
     assert [r.key.day for r in got] == list(range(1, 9))
+    words = [f"{w}{i}" for w in ("b", "é", "", "aa", "Z") for i in range(9)]
+    text = spark.createDataFrame([(w,) for w in words], "key string").repartition(4)
+    got = prep.align_to_batch(text, "key", None, 1, 8).orderBy("idx").collect()
+    assert [r.key for r in got] == sorted(words, key=lambda w: w.encode())[:40]
+    both = text.select(F.length("key").alias("a"), F.col("key").alias("b"))
+    got = prep.align_to_batch(both, ["a", "b"], 100, 2, 8).orderBy("idx").collect()
+    want = sorted(words, key=lambda w: (len(w), w.encode()))
+    assert [(r.idx, r.b, r.step) for r in got] == [(i, want[i % 45], i // 16) for i in range(96)]
     with pytest.raises(TypeError):
-        prep.align_to_batch(df.select(F.col("key").cast("string")), "key", 8, 1, 8)
+        prep.align_to_batch(df.select(F.create_map("key", "key").alias("key")), "key", 8, 1, 8)
+
+
+@pytest.mark.parametrize("rows, kind", [([(1.0,), (None,)], "double"), ([(1.0,), (float("nan"),)], "double"), ([("a",), (None,)], "string"), ([(None,)], "date")])
+def test_align_to_batch_needs_all_keys(spark, rows, kind):
+    with pytest.raises(ValueError, match="missing values"):
+        prep.align_to_batch(spark.createDataFrame(rows, f"key {kind}"), "key", 8, 1, 8)
+
+
+def test_align_to_batch_of_an_empty_table(spark):
+    assert prep.align_to_batch(spark.createDataFrame([], "key string"), "key", 8, 1, 8).count() == 0
 
 
 def test_route_by_schema(spark):
@@ -94,6 +113,27 @@ def test_top_n_vocab_breaks_ties_by_word(spark):
     assert got == [("a", 2), ("b", 2), ("c", 2)]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 120, 121, 200])
+def test_top_n_vocab_finds_the_cut_by_beginnings(spark, monkeypatch, n):
+    monkeypatch.setattr(prep, "_SORT_ROWS", 3)
+    words = sorted({"a" * i for i in range(1, 30)} | {f"{x}{y}" for x in "abcé" for y in ("", "a", "bb", "bbb", "éa", "z")} | {"b" + "c" * 20 + x for x in "pqrs"}, key=str.encode)
+    df = spark.createDataFrame([(" ".join(words[i::3]),) for i in range(3)] + [("zz zz",)], "text string")
+    got = [(r.word, r.n) for r in prep.top_n_vocab(df, n).collect()]
+    assert got == ([("zz", 2)] + [(w, 1) for w in words])[:n]
+
+
+def test_top_n_vocab_of_a_million_words_that_occur_once(spark):
+    letters = F.translate(F.lpad(F.conv(F.col("id"), 10, 16), 8, "0"), "0123456789", "ghijklmnop")
+    df = spark.range(1_000_000).select(F.lower(letters).alias("text"))
+    words = prep.top_n_vocab(df, 400_000, ordered=False)
+    assert words.count() == 400_000
+    digits = "abcdefghijklmnop"
+    want = sorted("".join("ghijklmnopabcdef"[int(c, 16)] for c in f"{i:08x}") for i in range(1_000_000))[399_999]
+    assert words.agg(F.max("word")).first()[0] == want and set(want) <= set(digits)
+    plan = words._jdf.queryExecution().toString()
+    assert "TakeOrderedAndProject" not in plan or "limit=400000" not in plan
+
+
 def test_require(spark):
     with pytest.raises(ValueError, match="missing"):
         require(spark.range(1), "word")

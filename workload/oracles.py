@@ -279,6 +279,9 @@ SELECT item_id AS prompt_id, text AS prompt, r.i AS copy FROM benchmark, range(8
     sql["a2_align_repeating"] = _aligned(
         "(SELECT item_id AS prompt_id FROM benchmark)", "prompt_id", "prompt_id", str(BASE_PROMPTS), 1
     )
+    sql["a2_align_string_key"] = _aligned("customer", "c_name, c_custkey", "c_name", "total", 2)
+    keys = "o_orderpriority, o_orderkey"
+    sql["a2_align_composite_key"] = _aligned("orders", keys, keys, "total", 2)
     sql["a3_route_prompts"] = """
 SELECT item_id AS prompt_id, 'mine' AS route,
        '<|user|>' || chr(10) || text || '<|end|>' || chr(10) || '<|assistant|>' || chr(10) AS text
@@ -384,6 +387,10 @@ SELECT sample_idx, dim, {_r6('x')} AS x FROM (
     sql["d3_similarity_profile"] = f"""WITH {_PROFILE}
 SELECT label AS prompt_id, vec_id AS sample_idx, {_r6('max_sim')} AS max_sim,
        {_r6('min_positive_sim')} AS min_positive_sim FROM profile"""
+    pair = "list_dot_product(a.u, b.u)"
+    sql["d3_blocks"] = f"""WITH {_UNIT}
+SELECT a.vec_id AS sample_idx, {_r6(f'max({pair})')} AS max_sim, {_r6(f'min({pair}) FILTER ({pair} > 0)')} AS min_positive_sim
+FROM unit a LEFT JOIN unit b ON a.vec_id <> b.vec_id GROUP BY a.vec_id"""
     sql["d4_max_sim_diversity"] = f"WITH {_DIVERSE} SELECT prompt_id, sample_idx, diversity FROM diverse"
     sql["d4_blocks"] = f"""WITH {_UNIT}
 SELECT a.vec_id AS sample_idx, coalesce({_r6('1 - max(list_dot_product(a.u, b.u))')}, 0.0) AS diversity
@@ -476,6 +483,11 @@ SELECT run, word, count(*) AS n FROM runs WHERE word <> '[empty]' GROUP BY run,
     sql["g2_avg_pairwise_similarity"] = f"WITH {_VECTOR_STATS} SELECT run, n, {_r6('avg_similarity')} AS avg_similarity FROM stats"
     sql["g3_min_positive_similarity"] = f"""WITH {_VECTOR_STATS}
 SELECT run, {_r6('min_positive_similarity')} AS min_positive_similarity FROM stats"""
+    sql["g3_blocks"] = f"""WITH {_UNIT}, docs AS (SELECT DISTINCT doc_id FROM documents)
+SELECT 'all' AS run, {_r6(f'min({pair}) FILTER ({pair} > 0)')} AS min_positive_similarity,
+       (SELECT count(*) FROM docs WHERE doc_id NOT IN (SELECT vec_id FROM unit)) AS missing_vectors
+FROM unit a JOIN unit b ON a.vec_id < b.vec_id
+WHERE a.vec_id IN (SELECT doc_id FROM docs) AND b.vec_id IN (SELECT doc_id FROM docs)"""
     for mode in ("avg", "max"):
         sql[f"g4_diversity_score_{mode}"] = f"""WITH {_VECTOR_STATS}
 SELECT run, {_r6('diversity_' + mode)} AS diversity_score FROM stats"""

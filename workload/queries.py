@@ -75,6 +75,16 @@ def a2_align_repeating(spark, d):
     return prep.align_to_batch(items, "prompt_id", BASE_PROMPTS, DEVICE_BATCH, ACCUMULATION)
 
 
+def a2_align_string_key(spark, d):
+    names = table(spark, d, "customer", "c_name", "c_custkey")
+    return prep.align_to_batch(names, "c_name", None, 2, ACCUMULATION)
+
+
+def a2_align_composite_key(spark, d):
+    orders = table(spark, d, "orders", "o_orderpriority", "o_orderkey")
+    return prep.align_to_batch(orders, ["o_orderpriority", "o_orderkey"], None, 2, ACCUMULATION)
+
+
 def _rendered(prompts: DataFrame) -> DataFrame:
     message = F.struct(F.lit("user").alias("role"), F.col("prompt").alias("text"))
     text = chat.render_chat(F.array(message), F.col("prompt"))
@@ -231,7 +241,7 @@ def c3_not_in_gazetteer(spark, d):
 
 
 def _common(spark, d):
-    return a9_top_n_vocab(spark, d).select("word")
+    return prep.top_n_vocab(table(spark, d, "documents", "text"), COMMON_WORDS, ordered=False).select("word")
 
 
 def c4_in_common_vocab(spark, d):
@@ -295,6 +305,13 @@ def d3_similarity_profile(spark, d):
     return _rounded(profile, "max_sim", "min_positive_sim")
 
 
+def d3_blocks(spark, d):
+    """All vectors as one group, in several blocks."""
+    vectors = tb.vectors(spark, d).withColumn("prompt_id", F.lit(0))
+    profile = dv.similarity_profile(vectors, block_rows=64).drop("word", "prompt_id")
+    return _rounded(profile, "max_sim", "min_positive_sim")
+
+
 def d4_max_sim_diversity(spark, d):
     return dv.max_sim_diversity(tb.vectors(spark, d)).drop("word")
 
@@ -354,7 +371,7 @@ def e5_max_target_filter(spark, d):
         side_length = length.select(
             F.col("doc_id").alias(side + "_idx"), F.col("tokens").alias(side + "_tokens")
         )
-        pairs = pairs.join(side_length, side + "_idx")
+        pairs = pairs.join(side_length, side + "_idx", "left")
     kept = pr.max_target_filter(pairs, 7, F.col("chosen_tokens"), F.col("rejected_tokens"))
     return kept.select("prompt_id", "chosen", "rejected", "chosen_tokens", "rejected_tokens")
 
@@ -480,15 +497,24 @@ def g2_avg_pairwise_similarity(spark, d):
 
 
 def g3_min_positive_similarity(spark, d):
-    return _rounded(ev.min_positive_similarity(tb.vector_runs(spark, d)), "min_positive_similarity")
+    lowest = ev.min_positive_similarity(tb.vector_runs(spark, d)).drop("missing_vectors")
+    return _rounded(lowest, "min_positive_similarity")
+
+
+def g3_blocks(spark, d):
+    """All vectors as one run, in several blocks; documents without a vector are counted."""
+    vectors = tb.vector_runs(spark, d).select("word", "embedding")
+    words = table(spark, d, "documents", "doc_id").select(F.lit("all").alias("run"), F.col("doc_id").cast("string").alias("word"))
+    joined = words.join(vectors, "word", "left")
+    return _rounded(ev.min_positive_similarity(joined, block_rows=64), "min_positive_similarity")
 
 
 def g4_diversity_score_avg(spark, d):
-    return _rounded(ev.diversity_score(tb.vector_runs(spark, d)), "diversity_score")
+    return _rounded(ev.diversity_score(tb.vector_runs(spark, d)).drop("missing_vectors"), "diversity_score")
 
 
 def g4_diversity_score_max(spark, d):
-    return _rounded(ev.diversity_score(tb.vector_runs(spark, d), mode="max"), "diversity_score")
+    return _rounded(ev.diversity_score(tb.vector_runs(spark, d), mode="max").drop("missing_vectors"), "diversity_score")
 
 
 def g5_vocabulary_compare(spark, d):
