@@ -24,6 +24,7 @@ from pairmine.session import materialise
 BLOCK_ROWS = 4096
 # At most this many large groups are broadcast; beyond, they are joined by shuffle.
 _BROADCAST_GROUPS = 100_000
+_FEW_BLOCKS = 4
 # Rows multiplied at a time, so that the products stay in the processor's cache.
 _CHUNK_ROWS = 128
 
@@ -40,13 +41,16 @@ def attach_embeddings(
 ) -> DataFrame:
     """Put the vector of each candidate beside it; NULL where there is none.
 
-    ``embeddings`` has one row per distinct word. Where no such table exists, pass a function that
+    ``embeddings`` has one row per distinct word; a word listed twice is an error, found by one count over the words at once. Where no such table exists, pass a function that
     makes one: it gets the distinct words, and what it makes is written once, so that a model sees
     each word a single time.
     """
     if callable(embeddings):
         embeddings = materialise(embeddings(candidates.select(key).distinct()))
     require(embeddings, key, vector)
+    twice = embeddings.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"the embeddings list this word twice: {twice[0]!r}")
     return candidates.join(embeddings.select(key, vector), key, "left")
 
 
@@ -346,8 +350,9 @@ def _large_parts(
     rows = F.least(F.greatest(F.col("_distinct") / 64, F.lit(block_rows)), F.lit(8 * block_rows))
     facts = _prefixed(facts.filter(whole), keys, "_f_").withColumn("_rows", rows)
     facts = facts.withColumn("_blocks", F.ceil(F.col("_distinct") / F.col("_rows")).cast("int"))
-    facts = facts.select(*["_f_" + k for k in keys], "_distinct", "_blocks", "_rows", "_least")
-    if similarity is None:
+    facts = materialise(facts.select(*["_f_" + k for k in keys], "_distinct", "_blocks", "_rows", "_least"))
+    # of a few blocks, finding out which need not be compared costs more than comparing them
+    if similarity is None and not facts.filter(F.col("_blocks") > _FEW_BLOCKS).isEmpty():
         parts = _compare_cells(distinct, keys, vector, lowest, small, facts)
     else:
         parts = _compare_all_blocks(distinct, keys, vector, similarity, lowest, small(facts))
@@ -359,9 +364,9 @@ def _tasks_of(df: DataFrame) -> int:
 
 
 def _compare_all_blocks(
-    distinct: DataFrame, keys: list[str], vector: str, similarity: Callable, lowest: bool, facts: DataFrame
+    distinct: DataFrame, keys: list[str], vector: str, similarity: Callable | None, lowest: bool, facts: DataFrame
 ) -> DataFrame:
-    """Extremes per vector and pair of blocks, for a similarity of which nothing is known: every pair is compared."""
+    """Extremes per vector and pair of blocks, where every pair is compared."""
     dealt = (
         distinct.join(facts, _matches(distinct, facts, keys, "_f_"), "inner")
         .withColumn("_block", F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int"))

@@ -16,7 +16,7 @@ from pairmine.session import materialise
 _COPIES_PER_ROW = 4096
 _RANGE_ROWS = 250_000
 # At most so many words of one count are put in order.
-_SORT_ROWS = 10_000
+_SORT_ROWS = 100_000
 
 
 def _explode_steps(df: DataFrame, start, stop, step: int, most: int, out: str) -> DataFrame:
@@ -211,6 +211,8 @@ def top_n_vocab(
         return counts.limit(0)
     found = counts.filter(F.col("n") >= cut["n"])
     if cut["above"] + cut["words"] > n:
-        last = _first_words(counts.filter(F.col("n") == cut["n"]), n - cut["above"], _SORT_ROWS)
+        tied, rest = counts.filter(F.col("n") == cut["n"]), n - cut["above"]
+        few = cut["words"] <= _SORT_ROWS
+        last = tied.orderBy("word").limit(rest) if few else _first_words(tied, rest, _SORT_ROWS)
         found = counts.filter(F.col("n") > cut["n"]).unionByName(last)
     return found.orderBy(F.desc("n"), "word") if ordered else found

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pairmine.schemas import require
 
 FORMATS = ("parquet", "json")
+REPLACE_STEPS = "replace_steps"
 LAYOUT = ("prompt", "chosen", "rejected")
 
 
@@ -23,10 +24,19 @@ def write_pairs(
 
     Rows are regrouped by step first: adaptive execution merges small steps into one task and splits a step that holds
     most of the rows over many, so there are few files, and none grows with the step.
+
+    ``mode`` is one of Spark's, or ``replace_steps``: the steps that ``pairs`` holds replace what was written for them before, as
+    when a step is run again, and the other steps stay. New files are put in place when all of them are written, so a run
+    that was cut off leaves the old ones.
     """
     _check_format(fmt)
     require(pairs, *LAYOUT, partition)
-    pairs.hint("rebalance", partition).write.partitionBy(partition).mode(mode).format(fmt).save(path)
+    writer = pairs.hint("rebalance", partition).write.partitionBy(partition).format(fmt)
+    if mode == REPLACE_STEPS:
+        writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        writer = writer.mode(mode)
+    writer.save(path)
 
 
 def read_pairs(

@@ -212,7 +212,8 @@ def test_pairs_of_blocks_that_cannot_matter_are_skipped(spark, monkeypatch, lowe
         assert all(got[i].min_positive_sim == pytest.approx(sims[i][sims[i] > 0].min(), abs=1e-9) for i in range(2000))
     blocks = counts[0][0]
     compared, everything = sum(n for _, n in counts), blocks * (blocks - 1) // 2
-    assert blocks >= 40 and compared < everything / 2, (blocks, compared, everything)
+    # what is nearly at a right angle to many clusters has to be compared with all of these for its lowest similarity
+    assert blocks >= 40 and compared < everything * (0.9 if lowest else 0.5), (blocks, compared, everything)
 
 
 def test_directions_that_are_hard_to_bound(spark):
@@ -241,3 +242,12 @@ def test_spread_of_groups(spark, block_rows):
         assert got[g].n == n and got[g].avg_similarity == pytest.approx(want, abs=1e-12)
         assert got[g].max_sim == pytest.approx(max(highs, default=None) if highs else None, abs=1e-9)
         assert got[g].min_positive_sim == (pytest.approx(min(lows), abs=1e-9) if lows else None)
+
+
+def test_a_word_with_two_vectors_is_an_error(spark):
+    words = spark.createDataFrame([("a",), ("b",)], "word string")
+    vectors = spark.createDataFrame([("a", [1.0]), ("a", [2.0])], "word string, embedding array<double>")
+    for given in (vectors, lambda words: vectors):
+        with pytest.raises(ValueError, match="'a'"):
+            dv.attach_embeddings(words, given)
+    assert dv.attach_embeddings(words, vectors.limit(1)).count() == 2

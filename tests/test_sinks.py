@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
 from pairmine.operators import prep
@@ -49,3 +51,35 @@ def test_metrics_round_trip(spark, tmp_path):
 def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark)
     assert materialise(pairs(spark)).count() == 3
+
+
+def test_a_step_that_is_run_again_replaces_only_itself(spark, tmp_path):
+    path = str(tmp_path / "pairs")
+    first = spark.createDataFrame([("p", "a", "b", 1), ("q", "c", "d", 2)], "prompt string, chosen string, rejected string, step int")
+    sinks.write_pairs(first, path)
+    again = spark.createDataFrame([("p", "x", "y", 1), ("r", "e", "f", 3)], first.schema)
+    for _ in range(2):
+        sinks.write_pairs(again, path, mode="replace_steps")
+        got = sorted((r.step, r.prompt, r.chosen) for r in sinks.read_pairs(spark, path).collect())
+        assert got == [(1, "p", "x"), (2, "q", "c"), (3, "r", "e")]
+
+
+def test_tables_go_with_their_owner(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from pairmine.operators import prep
+    from pairmine.session import materialise, remove_folder, shared_folder, temporary_tables
+
+    def tables():
+        return set(Path(shared_folder(spark).removeprefix("file:")).glob("table-*"))
+
+    before = tables()
+    df = spark.createDataFrame([("b a c",), ("C a, b d",)], "text string")
+    with temporary_tables(spark):
+        assert prep.top_n_vocab(df, 2).count() == 2
+        with temporary_tables(spark):
+            inner = materialise(df.withColumn("n", F.lit(1)))
+            assert inner.count() == 2
+        assert len(tables() - before) == 1, "the inner block's table is gone, the outer one's is not"
+    assert tables() == before
+    remove_folder(spark, str(tmp_path / "none"))

@@ -558,5 +558,8 @@ FROM per_batch WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FRO
 
     sql["i1_write_pairs"] = f"""WITH {_PAIRS}
 SELECT CAST(prompt_id AS VARCHAR) AS prompt, chosen, rejected, CAST(prompt_id // 4 AS BIGINT) AS step FROM pairs"""
+    sql["i1_rewrite_step"] = f"""WITH {_PAIRS}
+SELECT CAST(prompt_id AS VARCHAR) AS prompt, CASE WHEN prompt_id // 4 < 2 THEN rejected ELSE chosen END AS chosen,
+       CASE WHEN prompt_id // 4 < 2 THEN chosen ELSE rejected END AS rejected, CAST(prompt_id // 4 AS BIGINT) AS step FROM pairs"""
     sql["i2_write_metrics"] = sql["f6_batch_metrics"]
     return sql

@@ -264,9 +264,10 @@ def c6_quality_lexicon(spark, d):
 
 
 def c6_quality_common(spark, d):
-    return ql.quality_score(
-        tb.written_words(spark, d), "common", common=_common(spark, d), tags=tb.tags(spark, d)
-    ).select("prompt_id", "word", "quality", "reason")
+    words = materialise(tb.written_words(spark, d))  # the tags are of the same words
+    return ql.quality_score(words, "common", common=_common(spark, d), tags=tb.tags_of(words)).select(
+        "prompt_id", "word", "quality", "reason"
+    )
 
 
 def c6_quality_custom(spark, d):
@@ -639,6 +640,23 @@ def i1_write_pairs(spark, d):
     )
 
 
+def i1_rewrite_step(spark, d):
+    """All steps are written, then those below 2 once more with the sides exchanged: only their folders are replaced."""
+    folder = _new_folder(spark, "pairs")
+    pairs = materialise(
+        e4_mine_pairs(spark, d).select(
+            F.col("prompt_id").cast("string").alias("prompt"), "chosen", "rejected",
+            F.floor(F.col("prompt_id") / 4).alias("step"),
+        )
+    )
+    sinks.write_pairs(pairs, folder)
+    exchanged = F.col("rejected").alias("chosen"), F.col("chosen").alias("rejected")
+    again = pairs.filter("step < 2").select("prompt", *exchanged, "step")
+    sinks.write_pairs(again, folder, mode="replace_steps")
+    back = sinks.read_pairs(spark, folder)
+    return back.select("prompt", "chosen", "rejected", F.col("step").cast("bigint").alias("step"))
+
+
 def i2_write_metrics(spark, d):
     folder = _new_folder(spark, "metrics")
     metrics = f6_batch_metrics(spark, d)

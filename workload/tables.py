@@ -65,8 +65,12 @@ def names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tags(spark: SparkSession, d: str) -> DataFrame:
+    return tags_of(written_words(spark, d))
+
+
+def tags_of(written: DataFrame) -> DataFrame:
     """A tag per written word, by its length."""
-    words = written_words(spark, d).select("word").distinct()
+    words = written.select("word").distinct()
     rest = F.length("word") % 4
     tag = F.when(rest == 1, "NNP").when(rest == 2, "NNS").otherwise("NN")
     return words.withColumn("tag", tag)
