@@ -17,17 +17,18 @@ The documents are sifted before the join by a bitmap of the benchmark's window h
 the benchmark's size; a larger benchmark lets more windows through to the join, and the result is the same.
 
 Defined results: a null or empty text on either side has no tokens; an item below five tokens is one window as long as itself;
-templates without ``MIN_LITERALS`` plain tokens say nothing; rows that repeat a doc_id with another text are documents of their
+an item of fewer than ``LEAST_WORDS`` words is leaked only by a
+document that has just these words; templates without ``MIN_LITERALS`` plain tokens say nothing; rows that repeat a doc_id with another text are documents of their
 own; an empty table on either side gives no leaks. Other columns of the inputs are ignored, and kept by ``remove_leaks``.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,7 @@ WINDOW = 5
 SHARE = 0.8
 RUN_WORDS = 13
 MIN_LITERALS = 2
+LEAST_WORDS = 3
 CONSISTENT = 0.8
 FILTER_BITS = 22
 BROADCAST_WINDOWS = 100_000
@@ -52,52 +54,69 @@ UNITS = frozenset(
     l ml liter liters litre litres gallon gallons mph km/h degree degrees meter meters metre metres kilometer
     kilometers kilogram kilograms gram grams pound pounds ounce ounces""".split()
 )
-_NUMBER = re.compile(r"[$€£+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve")
+_NUMBER = r"^(?:[$€£+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)$"
+_ENDS = r"(?s)(?:[.!?:]|[.!?].)$"
 _OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$%") + "“”‘’«»¿¡…–—"
-_SPACE = re.compile(r"[\x20\x09\x0B-\x0D]+")
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(WINDOW, 0, -1)], dtype=np.uint64)
-_KEPT_WORDS = 300_000
+_PORTION = 2_000_000
 
 _SCHEMA = "id long, mark long, at int, size int, exact boolean, hash long, template string, values array<string>, words int, windows int"
 
 
-class _Words(dict):
-    """Raw word -> (hash, is a number, is a unit, is capitalised, ends a sentence, bare form)."""
+class Canonical:
+    """Some texts as tokens: all words of all texts in one go, each different word looked at once.
 
-    def __missing__(self, raw: str) -> tuple:
-        bare = raw.strip(_OUTER)
-        plain = bare.lower()
-        number = _NUMBER.fullmatch(plain) is not None
-        capital = bare[:1].isupper() and not number
-        ends = raw[-1] in ".!?:" or raw[-2:-1] in (".", "!", "?")
-        self[raw] = fact = (xxhash.xxh64_intdigest(plain), number, plain in UNITS, capital, ends, plain)
-        return fact
-
-
-def canonical(text: str, known: _Words) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words of a text that are more than punctuation: bare forms, token hashes, kinds and hashes of the bare forms.
-
-    Kinds are places in ``PLACEHOLDERS``; 0 is a plain word.
+    ``begin``: for each text the place of its first word, and one more. Words that are only punctuation are no words.
+    ``tokens`` are hashes of the words or kinds of placeholders (places in ``PLACEHOLDERS``; 0 is a plain word), ``bare`` hashes of
+    the words themselves.
     """
-    raw, begins = [], []
-    for line in text.split("\n"):
-        found = [w for w in _SPACE.split(line) if w]
-        raw += found
-        begins += [True, *[False] * (len(found) - 1)] if found else []
-    if not raw:
-        return [], np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64)
-    if len(known) > _KEPT_WORDS:
-        known.clear()
-    hashes, number, unit, capital, ends, plain = zip(*(known[w] for w in raw), strict=True)
-    hashes, number = np.array(hashes, dtype=np.uint64), np.array(number)
-    begins = np.array(begins) | np.array((True, *ends[:-1]))
-    measured = np.array(unit) & np.concatenate([[False], number[:-1]])
-    kind = np.where(number, 1, np.where(measured, 3, np.where(np.array(capital) & ~begins, 2, 0))).astype(np.int8)
-    keep = np.array([p != "" for p in plain])
-    tokens = np.where(kind == 0, hashes, kind.astype(np.uint64))
-    return [p for p in plain if p], tokens[keep], kind[keep], hashes[keep]
+
+    def __init__(self, texts: pa.Array) -> None:
+        by_text = pc.split_pattern(texts, "\n")
+        by_line = pc.ascii_split_whitespace(by_text.flatten())
+        pieces = by_line.flatten()
+        some = pc.greater(pc.binary_length(pieces), 0)
+        upto = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+        lines = upto[by_line.offsets.to_numpy()]
+        ends = lines[by_text.offsets.to_numpy()]
+        coded = pieces.filter(some).dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        different = coded.dictionary
+        trimmed = pc.utf8_trim(different, characters=_OUTER)
+        self._plain = pc.utf8_lower(trimmed)
+        flags = (
+            pc.match_substring_regex(self._plain, pattern=_NUMBER),
+            pc.is_in(self._plain, value_set=pa.array(sorted(UNITS))),
+            pc.utf8_is_upper(pc.utf8_slice_codeunits(trimmed, 0, 1)),
+            pc.match_substring_regex(different, pattern=_ENDS),
+            pc.greater(pc.binary_length(trimmed), 0),
+        )
+        number, unit, capital, stop, keep = (f.to_numpy(zero_copy_only=False).astype(bool)[at] for f in flags)
+        first = np.zeros(len(at) + 1, dtype=bool)
+        first[ends] = True
+        begins = np.zeros(len(at) + 1, dtype=bool)
+        begins[lines] = True
+        begins[1:] |= stop
+        measured = np.zeros(len(at), dtype=bool)
+        measured[1:] = unit[1:] & number[:-1] & ~first[1:-1]
+        named = capital & ~number & ~begins[:-1]
+        kinds = np.where(number, 1, np.where(measured, 3, np.where(named, 2, 0))).astype(np.int8)
+        self.begin = np.concatenate([[0], np.cumsum(keep)])[ends]
+        self._at = at[keep]
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in self._plain.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+        self.kinds, self.bare = kinds[keep], hashes[self._at]
+        self.tokens = np.where(self.kinds == 0, self.bare, self.kinds.astype(np.uint64))
+
+    def plain(self, start: int, stop: int) -> list[str]:
+        return self._plain.take(pa.array(self._at[start:stop])).to_pylist()
+
+
+def canonical(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of a text that are more than punctuation: bare forms, token hashes, kinds and hashes of the bare forms."""
+    made = Canonical(pa.array([text], pa.string()))
+    return made.plain(0, len(made.bare)), made.tokens, made.kinds, made.bare
 
 
 def windows(hashes: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,35 +157,50 @@ def _extract(sizes: tuple[tuple[int, ...], tuple[int, ...]] | None, bitmap: np.n
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
         for batch in batches:
             rows: list[tuple] = []
-            for ident, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                plain, hashes, kinds, bare = canonical(text, known)
-                few, runs = sizes or ((min(WINDOW, max(len(plain), 1)),), (min(RUN_WORDS, max(len(plain), 1)),))
-                found = [(False, size, *windows(hashes, kinds, size)) for size in few]
-                found += [(True, size, np.arange(len(mixed)), mixed) for size, mixed in exact_windows(bare, runs)]
-                for exact, size, at, mixed in found:
-                    total = len(at)
-                    if bitmap is not None:
-                        low = mixed & np.uint64(2**FILTER_BITS - 1)
-                        word = bitmap[(low >> np.uint64(6)).astype(np.int64)]
-                        hit = (word >> (low & np.uint64(63))) & np.uint64(1) == 1
-                        at, mixed = at[hit], mixed[hit]
-                    for i, h in zip(at.tolist(), mixed.view(np.int64).tolist(), strict=True):
-                        here = range(i, i + size)
-                        template = " ".join(plain[i : i + size] if exact else [PLACEHOLDERS[kinds[j]] or plain[j] for j in here])
-                        values = [] if exact else [plain[j] for j in here if kinds[j]]
-                        rows.append((ident, mark, i, size, exact, h, template, values, len(plain), total))
-                if len(rows) >= 20_000:
-                    yield _batch(rows)
-                    rows = []
+            for idents, marks, texts in _portions(batch):
+                made = Canonical(texts)
+                for k, (ident, mark) in enumerate(zip(idents, marks, strict=True)):
+                    begin, total_words = int(made.begin[k]), int(made.begin[k + 1] - made.begin[k])
+                    own = slice(begin, begin + total_words)
+                    few, runs = sizes or ((min(WINDOW, max(total_words, 1)),), (min(RUN_WORDS, max(total_words, 1)),))
+                    found = [(False, size, *windows(made.tokens[own], made.kinds[own], size)) for size in few]
+                    found += [(True, size, np.arange(len(mixed)), mixed) for size, mixed in exact_windows(made.bare[own], runs)]
+                    for exact, size, at, mixed in found:
+                        total = len(at)
+                        if bitmap is not None:
+                            low = mixed & np.uint64(2**FILTER_BITS - 1)
+                            word = bitmap[(low >> np.uint64(6)).astype(np.int64)]
+                            hit = (word >> (low & np.uint64(63))) & np.uint64(1) == 1
+                            at, mixed = at[hit], mixed[hit]
+                        for i, h in zip(at.tolist(), mixed.view(np.int64).tolist(), strict=True):
+                            plain = made.plain(begin + i, begin + i + size)
+                            kinds = made.kinds[begin + i : begin + i + size].tolist()
+                            template = " ".join(plain if exact else [PLACEHOLDERS[n] or w for w, n in zip(plain, kinds, strict=True)])
+                            values = [] if exact else [w for w, n in zip(plain, kinds, strict=True) if n]
+                            rows.append((ident, mark, i, size, exact, h, template, values, total_words, total))
+                    if len(rows) >= 20_000:
+                        yield _batch(rows)
+                        rows = []
             if rows:
                 yield _batch(rows)
 
     return run
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[list, list, pa.Array]]:
+    """The batch's columns in pieces whose texts have about ``_PORTION`` bytes together, or are one text."""
+    sizes = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        total += size
+        if total >= _PORTION or i == len(sizes) - 1:
+            part = batch.slice(start, i + 1 - start)
+            yield part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)
+            start, total = i + 1, 0
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32())
     names = [part.split()[0] for part in _SCHEMA.split(", ")]
@@ -218,9 +252,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if counted["n"] <= BROADCAST_WINDOWS:
         item_side = F.broadcast(item_side)
     doc_side = sifted.select(
-        F.col("id").alias("doc_id"), "mark", "at", F.col("hash").alias("item_hash"), "template", "values", "size", "exact"
+        F.col("id").alias("doc_id"), "mark", "at", F.col("hash").alias("item_hash"), "template", "values", "size", "exact", "words"
     )
     met = doc_side.join(item_side, ["item_hash", "size", "exact"]).filter(F.col("template") == F.col("item_template"))
+    met = met.filter((F.col("item_words") >= LEAST_WORDS) | (F.col("words") == F.col("item_words")))
     key = ["doc_id", "mark", "item_id", "item_mark", "item_words", "item_windows", "size", "exact"]
     # Rows that repeat others on either side are met once.
     met = materialise(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as markup
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,8 +77,7 @@ def test_odd_pages(spark):
 
 def plain_leaks(docs, items):
     """Any run of 13 template tokens (or the whole item) that a document has in common with an item."""
-    known = decontam._Words()
-    forms = lambda t: [decontam.PLACEHOLDERS[k] or p for p, k in zip(*[decontam.canonical(t or "", known)[i] for i in (0, 2)], strict=True)]
+    forms = lambda t: [decontam.PLACEHOLDERS[k] or p for p, k in zip(*[decontam.canonical(t or "")[i] for i in (0, 2)], strict=True)]
     texts = {i: " ".join(["", *forms(t), ""]) for i, t in docs}
     found = set()
     for item, text in items:
@@ -137,6 +137,26 @@ def test_leaks_in_other_case_and_without_literals(spark):
     assert [r.doc_id for r in decontam.remove_leaks(docs, benchmark).collect()] == [6]
 
 
+def test_items_of_one_or_two_words(spark):
+    items = [(1, "Paris"), (2, "a day"), (3, "the old mill")]
+    texts = ["what a day it was for the paris people", "PARIS!", "A day.", "at the old mill we met", "paris paris"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontam.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_words_of_many_texts_at_once():
+    """A text's tokens do not depend on the texts beside it."""
+    texts = ["Two kg. Of Bob", "", "kg of 5", "kg 12 kg\nAnna met Anna\x0b Carl!", " \n ", "...", "5", "miles to Go", "é Éa 7 °"]
+    both = decontam.Canonical(pa.array(texts))
+    for k, text in enumerate(texts):
+        plain, tokens, kinds, bare = decontam.canonical(text)
+        own = slice(both.begin[k], both.begin[k + 1])
+        assert both.plain(own.start, own.stop) == plain and both.kinds[own].tolist() == kinds.tolist()
+        assert both.tokens[own].tolist() == tokens.tolist() and both.bare[own].tolist() == bare.tolist()
+    assert decontam.canonical(texts[3])[2].tolist() == [0, 1, 3, 0, 0, 2, 2]
+
+
 def test_slots_must_be_consistent(spark):
     item = "The number 4 goes to x and the number 4 goes to y and the number 4 goes to z at the very end"
     same = item.replace("4", "9").lower()
