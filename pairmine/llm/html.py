@@ -12,7 +12,8 @@ leave out an element that holds most of the page's text, unless it is of comment
 Pages do not depend on each other, so a page is read where it is stored: one pass and no shuffle.
 
 Defined results: a null or empty html gives an empty text; markup that is never closed is closed by what follows; a
-page of any length is read whole; a page without a path above the threshold uses its whole body; rows that
+page of any length is read whole, in time that grows with its length however it is nested; a quote without an end is a character
+of its tag, and a tag without an end is text; a page without a path above the threshold uses its whole body; rows that
 repeat others get equal texts; an empty table gives an empty table. Other columns of the input are ignored.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +36,8 @@ THRESHOLD = 0.1
 #: The article holds this share of the content's text.
 HELD = 0.9
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL,
-)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"']+)")
 #: Elements of HTML by what they do.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,22 +70,127 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 _ARTICLES = frozenset(["article", "main"])
 
 
+#: What an end of these is looked for in, when an element of the set begins: the sets of _CLOSED_BY, and paragraphs.
+_SETS = (*dict.fromkeys(_CLOSED_BY.values()), frozenset(["p"]))
+_SET_OF = {tag: _SETS.index(closed) for tag, closed in _CLOSED_BY.items()}
+_MARKED = _SCOPE.union(*_SETS)
+
+
 class _Element:
-    __slots__ = ("tag", "parent", "out", "link", "path", "depth", "article", "heading", "hint", "hard", "held", "marks")
+    """An open element. What depends on its ancestors is taken from its parent, so that no text node climbs them."""
 
-    def __init__(self, tag: str, parent: _Element | None, marks: str = "", hidden: bool = False) -> None:
-        self.tag, self.parent = tag, parent
+    __slots__ = ("tag", "parent", "number", "out", "link", "path", "depth", "article", "heading", "hint", "hinted", "hard", "held", "weight", "marks", "near")
+
+    def __init__(self, tag: str, parent: _Element | None, page: _Page, marks: str = "", hidden: bool = False) -> None:
+        self.tag, self.parent, self.marks = tag, parent, marks
         above = parent
+        self.number = len(page.elements)
+        page.elements.append(self)
         self.article = tag in _ARTICLES or (above is not None and above.article)
         named = tag == "header" and not (above is not None and above.article)
         self.hint = tag not in ("html", "body", "article", "main") and _HINTS.search(marks) is not None
+        self.hinted = self.hint or (above is not None and above.hinted)
         self.hard = (above is not None and above.hard) or tag in _OUT or named or hidden
-        self.out: bool | None = None  # told when the whole page is read
+        self.out = False  # told when the whole page is read
         self.heading = tag in _HEADINGS or (above is not None and above.heading)
-        self.held, self.marks = 0, marks
+        self.held, self.weight = 0, -1.0
         self.link = tag == "a" or (above is not None and above.link)
-        self.path = (above.path if above else "") + "/" + tag + ("." + marks if marks else "")
+        # equal paths from the root have equal numbers
+        self.path = page.paths.setdefault((above.path if above else -1, tag, marks), len(page.paths))
         self.depth = above.depth + 1 if above else 0
+        # for each of _SETS the innermost open element of the set that no scope lies around
+        if above is None:
+            self.near: tuple[_Element | None, ...] = (None,) * len(_SETS)
+        elif tag in _MARKED:
+            self.near = tuple(
+                self if tag in one else None if tag in _SCOPE else near for one, near in zip(_SETS, above.near, strict=True)
+            )
+        else:
+            self.near = above.near
+
+
+class _Page:
+    """The elements of a page, parents before children; the open ones; the numbers of its paths."""
+
+    def __init__(self) -> None:
+        self.elements: list[_Element] = []
+        self.paths: dict[tuple[int, str, str], int] = {}
+        self.open = [_Element("", None, self)]
+        self.count: dict[str, int] = {}
+        self.nodes: list[tuple[_Element, int, str]] = []
+
+    def push(self, tag: str, marks: str, hidden: bool) -> None:
+        self.open.append(_Element(tag, self.open[-1], self, marks, hidden))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def pop_to(self, element: _Element | None = None, tag: str = "") -> None:
+        """Close elements up to ``element``, or up to one of ``tag``, which is open."""
+        while True:
+            gone = self.open.pop()
+            self.count[gone.tag] -= 1
+            if gone is element or (element is None and gone.tag == tag):
+                return
+
+
+class _Tags:
+    """The tags of a page from left to right, in time that grows with the page even if tags and quotes are never closed."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = page.rfind(">")
+        self.none = {"'": len(page), '"': len(page)}  # from here on there is no such quote
+        self.failed: list[tuple[int, list[int], list[int]]] = []  # scans that met no end, and where quotes began and ended in them
+
+    def _ends(self, at: int) -> int:
+        """The place of the ``>`` that ends what begins at ``at``, outside quotes; -1 for none. A quote without an end is a character."""
+        for start, opened, closed in self.failed:
+            k = bisect_right(opened, at) - 1
+            if at >= start and (k < 0 or at >= closed[k]):
+                return -1  # the same scan as one that has failed
+        pos, opened, closed = at, [], []
+        while True:
+            pos = _PLAIN.match(self.page, pos).end()
+            if pos >= len(self.page) or pos > self.last:
+                self.failed.append((at, opened, closed))
+                return -1
+            mark = self.page[pos]
+            if mark == ">":
+                return pos
+            end = self.page.find(mark, pos + 1) if pos + 1 < self.none[mark] else -1
+            if end < 0:
+                self.none[mark] = min(self.none[mark], pos + 1)
+                pos += 1
+            else:
+                opened.append(pos + 1)
+                closed.append(end + 1)
+                pos = end + 1
+
+    def next(self, at: int) -> tuple[int, int, str, str] | None:
+        """(start, end, name with / if it closes, attributes) of the next tag, or comment (without a name)."""
+        page = self.page
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                return None
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", ""
+            if start > self.last:
+                at = page.find("<!--", start)  # only a comment needs no end
+                if at < 0:
+                    return None
+                continue
+            if page.startswith("<![CDATA[", start) and not self.none.get("]]>"):
+                end = page.find("]]>", start)
+                if end >= 0:
+                    return start, end + 3, "", ""
+                self.none["]]>"] = 1
+            if page.startswith(("<!", "<?"), start):
+                return start, page.index(">", start) + 1, "", ""
+            name = _NAME.match(page, start + 1)
+            if name is not None and (end := self._ends(name.end())) >= 0:
+                return start, end + 1, name.group(), page[name.end() : end]
+            at = start + 1
 
 
 def _attributes(raw: str) -> tuple[str, bool]:
@@ -99,33 +204,30 @@ def _attributes(raw: str) -> tuple[str, bool]:
     return " ".join(x for x in (found.get("class", ""), found.get("id", "")) if x), hidden
 
 
-def text_nodes(page: str) -> list[tuple[_Element, int, str]]:
-    """(innermost element, number of the block, decoded text) of every text node, in page order."""
-    root = _Element("", None)
-    here, block, found, at = root, 0, [], 0
+def read_page(page: str) -> _Page:
+    """The elements of a page, and (innermost element, number of the block, decoded text) of every text node, in page order."""
+    read, tags, block, at = _Page(), _Tags(page), 0, 0
+    found = read.nodes
     while True:
-        token = _TOKEN.search(page, at)
-        text = page[at : token.start() if token else len(page)]
+        token = tags.next(at)
+        text = page[at : token[0] if token else len(page)]
         if text:
-            found.append((here, block, html.unescape(text)))
+            found.append((read.open[-1], block, html.unescape(text)))
         if token is None:
-            _leave_out(found)
-            return found
-        at = token.end()
-        closing, tag = token.group(1), (token.group(2) or "").lower()
+            _leave_out(read)
+            return read
+        _, at, name, rest = token
+        closing, tag = name.startswith("/"), name.lstrip("/").lower()
         if not tag:
             continue
         if tag == "br":
-            found.append((here, block, " "))
+            found.append((read.open[-1], block, " "))
             continue
         if tag in _BLOCK:
             block += 1
         if closing:
-            up = here
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                here = up.parent
+            if read.count.get(tag):
+                read.pop_to(tag=tag)
             continue
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
@@ -133,47 +235,33 @@ def text_nodes(page: str) -> list[tuple[_Element, int, str]]:
             continue
         if tag in _VOID:
             continue
-        if tag in _CLOSES_P:
-            up = here
-            while up is not None and up.tag not in _SCOPE and up.tag != "p":
-                up = up.parent
-            if up is not None and up.tag == "p":
-                here = up.parent
-        if tag in _CLOSED_BY:
-            up = here
-            while up is not None and up.tag not in _SCOPE - _CLOSED_BY[tag] and up.tag not in _CLOSED_BY[tag]:
-                up = up.parent
-            if up is not None and up.tag in _CLOSED_BY[tag]:
-                here = up.parent
-        marks, hidden = _attributes(token.group(3) or "")
-        here = _Element(tag, here, marks, hidden) if not token.group(3).rstrip().endswith("/") or tag in _BLOCK else here
-
-
-def _leave_out(nodes: list[tuple[_Element, int, str]]) -> None:
-    """Tells of every element around text whether it is out."""
+        if tag in _CLOSES_P and (paragraph := read.open[-1].near[-1]) is not None:
+            read.pop_to(paragraph)
+        if tag in _SET_OF and (before := read.open[-1].near[_SET_OF[tag]]) is not None:
+            read.pop_to(before)
+        if not rest.rstrip().endswith("/") or tag in _BLOCK:
+            read.push(tag, *_attributes(rest))
+
+
+def _leave_out(page: _Page) -> None:
+    """Tells of every element whether it is out."""
     total = free = 0
-    for element, _, text in nodes:
+    for element, _, text in page.nodes:
         size = 0 if element.hard else len(text.strip())
         total += size
-        hinted, up = False, element
-        while up is not None:
-            up.held += size
-            hinted = hinted or up.hint
-            up = up.parent
-        free += 0 if hinted else size
-    for element, _, _ in nodes:
-        chain, up = [], element
-        while up is not None and up.out is None:
-            chain.append(up)
-            up = up.parent
-        for one in reversed(chain):
-            most = 2 * one.held > total and not (10 * free >= total and _TALK.search(one.marks))
-            one.out = one.hard or (one.hint and not most) or (one.parent is not None and bool(one.parent.out))
-
-
-def path_scores(nodes: list[tuple[_Element, int, str]]) -> dict[str, float]:
+        element.held += size
+        free += 0 if element.hinted else size
+    for element in reversed(page.elements):
+        if element.parent is not None:
+            element.parent.held += element.held
+    for one in page.elements:
+        most = 2 * one.held > total and not (10 * free >= total and _TALK.search(one.marks))
+        one.out = one.hard or (one.hint and not most) or (one.parent is not None and one.parent.out)
+
+
+def path_scores(nodes: list[tuple[_Element, int, str]]) -> dict[int, float]:
     """The smoothed and fused ratio of every path that is not known to be something else."""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for element, _, text in nodes:
         if element.out:
             continue
@@ -195,28 +283,25 @@ def path_scores(nodes: list[tuple[_Element, int, str]]) -> dict[str, float]:
 
 def main_text(page: str) -> str:
     """The article of a page: its blocks in page order, joined by one space."""
-    nodes = text_nodes(page)
-    scores = path_scores(nodes)
+    read = read_page(page)
+    scores = path_scores(read.nodes)
     if not scores:
         return ""
     least = THRESHOLD * max(scores.values())
-    weight: dict[int, float] = {}
-    known: dict[int, _Element] = {}
     total = 0.0
     content: set[int] = set()
-    for element, block, text in nodes:
+    for element, block, text in read.nodes:
         if element.out or scores.get(element.path, 0.0) < least or not least:
             continue
         size = len(text.strip())
         total += size
         if size:
             content.add(block)
-        up: _Element | None = element
-        while up is not None:
-            weight[id(up)] = weight.get(id(up), 0.0) + size
-            known[id(up)] = up
-            up = up.parent
-    holders = [known[i] for i, w in weight.items() if w >= HELD * total]
+        element.weight = max(element.weight, 0.0) + size
+    for element in reversed(read.elements):  # -1 is the weight of an element without content
+        if element.parent is not None and element.weight >= 0:
+            element.parent.weight = max(element.parent.weight, 0.0) + element.weight
+    holders = [e for e in read.elements if e.weight >= max(HELD * total, 0.0)]
     article = max(holders, key=lambda e: e.depth) if holders else None
     up = article
     while up is not None:  # the article or main element around it, or the block it is in
@@ -227,17 +312,18 @@ def main_text(page: str) -> str:
         article = article.parent
     around = article
     if article is not None and not article.article:
-        around = max((known[i] for i, w in weight.items() if w >= total), key=lambda e: e.depth)
+        around = max((e for e in read.elements if e.weight >= max(total, 0.0)), key=lambda e: e.depth)
         while around.tag not in _SCOPE and around.parent is not None:
             around = around.parent
+    inside, beside = _inside(read, article), _inside(read, around)
     first, final = min(content, default=0), max(content, default=0)
     blocks: list[list[str]] = []
     last = None
-    for element, block, text in nodes:
-        if element.out or not _inside(element, around):
+    for element, block, text in read.nodes:
+        if element.out or not beside[element.number]:
             continue
         between = first < block < final and not element.link
-        if not (_inside(element, article) or block in content or between or (element.heading and block < final)):
+        if not (inside[element.number] or block in content or between or (element.heading and block < final)):
             continue
         if block != last:
             blocks.append([])
@@ -246,15 +332,12 @@ def main_text(page: str) -> str:
     return " ".join(t for t in (" ".join("".join(b).split()) for b in blocks) if t)
 
 
-def _inside(element: _Element, article: _Element | None) -> bool:
-    if article is None:
-        return True
-    up: _Element | None = element
-    while up is not None and up.depth >= article.depth:
-        if up is article:
-            return True
-        up = up.parent
-    return False
+def _inside(page: _Page, article: _Element | None) -> list[bool]:
+    """For every element whether it is ``article`` or lies in it; all do if there is none."""
+    found: list[bool] = []
+    for e in page.elements:
+        found.append(article is None or e is article or (e.parent is not None and found[e.parent.number]))
+    return found
 
 
 def extract(pages: DataFrame) -> DataFrame:

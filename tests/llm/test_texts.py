@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as markup
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -67,6 +68,32 @@ def test_pages_of_divs(page):
     assert html.main_text(page) == TEMPLATES[page]
 
 
+NESTED = {
+    "unclosed": "<b>x", "without an end": "<a ", "only elements": "<div>", "wrong ends": "<div></x></b>", "headings": "<b><h1>y",
+    "items": "<i><li>y", "comments": "<!--", "data": "<![CDATA[", "quotes": "<a x=\"'", "odd quotes": "<a \"x\" '<b' ", "signs": "<",
+}
+
+
+@pytest.mark.parametrize("name", list(NESTED))
+@pytest.mark.parametrize("end", ["", ">", '">"'])
+def test_a_long_page_takes_time_like_its_length(name, end):
+    def seconds(size):
+        page = NESTED[name] * (size // len(NESTED[name])) + end
+        started = time.process_time()
+        html.main_text(page)
+        return time.process_time() - started
+
+    seconds(10_000)
+    half, whole = seconds(250_000), seconds(1_000_000)
+    assert whole < 10 and whole < 12 * half + 0.5, (half, whole)  # 16 times if it grew with the square
+
+
+def test_tags_and_quotes_without_an_end():
+    assert html.main_text("<p>One, two.</p><p>Three <a href='x") == "One, two. Three <a href='x"
+    assert html.main_text("<p>One, <a title=\"x>two</a>.</p><p>Three.</p>") == "One, two. Three."
+    assert html.main_text("<p>One <![CDATA[ a > b ]]>two <![CDATA[ <b>three</b></p>") == "One two three"
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None, "x"), (None, "u", "", "x"), (2, "u", "<p>a b</p>", "x"), (2, "u", "<p>a b</p>", "x"), (3, "u", "<p>" + "w " * 200000, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
