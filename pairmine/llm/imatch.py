@@ -6,9 +6,10 @@ subset. The subsets are ``CHAINS`` families, each a nested series that keeps a h
 the term. Two fingerprints are alike in a family if they agree on any subset that is not empty for them, so
 the likeness is the share of families that agree: a change to some terms leaves the subsets that miss them.
 
-The lexicon is kept by term class, the low ``CLASS_BITS`` bits of the term's hash. Its documents are counted over the
-whole corpus, and the classes inside the band form a bitmap of 2**CLASS_BITS bits, 128 KB whatever the corpus is: the one
-thing that reaches the driver and every task.
+Documents are counted per term (its 64-bit hash) over the whole corpus. The terms inside the band, at most e**7 times the mean number of
+distinct terms of a document however large the corpus is, form a Bloom filter of ``TERM_BITS`` bits or more each and
+``PROBES`` probes: the one thing that reaches the driver and every task. No term of the band is lost; of the others less than
+one in 4,000 is let in.
 
 The next document is found by cutting the order of doc_id into buckets at values that Spark's range partitioning gives, and
 sending a copy of the first row of a bucket to the bucket before it; each text is shuffled once.
@@ -32,7 +33,8 @@ from pairmine.session import materialise
 
 #: Terms stand between these two inverse document frequencies (natural logarithms): about 5 % and 0.1 % of the documents.
 IDF_BAND = (3.0, 7.0)
-CLASS_BITS = 20
+#: Bits of the filter per term of the lexicon, and bits that are looked at.
+TERM_BITS, PROBES = 32, 4
 #: Families of subsets; each looks at bits of its own of a term's 64-bit hash.
 CHAINS = 6
 CHAIN_BITS = 10
@@ -48,21 +50,28 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda t: F.xxhash64(t)))
 
 
-def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> list[int]:
-    """The bitmap of the term classes in the band, as 2**(CLASS_BITS - 6) longs."""
+def band_terms(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataFrame:
+    """(term, n): hashes of the terms in the band, with the number of documents that hold them."""
     found = docs.select(F.explode(terms(whole("text"))).alias("term"))
-    of_class = F.col("term").bitwiseAND(2**CLASS_BITS - 1).cast("int")
     total = docs.count()
     least, most = total * math.exp(-band[1]), total * math.exp(-band[0])
-    kept = (
-        found.groupBy(of_class.alias("term"))
-        .count()
-        .filter((F.col("count") >= least) & (F.col("count") <= most))
-        .groupBy(F.shiftright("term", 6).alias("at"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, term & 63)")).alias("bits"))
-    )
-    bitmap = [0] * 2 ** (CLASS_BITS - 6)
-    for row in kept.collect():  # at most 2**(CLASS_BITS - 6) rows
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least) & (F.col("n") <= most))
+
+
+def places(h: Column, mask: int) -> list[Column]:
+    """The bits of a term, by a hash of its own in steps of another."""
+    step = F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
+    return [(h.bitwiseAND(mask) + i * step).bitwiseAND(mask) for i in range(PROBES)]
+
+
+def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> list[int]:
+    """The bitmap of the terms in the band, as longs; at least ``TERM_BITS`` bits per term."""
+    kept = materialise(band_terms(docs, band).select("term"))
+    size = max(10, math.ceil(math.log2(max(1, kept.count()) * TERM_BITS)))
+    spots = kept.select(F.explode(F.array(*places(F.col("term"), 2**size - 1))).alias("spot"))
+    words = spots.groupBy(F.shiftright("spot", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
+    bitmap = [0] * 2 ** (size - 6)
+    for row in words.collect():  # at most 2**(size - 6) rows
         bitmap[row["at"]] = row["bits"]
     return bitmap
 
@@ -72,8 +81,11 @@ def fingerprint(text: Column, bitmap: list[int]) -> Column:
     bits = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")
 
     def inside(h: Column) -> Column:
-        own = F.get(bits, F.shiftrightunsigned(h.bitwiseAND(2**CLASS_BITS - 1), 6).cast("int"))
-        return F.getbit(own, h.bitwiseAND(63).cast("int")) == 1
+        found = F.lit(True)
+        for spot in places(h, 64 * len(bitmap) - 1):
+            own = F.get(bits, F.shiftrightunsigned(spot, 6).cast("int"))
+            found = found & (F.getbit(own, spot.bitwiseAND(63).cast("int")) == 1)
+        return found
 
     def digest(hashes: Column) -> Column:
         return F.when(F.size(hashes) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(hashes))

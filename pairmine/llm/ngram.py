@@ -10,9 +10,9 @@ trie are sorted by range and written to the shared folder, a file per range:
   that follow the words between. Ascending pointers give the first successor of each context.
 
 Probabilities are interpolated, with discounts from the counts of counts (modified Kneser-Ney discounts over plain counts); each
-level keeps them quantised to 256 values, of equal shares of the tokens, and so the weight that a context leaves to the shorter one. N-grams of
-two words and more are kept if they occur ``min_count`` times; what that takes from a context goes to its shorter one. The query
-keeps all of them (``min_count`` 1), so that the counts of counts are those of the whole text.
+level keeps them quantised to 256 values, of equal shares of the tokens, and so the weight that a context leaves to the shorter one. All n-grams
+are kept, so that the counts of counts are those of the whole text; a ``min_count`` above 1 leaves out rarer ones of two words and more, and
+what that takes from a context goes to its shorter one.
 
 Scoring reads each document where it is stored: the levels are memory-mapped by the tasks, a batch's distinct n-grams are looked
 up by successor search in the ranges they fall into, and only the pages that are touched are read.
@@ -40,7 +40,7 @@ from pairmine.llm.eliasfano import Ascending, coded, group, map_arrays, named, w
 from pairmine.session import materialise, shared_folder
 
 ORDER = 3
-MIN_COUNT = 2
+MIN_COUNT = 1
 RANGE_ROWS = 500_000
 _LONG_WORD = 64
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)

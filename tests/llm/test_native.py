@@ -175,10 +175,16 @@ def plain_terms(text):
     return list(dict.fromkeys(xxhash.xxh64_intdigest(t.encode(), 42) for t in re.split(r"[\s!-/:-@\[-`{-~]+", text.lower()) if t))
 
 
+def in_filter(h, bitmap):
+    mask = 64 * len(bitmap) - 1
+    spots = [((h & mask) + i * (h >> 32 | 1)) & mask for i in range(imatch.PROBES)]
+    return all(bitmap[spot >> 6] >> (spot & 63) & 1 for spot in spots)
+
+
 def plain_print(text, bitmap):
     """The definition, term by term."""
     every = plain_terms(text)
-    band = [h for h in every if bitmap[(h % 2**imatch.CLASS_BITS) >> 6] >> (h & 63) & 1] or every
+    band = [h for h in every if in_filter(h, bitmap)] or every
 
     def digest(hashes):
         if not hashes:
@@ -239,12 +245,24 @@ def test_imatch_of_odd_documents(spark):
     assert imatch.edited_fingerprints(odd_documents(spark)).count() == 9
 
 
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_lexicon_is_the_band_by_term(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    counts = Counter(h for r in docs.select("text").collect() for h in plain_terms(r.text or ""))
+    total = docs.count()
+    band = {h for h, n in counts.items() if total * math.exp(-7) <= n <= total * math.exp(-3)}
+    assert {r.term % 2**64: r.n for r in imatch.band_terms(docs).collect()} == {h: counts[h] for h in band}
+    bitmap = [b % 2**64 for b in imatch.lexicon(docs)]
+    let_in = {h for h in counts if in_filter(h, bitmap)}
+    assert band <= let_in and len(let_in) - len(band) <= 0.01 * len(band)
+
+
 def test_lexicon_band(spark):
     rng = random.Random(0)
     texts = [" ".join(["the", f"rare{i}", f"mid{rng.randrange(30)}"]) for i in range(3000)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bitmap = [b % 2**64 for b in imatch.lexicon(docs)]
-    inside = lambda t: bool(bitmap[((h := xxhash.xxh64_intdigest(t.encode(), 42)) % 2**imatch.CLASS_BITS) >> 6] >> (h & 63) & 1)
+    inside = lambda t: in_filter(xxhash.xxh64_intdigest(t.encode(), 42), bitmap)
     assert inside("mid3") and not inside("the")
     assert sum(inside(f"rare{i}") for i in range(300)) < 10
 

@@ -117,12 +117,13 @@ class Plain:
         return sum(math.log10(self.chance(tuple(row[max(0, i - self.order + 1) : i + 1]))) for i in range(1, len(row)))
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_against_a_plain_model(spark, order):
+@pytest.mark.parametrize("order, least", [(1, 1), (2, 1), (3, 1), (2, 2), (4, 2)])
+def test_against_a_plain_model(spark, order, least):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id < 150").select("doc_id", "text")
     rows = {r.doc_id: r.text for r in docs.collect()}
-    plain = Plain([t for i, t in rows.items() if i % 5], order, 2)
-    model = ngram.train(docs.filter("doc_id % 5 <> 0"), order=order)
+    plain = Plain([t for i, t in rows.items() if i % 5], order, least)
+    assert ngram.MIN_COUNT == 1, "all n-grams are kept unless asked otherwise"
+    model = ngram.train(docs.filter("doc_id % 5 <> 0"), order=order, min_count=least)
     assert (model.tokens, model.vocabulary) == (plain.n, plain.v)
     assert [sum(r.n for r in level) for level in model.levels] == [len(x) for x in plain.kept[1:]]
     for r in ngram.score(docs, model).collect():
