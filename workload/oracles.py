@@ -414,9 +414,10 @@ FROM best JOIN whole USING (prompt_id)"""
     sql["e4_mine_pairs"] = f"WITH {_PAIRS} SELECT * FROM pairs"
     sql["e5_max_target_filter"] = f"""WITH {_PAIRS},
 tokens AS (SELECT doc_id, CAST(length({_last_word('text')}) AS INTEGER) AS n FROM documents)
-SELECT prompt_id, chosen, rejected, c.n AS chosen_tokens, r.n AS rejected_tokens
-FROM pairs JOIN tokens c ON c.doc_id = chosen_idx JOIN tokens r ON r.doc_id = rejected_idx
-WHERE c.n <= 7 AND r.n <= 7"""
+SELECT prompt_id, chosen, rejected, coalesce(c.n, length(chosen))::INTEGER AS chosen_tokens,
+       coalesce(r.n, length(rejected))::INTEGER AS rejected_tokens
+FROM pairs LEFT JOIN tokens c ON c.doc_id = chosen_idx LEFT JOIN tokens r ON r.doc_id = rejected_idx
+WHERE coalesce(c.n, length(chosen)) <= 7 AND coalesce(r.n, length(rejected)) <= 7"""
     sql["e6_pair_audit"] = f"WITH {_AUDIT} SELECT prompt_id, candidates, n_good, n_bad, no_pair_reason FROM audit"
     sql["e6_audit_lines"] = f"""WITH {_AUDIT}
 SELECT prompt_id, sample_idx, no_pair_reason, candidates, format('{{}}({{:.1f}})', word, quality) AS quality_text,

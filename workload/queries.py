@@ -363,7 +363,7 @@ def e4_mine_pairs(spark, d):
 
 
 def e5_max_target_filter(spark, d):
-    """Token counts: length of the last word of the document with the candidate's id."""
+    """Token counts: length of the last word of the document with the candidate's id, or of the word if there is none."""
     length = table(spark, d, "documents", "doc_id", "text").select(
         "doc_id", F.length(tx.last_word(F.col("text"))).alias("tokens")
     )
@@ -373,6 +373,7 @@ def e5_max_target_filter(spark, d):
             F.col("doc_id").alias(side + "_idx"), F.col("tokens").alias(side + "_tokens")
         )
         pairs = pairs.join(side_length, side + "_idx", "left")
+        pairs = pairs.withColumn(side + "_tokens", F.coalesce(side + "_tokens", F.length(side)))
     kept = pr.max_target_filter(pairs, 7, F.col("chosen_tokens"), F.col("rejected_tokens"))
     return kept.select("prompt_id", "chosen", "rejected", "chosen_tokens", "rejected_tokens")
 
