@@ -11,6 +11,7 @@ import json
 import mmap
 import os
 import tempfile
+from collections import OrderedDict
 from collections.abc import Iterable
 
 import numpy as np
@@ -184,31 +185,37 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
             out.write(raw + b"\0" * (-len(raw) % 8))
 
 
-_OPEN: dict[str, dict[str, np.ndarray]] = {}
+#: Files that a process keeps mapped; the one that was asked for longest ago goes first.
+OPEN_FILES = 128
+_OPEN: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
 
 
 def map_arrays(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, memory-mapped; opened once per process.
+    """The arrays of a file, memory-mapped; the last ``OPEN_FILES`` stay open.
 
     A shared folder that is a file system is mapped as it is. From any other store the file is copied to an unnamed local
-    file first, which goes when the process ends.
+    file first, which goes when the file is closed.
     """
-    if uri not in _OPEN:
-        where, path = _file_system(uri)
-        if isinstance(where, fs.LocalFileSystem):
-            with open(path, "rb") as file:
-                data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        else:
-            with tempfile.TemporaryFile() as file, where.open_input_stream(path) as source:
-                while piece := source.read(1 << 24):
-                    file.write(piece)
-                file.flush()
-                data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-        size = int.from_bytes(data[:8], "little")
-        _OPEN[uri] = {
-            name: np.frombuffer(data, dtype=kind, count=n, offset=8 + size + at)
-            for name, kind, n, at in json.loads(data[8 : 8 + size])
-        }
+    if uri in _OPEN:
+        _OPEN.move_to_end(uri)
+        return _OPEN[uri]
+    while len(_OPEN) >= OPEN_FILES:
+        _OPEN.popitem(last=False)  # unmapped as soon as no array of it is in use
+    where, path = _file_system(uri)
+    if isinstance(where, fs.LocalFileSystem):
+        with open(path, "rb") as file:
+            data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    else:
+        with tempfile.TemporaryFile() as file, where.open_input_stream(path) as source:
+            while piece := source.read(1 << 24):
+                file.write(piece)
+            file.flush()
+            data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    size = int.from_bytes(data[:8], "little")
+    _OPEN[uri] = {
+        name: np.frombuffer(data, dtype=kind, count=n, offset=8 + size + at)
+        for name, kind, n, at in json.loads(data[8 : 8 + size])
+    }
     return _OPEN[uri]
 
 

@@ -9,13 +9,16 @@ trie are sorted by range and written to the shared folder, a file per range:
   the first k - 1 words on level k - 1, and the successor is relative to it: the place of the last word among those
   that follow the words between. Ascending pointers give the first successor of each context.
 
+Ranges hold about ``RANGE_ROWS`` n-grams. A context stays in one range unless it occurs often: then its successors may go over several, and what
+is taken from it is added up beforehand. Pointer and weight of a context are read in the first range that has it.
+
 Probabilities are interpolated, with discounts from the counts of counts (modified Kneser-Ney discounts over plain counts); each
 level keeps them quantised to 256 values, of equal shares of the tokens, and so the weight that a context leaves to the shorter one. All n-grams
 are kept, so that the counts of counts are those of the whole text; a ``min_count`` above 1 leaves out rarer ones of two words and more, and
 what that takes from a context goes to its shorter one.
 
-Scoring reads each document where it is stored: the levels are memory-mapped by the tasks, a batch's distinct n-grams are looked
-up by successor search in the ranges they fall into, and only the pages that are touched are read.
+Scoring reads each document where it is stored: a portion's distinct n-grams are looked up range by range, by successor search in the
+memory-mapped file; only the pages that are touched are read, and a bounded number of files is open at a time.
 
 Defined results: a null text is empty, and has the end as its one token; a text of any length is one sequence; rows that repeat others
 count and score alike; without training documents every token is unknown and scores as in a model of nothing; an
@@ -45,17 +48,20 @@ RANGE_ROWS = 500_000
 _LONG_WORD = 64
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _PIECE_BYTES = 500_000
-_BATCH_TOKENS = 500_000
-_BATCH_CODES = 3_000_000
+_BATCH_TOKENS = 250_000
+_BATCH_CODES = 1_000_000
+_ROWS_OUT = 100_000
 
 
 @dataclass(frozen=True)
 class Range:
-    """A stretch of a level: its file, first and last context (level 1: hash), number of entries before it and in it."""
+    """A stretch of a level: its file, first and last context and code (level 1: hash), number of entries before it and in it."""
 
     path: str
     first: int
     last: int
+    low: int
+    high: int
     before: int
     n: int
 
@@ -138,6 +144,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tupl
             if size >= _BATCH_TOKENS:
                 yield rows, np.concatenate(parts), np.concatenate(lengths)
                 rows, parts, lengths, size = [], [], [], 0
+                pa.default_memory_pool().release_unused()
     if parts:
         yield rows, np.concatenate(parts), np.concatenate(lengths)
 
@@ -152,11 +159,11 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[order], rank[encoded.indices.to_numpy()]
 
 
-def _find(level: tuple[Range, ...], keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Places on a level of sorted values, whose sorted ``keys`` tell the range; -1 for none."""
+def _find(level: tuple[Range, ...], values: np.ndarray) -> np.ndarray:
+    """Places on a level of sorted values; -1 for none."""
     found = np.full(len(values), -1, dtype=np.int64)
     for part in level:
-        lo, hi = np.searchsorted(keys, part.first), np.searchsorted(keys, part.last, side="right")
+        lo, hi = np.searchsorted(values, part.low), np.searchsorted(values, part.high, side="right")
         if lo < hi:
             at = Ascending.of_parts(group(map_arrays(part.path), "s.")).find(values[lo:hi])
             found[lo:hi] = np.where(at >= 0, at + part.before, -1)
@@ -164,10 +171,10 @@ def _find(level: tuple[Range, ...], keys: np.ndarray, values: np.ndarray) -> np.
 
 
 def _split(level: tuple[Range, ...], values: np.ndarray, by_context: bool) -> Iterator[tuple[Range, np.ndarray]]:
-    """Each range that holds any of the values (contexts, or places on the level), with where those values stand."""
+    """Each range that is the first to hold any of the values (contexts, or places on the level), with where those values stand."""
     begins = np.array([p.first if by_context else p.before for p in level], dtype=np.int64)
     ends = np.array([p.last + 1 if by_context else p.before + p.n for p in level], dtype=np.int64)
-    owner = (np.searchsorted(begins, values, side="right") - 1).astype(np.int16 if len(level) < 2**15 else np.int64)
+    owner = np.searchsorted(ends, values, side="right").astype(np.int16 if len(level) < 2**15 else np.int64)
     order = np.argsort(owner, kind="stable") if len(level) > 1 else np.arange(len(values))
     cuts = np.searchsorted(owner[order], np.arange(len(level) + 1)) if len(level) > 1 else (0, len(values))
     for i, part in enumerate(level):
@@ -211,14 +218,14 @@ def _places(model: Model, hashes: np.ndarray, levels: int) -> list[np.ndarray]:
     N-grams over the border of two rows are found too; whoever asks knows the rows and skips them.
     """
     words, back = _distinct(hashes)
-    found = [_find(model.levels[0], words, words)[back]]
+    found = [_find(model.levels[0], words)[back]]
     for k in range(2, levels + 1):
         context = np.concatenate([[-1], found[-1][:-1]])
         at, fits = _codes(model, found, context, k)
         here = np.full(len(hashes), -1, dtype=np.int64)
         if len(at):
             codes, back = np.unique(at, return_inverse=True)
-            here[fits] = _find(model.levels[k - 1], codes // model.widths[k - 1], codes)[back]
+            here[fits] = _find(model.levels[k - 1], codes)[back]
         found.append(here)
     return found
 
@@ -239,9 +246,11 @@ def _inside(lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) - np.repeat(starts, lengths)
 
 
-def _counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+def _counted(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     values, n = np.unique(np.concatenate(parts), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], names=["code", "n"])
+    for at in range(0, len(values), _ROWS_OUT):
+        columns = [pa.array(values[at : at + _ROWS_OUT]), pa.array(n[at : at + _ROWS_OUT].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["code", "n"])
 
 
 def _count(docs: DataFrame, model: Model | None, k: int) -> DataFrame:
@@ -260,23 +269,40 @@ def _count(docs: DataFrame, model: Model | None, k: int) -> DataFrame:
             parts.append(part)
             size += len(part)
             if size >= _BATCH_CODES:
-                yield _counted(parts)
+                yield from _counted(parts)
                 parts, size = [], 0
         if size:
-            yield _counted(parts)
+            yield from _counted(parts)
+
+    # The tasks have added up what repeats in their portions; a second sum before the shuffle would hold nearly all n-grams for little.
+    return docs.select("text").mapInArrow(run, "code long, n long").repartition("code").groupBy("code").agg(F.sum("n").alias("n"))
+
 
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def _held(rows: DataFrame, often: DataFrame, discounts: tuple[float, ...]) -> DataFrame:
+    """(context, successors, taken) of the contexts in ``often``: distinct successors, and their counts less the discounts."""
+    counts = [F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count_if(F.col("n") > 2)]
+    taken = F.sum("n") - sum((c * F.lit(d) for c, d in zip(counts, discounts[1:], strict=True)), F.lit(0.0))
+    found = rows.join(often, "context").groupBy("context")
+    return materialise(found.agg(F.count(F.lit(1)).alias("successors"), taken.alias("taken")))
 
 
-def _write_level(rows: DataFrame, model: Model | None, k: int, width: int, discounts: tuple[float, ...], folder: str) -> tuple[Range, ...]:
-    """Sorts a level's n-grams by range, and writes a file per range."""
+def _write_level(
+    rows: DataFrame, model: Model | None, k: int, width: int, discounts: tuple[float, ...], folder: str, often: DataFrame | None
+) -> tuple[tuple[Range, ...], DataFrame, int]:
+    """Sorts a level's n-grams by range, and writes a file per range.
+
+    ``often``: the contexts whose successors may go over several ranges. Gives the ranges, the n-grams of this level that
+    occur so often that they are such contexts for the next, and the largest number of successors of a context.
+    """
+    least = max(1, RANGE_ROWS // 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        got = [x for x in got if len(x[0])]
+        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if not got:
             return
-        codes, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        codes, n, known = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        widest = 1
         arrays: dict[str, np.ndarray] = {}
         arrays["c.table"], arrays["c.code"] = coded(n)
         if k == 1:
@@ -287,33 +313,49 @@ def _write_level(rows: DataFrame, model: Model | None, k: int, width: int, disco
             first, last = int(contexts[0]), int(contexts[-1])
             arrays |= named("s.", Ascending.build(codes, (last + 1) * width).parts())
             begins = np.searchsorted(contexts, np.arange(first, last + 2))
+            widest = int(np.diff(begins).max())
             arrays |= named("p.", Ascending.build(begins, len(codes) + 1).parts())
-            own = np.unique(contexts)
+            own, one = np.unique(contexts, return_index=True)
             total = _take(model.levels[k - 2], own, "c")
             less = n - np.array(discounts)[np.minimum(n, 3)]
             at = contexts - first
+            taken = np.bincount(at, weights=less)[own - first]
+            taken = np.where(np.isnan(known[one]), taken, known[one])  # of a context that goes over several ranges: the whole
             left = np.ones(last + 1 - first)
             size = np.ones(last + 1 - first)
             size[own - first] = total
-            left -= np.bincount(at, weights=less, minlength=len(left)) / size
-            left = np.maximum(left, 1e-9)
+            left[own - first] = np.maximum(1 - taken / total, 1e-9)
             chance = less / size[at] + left[at] * 10.0 ** _shorter(model, k, contexts, codes % width)
             arrays["l.table"], arrays["l.code"] = coded(np.log10(chance), 256, n)
             arrays["w.table"], arrays["w.code"] = coded(np.log10(left), 256, size)
         path = f"{folder}/level{k}-{uuid.uuid4().hex}.bin"
         write_arrays(path, arrays)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([path]), pa.array([first]), pa.array([last]), pa.array([len(codes)])], names=["path", "first", "last", "n"]
-        )
-
-    sorted_rows = rows.select("code", "n", F.expr(f"code div {width}L").alias("context") if k > 1 else F.col("code").alias("context"))
-    sorted_rows = sorted_rows.repartitionByRange(buckets_for(rows.count(), RANGE_ROWS), "context").sortWithinPartitions("code")
-    written = materialise(sorted_rows.select("code", "n").mapInArrow(run, "path string, first long, last long, n long"))
+        row = [path, first, last, int(codes[0]), int(codes[-1]), len(codes), widest, np.flatnonzero(n >= least).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row[:-1]] + [pa.array(row[-1:], pa.list_(pa.int64()))], names=names)
+
+    names = ["path", "first", "last", "low", "high", "n", "widest", "often"]
+    schema = "path string, first long, last long, low long, high long, n long, widest long, often array<long>"
+    if often is None:
+        cut, widest = F.col("code"), 1
+        told = rows.select("code", "n", F.lit(None).cast("double").alias("taken"))
+    else:
+        placed = rows.select("code", "n", F.expr(f"code div {width}L").alias("context"))
+        held = _held(placed, often, discounts)
+        widest = held.agg(F.max("successors")).first()[0] or 1
+        told = placed.join(held.drop("successors"), "context", "left")
+        # Ascending with the code; equal for all successors of a context that stays in one range.
+        cut = F.when(F.col("taken").isNull(), F.col("context") * F.lit(width)).otherwise(F.col("code"))
+    ordered = told.select("code", "n", "taken", cut.alias("cut"))
+    ordered = ordered.repartitionByRange(buckets_for(rows.count(), RANGE_ROWS), "cut").sortWithinPartitions("code")
+    written = materialise(ordered.select("code", "n", "taken").mapInArrow(run, schema))
     ranges, before = [], 0
-    for row in sorted(written.collect(), key=lambda r: r["first"]):  # a row per file
-        ranges.append(Range(row["path"], row["first"], row["last"], before, row["n"]))
+    for row in sorted(written.drop("often").collect(), key=lambda r: r["low"]):  # a row per file
+        ranges.append(Range(*(row[c] for c in ("path", "first", "last", "low", "high")), before, row["n"]))
         before += row["n"]
-    return tuple(ranges)
+        widest = max(widest, row["widest"])
+    offsets = rows.sparkSession.createDataFrame([(r.path, r.before) for r in ranges], "path string, before long")
+    frequent = written.select("path", F.explode("often").alias("at")).join(offsets, "path")
+    return tuple(ranges), materialise(frequent.select((F.col("at") + F.col("before")).alias("context"))), widest
 
 
 def _shorter(model: Model, k: int, contexts: np.ndarray, successors: np.ndarray) -> np.ndarray:
@@ -351,7 +393,8 @@ def train(docs: DataFrame, *, order: int = ORDER, min_count: int = MIN_COUNT) ->
     folder = f"{shared_folder(docs.sparkSession)}/lm-{uuid.uuid4().hex}"
     counted = materialise(_count(texts, None, 1))
     tokens, vocabulary = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    model = Model(tokens, vocabulary, (_write_level(counted, None, 1, 1, (), folder),), (1,))
+    level, often, _ = _write_level(counted, None, 1, 1, (), folder, None)
+    model = Model(tokens, vocabulary, (level,), (1,))
     width = max(vocabulary, 1)
     for k in range(2, order + 1):
         if sum(part.n for part in model.levels[-1]) * width >= 2**63:
@@ -361,10 +404,8 @@ def train(docs: DataFrame, *, order: int = ORDER, min_count: int = MIN_COUNT) ->
         found = _count(texts, model, k).observe(seen, *(F.count(F.when(F.col("n") == c, 1)).alias(f"n{c}") for c in range(1, 5)))
         kept = materialise(found.filter(F.col("n") >= min_count))
         discounts = _discounts([seen.get[f"n{c}"] for c in range(1, 5)])
-        level = _write_level(kept, model, k, width, discounts, folder)
+        level, often, width = _write_level(kept, model, k, width, discounts, folder, often)
         model = Model(tokens, vocabulary, (*model.levels, level), model.widths)
-        largest = kept.groupBy(F.expr(f"code div {width}L")).count().agg(F.max("count")).first()[0]
-        width = largest or 1
     return model
 
 

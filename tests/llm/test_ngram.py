@@ -47,6 +47,20 @@ def test_files_round_trip(tmp_path):
     assert eliasfano.Ascending.of_parts(eliasfano.group(back, "s.")).find(np.array([3, 4, 996])).tolist() == [1, -1, 332]
 
 
+def test_few_files_stay_open(tmp_path, monkeypatch):
+    monkeypatch.setattr(eliasfano, "OPEN_FILES", 3)
+    eliasfano._OPEN.clear()
+    for i in range(8):
+        eliasfano.write_arrays(f"file:{tmp_path}/{i}.bin", {"x": np.arange(i + 1)})
+    held = eliasfano.map_arrays(f"file:{tmp_path}/0.bin")["x"]
+    for _ in range(2):
+        for i in range(8):
+            assert eliasfano.map_arrays(f"file:{tmp_path}/{i}.bin")["x"].tolist() == list(range(i + 1))
+            assert len(eliasfano._OPEN) <= 3
+    mapped = open("/proc/self/maps").read()
+    assert sum(f"{tmp_path}/{i}.bin" in mapped for i in range(8)) == 4 and held.tolist() == [0]  # three, and the one in use
+
+
 def test_quantisation():
     values = np.random.default_rng(0).normal(size=5000)
     table, codes = eliasfano.coded(values, 256)
@@ -163,6 +177,10 @@ def test_many_small_ranges(spark, monkeypatch):
     monkeypatch.setattr(ngram, "RANGE_ROWS", 300)
     model = ngram.train(docs)
     assert len(model.levels[0]) > 5 and len(model.levels[1]) > 1
+    for level in model.levels:
+        assert all(a.high < b.low and a.last <= b.first for a, b in zip(level, level[1:]))
+    assert any(a.last == b.first for a, b in zip(model.levels[1], model.levels[1][1:])), "a frequent word goes over ranges"
+    assert max(r.n for r in model.levels[1]) < 1000
     for r in ngram.score(docs, model).collect():
         assert (r.n_known, r.base_score) == (one[r.doc_id].n_known, pytest.approx(one[r.doc_id].base_score))
         assert r.score == pytest.approx(one[r.doc_id].score, abs=0.02 * r.n_tokens + 0.05)
