@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from pairmine.llm.common import buckets_for, whole
 from pairmine.llm.eliasfano import Ascending, coded, group, map_arrays, named, write_arrays
-from pairmine.session import materialise, shared_folder
+from pairmine.session import materialise, remove_folder, shared_folder
 
 ORDER = 3
 MIN_COUNT = 1
@@ -336,18 +336,18 @@ def _write_level(
     names = ["path", "first", "last", "low", "high", "n", "widest", "often"]
     schema = "path string, first long, last long, low long, high long, n long, widest long, often array<long>"
     if often is None:
-        cut, widest = F.col("code"), 1
+        cut, widest = "code", 1
         told = rows.select("code", "n", F.lit(None).cast("double").alias("taken"))
     else:
         placed = rows.select("code", "n", F.expr(f"code div {width}L").alias("context"))
         held = _held(placed, often, discounts)
+        context = F.expr(f"code div {width}L")
         widest = held.agg(F.max("successors")).first()[0] or 1
         told = placed.join(held.drop("successors"), "context", "left")
         # Ascending with the code; equal for all successors of a context that stays in one range.
-        cut = F.when(F.col("taken").isNull(), F.col("context") * F.lit(width)).otherwise(F.col("code"))
-    ordered = told.select("code", "n", "taken", cut.alias("cut"))
-    ordered = ordered.repartitionByRange(buckets_for(rows.count(), RANGE_ROWS), "cut").sortWithinPartitions("code")
-    written = materialise(ordered.select("code", "n", "taken").mapInArrow(run, schema))
+        cut = F.when(F.col("taken").isNull(), context * F.lit(width)).otherwise(F.col("code"))
+    told = told.select("code", "n", "taken").repartitionByRange(buckets_for(rows.count(), RANGE_ROWS), cut)
+    written = materialise(told.sortWithinPartitions("code").mapInArrow(run, schema))
     ranges, before = [], 0
     for row in sorted(written.drop("often").collect(), key=lambda r: r["low"]):  # a row per file
         ranges.append(Range(*(row[c] for c in ("path", "first", "last", "low", "high")), before, row["n"]))
@@ -391,9 +391,10 @@ def train(docs: DataFrame, *, order: int = ORDER, min_count: int = MIN_COUNT) ->
     """Learns from the texts of ``docs``."""
     texts = docs.select(whole("text").alias("text"))
     folder = f"{shared_folder(docs.sparkSession)}/lm-{uuid.uuid4().hex}"
-    counted = materialise(_count(texts, None, 1))
+    counted = materialise(_count(texts, None, 1), f"{folder}/counts1")
     tokens, vocabulary = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     level, often, _ = _write_level(counted, None, 1, 1, (), folder, None)
+    remove_folder(docs.sparkSession, f"{folder}/counts1")
     model = Model(tokens, vocabulary, (level,), (1,))
     width = max(vocabulary, 1)
     for k in range(2, order + 1):
@@ -402,9 +403,10 @@ def train(docs: DataFrame, *, order: int = ORDER, min_count: int = MIN_COUNT) ->
         model = Model(tokens, vocabulary, model.levels, (*model.widths, width))
         seen = Observation()
         found = _count(texts, model, k).observe(seen, *(F.count(F.when(F.col("n") == c, 1)).alias(f"n{c}") for c in range(1, 5)))
-        kept = materialise(found.filter(F.col("n") >= min_count))
+        kept = materialise(found.filter(F.col("n") >= min_count), f"{folder}/counts{k}")
         discounts = _discounts([seen.get[f"n{c}"] for c in range(1, 5)])
         level, often, width = _write_level(kept, model, k, width, discounts, folder, often)
+        remove_folder(docs.sparkSession, f"{folder}/counts{k}")
         model = Model(tokens, vocabulary, (*model.levels, level), model.widths)
     return model
 

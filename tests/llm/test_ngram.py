@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -181,6 +182,8 @@ def test_many_small_ranges(spark, monkeypatch):
         assert all(a.high < b.low and a.last <= b.first for a, b in zip(level, level[1:]))
     assert any(a.last == b.first for a, b in zip(model.levels[1], model.levels[1][1:])), "a frequent word goes over ranges"
     assert max(r.n for r in model.levels[1]) < 1000
+    folder = Path(model.levels[0][0].path.removeprefix("file:")).parent
+    assert {p.name.split("-")[0] for p in folder.iterdir()} <= {"level1", "level2", "level3"}, "counts go with their level"
     for r in ngram.score(docs, model).collect():
         assert (r.n_known, r.base_score) == (one[r.doc_id].n_known, pytest.approx(one[r.doc_id].base_score))
         assert r.score == pytest.approx(one[r.doc_id].score, abs=0.02 * r.n_tokens + 0.05)
