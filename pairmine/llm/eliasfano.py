@@ -81,6 +81,12 @@ class Ascending:
         place = word * 64 + _select_in_word(self.high[word], at - self.ones[word])
         return (((place - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)).astype(np.int64)
 
+    def values(self) -> np.ndarray:
+        """All the numbers."""
+        places = np.flatnonzero(np.unpackbits(self.high.astype("<u8").view(np.uint8), bitorder="little"))
+        at = np.arange(self.n)
+        return (((places - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)).astype(np.int64)
+
     def _next_zero(self, place: np.ndarray) -> np.ndarray:
         """The place of the first zero after each place; the sequence ends in zeros."""
         place = place + 1
@@ -211,12 +217,23 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
                 file.write(piece)
             file.flush()
             data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    _OPEN[uri] = _arrays(data)
+    return _OPEN[uri]
+
+
+def read_arrays(uri: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, read into memory: for a file that is looked at once and then deleted."""
+    where, path = _file_system(uri)
+    with where.open_input_stream(path) as source:
+        return _arrays(source.read())
+
+
+def _arrays(data: bytes | mmap.mmap) -> dict[str, np.ndarray]:
     size = int.from_bytes(data[:8], "little")
-    _OPEN[uri] = {
+    return {
         name: np.frombuffer(data, dtype=kind, count=n, offset=8 + size + at)
         for name, kind, n, at in json.loads(data[8 : 8 + size])
     }
-    return _OPEN[uri]
 
 
 def group(arrays: dict[str, np.ndarray], prefix: str) -> dict[str, np.ndarray]:

@@ -9,8 +9,9 @@ trie are sorted by range and written to the shared folder, a file per range:
   the first k - 1 words on level k - 1, and the successor is relative to it: the place of the last word among those
   that follow the words between. Ascending pointers give the first successor of each context.
 
-Ranges hold about ``RANGE_ROWS`` n-grams. A context stays in one range unless it occurs often: then its successors may go over several, and what
-is taken from it is added up beforehand. Pointer and weight of a context are read in the first range that has it.
+Tasks add up what repeats in their portions of the texts; one range shuffle brings equal n-grams together. Ranges hold about ``RANGE_ROWS``
+n-grams and are cut anywhere, so a context's successors may go over several: each file tells of its first and last context, and what is taken
+from these is added up over the files. Pointer and weight of a context are read in the first range that has it.
 
 Probabilities are interpolated, with discounts from the counts of counts (modified Kneser-Ney discounts over plain counts); each
 level keeps them quantised to 256 values, of equal shares of the tokens, and so the weight that a context leaves to the shorter one. All n-grams
@@ -35,11 +36,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pairmine.llm.common import buckets_for, whole
-from pairmine.llm.eliasfano import Ascending, coded, group, map_arrays, named, write_arrays
+from pairmine.llm.eliasfano import Ascending, coded, group, map_arrays, named, read_arrays, write_arrays
 from pairmine.session import materialise, remove_folder, shared_folder
 
 ORDER = 3
@@ -253,8 +254,8 @@ def _counted(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["code", "n"])
 
 
-def _count(docs: DataFrame, model: Model | None, k: int) -> DataFrame:
-    """(code, n): how often each n-gram of order k occurs; level 1 codes are hashes."""
+def _portions(docs: DataFrame, model: Model | None, k: int) -> DataFrame:
+    """(code, n): how often each n-gram of order k occurs in a portion of the texts; level 1 codes are hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -274,88 +275,115 @@ def _count(docs: DataFrame, model: Model | None, k: int) -> DataFrame:
         if size:
             yield from _counted(parts)
 
-    # The tasks have added up what repeats in their portions; a second sum before the shuffle would hold nearly all n-grams for little.
-    return docs.select("text").mapInArrow(run, "code long, n long").repartition("code").groupBy("code").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "code long, n long")
 
 
-def _held(rows: DataFrame, often: DataFrame, discounts: tuple[float, ...]) -> DataFrame:
-    """(context, successors, taken) of the contexts in ``often``: distinct successors, and their counts less the discounts."""
-    counts = [F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count_if(F.col("n") > 2)]
-    taken = F.sum("n") - sum((c * F.lit(d) for c, d in zip(counts, discounts[1:], strict=True)), F.lit(0.0))
-    found = rows.join(often, "context").groupBy("context")
-    return materialise(found.agg(F.count(F.lit(1)).alias("successors"), taken.alias("taken")))
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct codes of some (codes, counts), and the sum of each one's counts."""
+    codes, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(codes):
+        return codes, n
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[starts], np.add.reduceat(n[order], starts)
 
 
-def _write_level(
-    rows: DataFrame, model: Model | None, k: int, width: int, discounts: tuple[float, ...], folder: str, often: DataFrame | None
-) -> tuple[tuple[Range, ...], DataFrame, int]:
-    """Sorts a level's n-grams by range, and writes a file per range.
+def _merge(parts: DataFrame, rows: int, k: int, width: int, min_count: int, folder: str) -> list[Row]:
+    """Brings equal n-grams together by ranges of their codes, and writes a file per range; a row per file, in order.
 
-    ``often``: the contexts whose successors may go over several ranges. Gives the ranges, the n-grams of this level that
-    occur so often that they are such contexts for the next, and the largest number of successors of a context.
+    Only the first and last context of a file (``edges``) may have successors in others too: their numbers of successors, sums, and
+    numbers of counts 1, 2 and more are told, to be added up. ``counts``: distinct n-grams, rare ones too, with counts 1 to 4, and the sum of all.
     """
-    least = max(1, RANGE_ROWS // 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-        if not got:
+        held, waiting = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            waiting += batch.num_rows
+            if waiting > max(RANGE_ROWS, len(held[0][0])):  # a frequent n-gram comes once from each portion
+                held, waiting = [_summed(held)], 0
+        codes, n = _summed(held)
+        del held
+        if not len(codes):
             return
-        codes, n, known = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
-        widest = 1
-        arrays: dict[str, np.ndarray] = {}
-        arrays["c.table"], arrays["c.code"] = coded(n)
-        if k == 1:
-            first, last = int(codes[0]), int(codes[-1])
-            arrays |= named("s.", Ascending.build(codes, 2**63).parts())
-        else:
-            contexts = codes // width
-            first, last = int(contexts[0]), int(contexts[-1])
-            arrays |= named("s.", Ascending.build(codes, (last + 1) * width).parts())
-            begins = np.searchsorted(contexts, np.arange(first, last + 2))
-            widest = int(np.diff(begins).max())
-            arrays |= named("p.", Ascending.build(begins, len(codes) + 1).parts())
-            own, one = np.unique(contexts, return_index=True)
-            total = _take(model.levels[k - 2], own, "c")
-            less = n - np.array(discounts)[np.minimum(n, 3)]
-            at = contexts - first
-            taken = np.bincount(at, weights=less)[own - first]
-            taken = np.where(np.isnan(known[one]), taken, known[one])  # of a context that goes over several ranges: the whole
-            left = np.ones(last + 1 - first)
-            size = np.ones(last + 1 - first)
-            size[own - first] = total
-            left[own - first] = np.maximum(1 - taken / total, 1e-9)
-            chance = less / size[at] + left[at] * 10.0 ** _shorter(model, k, contexts, codes % width)
-            arrays["l.table"], arrays["l.code"] = coded(np.log10(chance), 256, n)
-            arrays["w.table"], arrays["w.code"] = coded(np.log10(left), 256, size)
-        path = f"{folder}/level{k}-{uuid.uuid4().hex}.bin"
-        write_arrays(path, arrays)
-        row = [path, first, last, int(codes[0]), int(codes[-1]), len(codes), widest, np.flatnonzero(n >= least).tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row[:-1]] + [pa.array(row[-1:], pa.list_(pa.int64()))], names=names)
-
-    names = ["path", "first", "last", "low", "high", "n", "widest", "often"]
-    schema = "path string, first long, last long, low long, high long, n long, widest long, often array<long>"
-    if often is None:
-        cut, widest = "code", 1
-        told = rows.select("code", "n", F.lit(None).cast("double").alias("taken"))
-    else:
-        placed = rows.select("code", "n", F.expr(f"code div {width}L").alias("context"))
-        held = _held(placed, often, discounts)
-        context = F.expr(f"code div {width}L")
-        widest = held.agg(F.max("successors")).first()[0] or 1
-        told = placed.join(held.drop("successors"), "context", "left")
-        # Ascending with the code; equal for all successors of a context that stays in one range.
-        cut = F.when(F.col("taken").isNull(), context * F.lit(width)).otherwise(F.col("code"))
-    told = told.select("code", "n", "taken").repartitionByRange(buckets_for(rows.count(), RANGE_ROWS), cut)
-    written = materialise(told.sortWithinPartitions("code").mapInArrow(run, schema))
-    ranges, before = [], 0
-    for row in sorted(written.drop("often").collect(), key=lambda r: r["low"]):  # a row per file
-        ranges.append(Range(*(row[c] for c in ("path", "first", "last", "low", "high")), before, row["n"]))
-        before += row["n"]
-        widest = max(widest, row["widest"])
-    offsets = rows.sparkSession.createDataFrame([(r.path, r.before) for r in ranges], "path string, before long")
-    frequent = written.select("path", F.explode("often").alias("at")).join(offsets, "path")
-    return tuple(ranges), materialise(frequent.select((F.col("at") + F.col("before")).alias("context"))), widest
+        counts = [*(int((n == c).sum()) for c in range(1, 5)), int(n.sum())]
+        often = n >= min_count
+        codes, n = codes[often], n[often]
+        path, first, last, widest, edges = None, 0, 0, 1, []
+        if len(codes):
+            arrays: dict[str, np.ndarray] = {}
+            arrays["c.table"], arrays["c.code"] = coded(n)
+            first, last = int(codes[0]) // width, int(codes[-1]) // width
+            if k == 1:
+                arrays |= named("s.", Ascending.build(codes, 2**63).parts())
+            else:
+                arrays |= named("s.", Ascending.build(codes, (last + 1) * width).parts())
+                begins = np.searchsorted(codes // width, np.arange(first, last + 2))
+                widest = int(np.diff(begins).max())
+                arrays |= named("p.", Ascending.build(begins, len(codes) + 1).parts())
+                for context in sorted({first, last}):
+                    own = n[begins[context - first] : begins[context - first + 1]]
+                    edges += [context, len(own), int(own.sum()), *(int(x.sum()) for x in (own == 1, own == 2, own > 2))]
+            path = f"{folder}/level{k}-{uuid.uuid4().hex}.bin"
+            write_arrays(path, arrays)
+        row = [path, first, last, int(codes[0]) if path else 0, int(codes[-1]) if path else 0, len(codes), widest]
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in (edges, counts)]
+        yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), *(pa.array([x]) for x in row[1:]), *lists], names=names)
+
+    names = ["path", "first", "last", "low", "high", "n", "widest", "edges", "counts"]
+    schema = "path string, first long, last long, low long, high long, n long, widest long, edges array<long>, counts array<long>"
+    dealt = parts.repartitionByRange(buckets_for(rows, RANGE_ROWS), "code")
+    return sorted(dealt.mapInArrow(run, schema).collect(), key=lambda r: r["low"])  # a row per file
+
+
+def _add_chances(
+    spark: SparkSession, files: list[Row], model: Model, k: int, width: int, discounts: tuple[float, ...], folder: str
+) -> tuple[list[str], int]:
+    """Writes each file of a level again with probabilities and weights; the new files, and the most successors of a context."""
+    edges: dict[int, list[np.ndarray]] = {}
+    for file in files:
+        for context, *told in np.array(file["edges"]).reshape(-1, 6).tolist():
+            edges.setdefault(context, []).append(np.array(told))
+    over = {context: sum(told) for context, told in edges.items() if len(told) > 1}
+    taken = {context: float(x[1] - np.dot(x[2:], discounts[1:])) for context, x in over.items()}
+    widest = max([1, *(f["widest"] for f in files), *(int(x[0]) for x in over.values())])
+
+    def finish(path: str, known: tuple[float | None, float | None]) -> str:
+        arrays = read_arrays(path)
+        codes = Ascending.of_parts(group(arrays, "s.")).values()
+        n = arrays["c.table"][arrays["c.code"]]
+        contexts = codes // width
+        first, last = int(contexts[0]), int(contexts[-1])
+        at = contexts - first
+        less = n - np.array(discounts)[np.minimum(n, 3)]
+        taken = np.bincount(at, weights=less)
+        for place, whole_context in zip((0, last - first), known, strict=True):
+            if whole_context is not None:
+                taken[place] = whole_context
+        own = np.unique(at)
+        size, left = np.ones(last + 1 - first), np.ones(last + 1 - first)
+        size[own] = _take(model.levels[k - 2], own + first, "c")
+        left[own] = np.maximum(1 - taken[own] / size[own], 1e-9)
+        chance = less / size[at] + left[at] * 10.0 ** _shorter(model, k, contexts, codes % width)
+        arrays["l.table"], arrays["l.code"] = coded(np.log10(chance), 256, n)
+        arrays["w.table"], arrays["w.code"] = coded(np.log10(left), 256, size)
+        done = f"{folder}/level{k}-{uuid.uuid4().hex}.bin"
+        write_arrays(done, arrays)
+        return done
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                done = finish(row["path"], (row["known_first"], row["known_last"]))
+                yield pa.RecordBatch.from_pydict({"at": [row["at"]], "done": [done]})
+
+    if not files:
+        return [], widest
+    told = [(i, f["path"], taken.get(f["first"]), taken.get(f["last"])) for i, f in enumerate(files)]
+    tasks = spark.createDataFrame(told, "at long, path string, known_first double, known_last double")
+    found = tasks.repartitionByRange(len(files), "at").mapInArrow(run, "at long, done string").collect()  # a row per file
+    return [r["done"] for r in sorted(found, key=lambda r: r["at"])], widest
 
 
 def _shorter(model: Model, k: int, contexts: np.ndarray, successors: np.ndarray) -> np.ndarray:
@@ -389,25 +417,34 @@ def _discounts(counts_of_counts: list[int]) -> tuple[float, ...]:
 
 def train(docs: DataFrame, *, order: int = ORDER, min_count: int = MIN_COUNT) -> Model:
     """Learns from the texts of ``docs``."""
+    spark = docs.sparkSession
     texts = docs.select(whole("text").alias("text"))
-    folder = f"{shared_folder(docs.sparkSession)}/lm-{uuid.uuid4().hex}"
-    counted = materialise(_count(texts, None, 1), f"{folder}/counts1")
-    tokens, vocabulary = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    level, often, _ = _write_level(counted, None, 1, 1, (), folder, None)
-    remove_folder(docs.sparkSession, f"{folder}/counts1")
-    model = Model(tokens, vocabulary, (level,), (1,))
-    width = max(vocabulary, 1)
-    for k in range(2, order + 1):
-        if sum(part.n for part in model.levels[-1]) * width >= 2**63:
-            raise ValueError("this level's n-grams do not fit into 63 bits; take a larger min_count or a smaller order")
-        model = Model(tokens, vocabulary, model.levels, (*model.widths, width))
+    folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
+    model, width = None, 1
+    for k in range(1, order + 1):
+        if model is not None:
+            width = max(width, 1) if k > 2 else max(model.vocabulary, 1)
+            if sum(part.n for part in model.levels[-1]) * width >= 2**63:
+                raise ValueError("this level's n-grams do not fit into 63 bits; take a larger min_count or a smaller order")
+            model = Model(model.tokens, model.vocabulary, model.levels, (*model.widths, width))
         seen = Observation()
-        found = _count(texts, model, k).observe(seen, *(F.count(F.when(F.col("n") == c, 1)).alias(f"n{c}") for c in range(1, 5)))
-        kept = materialise(found.filter(F.col("n") >= min_count), f"{folder}/counts{k}")
-        discounts = _discounts([seen.get[f"n{c}"] for c in range(1, 5)])
-        level, often, width = _write_level(kept, model, k, width, discounts, folder, often)
-        remove_folder(docs.sparkSession, f"{folder}/counts{k}")
-        model = Model(tokens, vocabulary, (*model.levels, level), model.widths)
+        counted = _portions(texts, model, k).observe(seen, F.count(F.lit(1)).alias("rows"))
+        parts = materialise(counted, f"{folder}/portions{k}")
+        found = _merge(parts, seen.get["rows"], k, width, min_count if k > 1 else 1, folder if k == 1 else f"{folder}/merged{k}")
+        remove_folder(spark, f"{folder}/portions{k}")
+        *ns, total = np.array([r["counts"] for r in found], dtype=np.int64).reshape(-1, 5).sum(axis=0).tolist()
+        files = [r for r in found if r["path"] is not None]
+        paths = [r["path"] for r in files]
+        if model is None:
+            model = Model(total, sum(r["n"] for r in files), (), (1,))
+        else:
+            paths, width = _add_chances(spark, files, model, k, width, _discounts(ns), folder)
+            remove_folder(spark, f"{folder}/merged{k}")
+        ranges, before = [], 0
+        for path, r in zip(paths, files, strict=True):
+            ranges.append(Range(path, r["first"], r["last"], r["low"], r["high"], before, r["n"]))
+            before += r["n"]
+        model = Model(model.tokens, model.vocabulary, (*model.levels, tuple(ranges)), model.widths)
     return model
 
 

@@ -23,7 +23,7 @@ FOLDER = "/root/testdata/sf0.01"
 def test_sequences(values, shift, asked):
     values = np.sort(np.array(values, dtype=np.int64)) << shift
     coded = eliasfano.Ascending.build(values, (5001 << shift) + 1)
-    assert coded.access(np.arange(len(values))).tolist() == values.tolist()
+    assert coded.access(np.arange(len(values))).tolist() == coded.values().tolist() == values.tolist()
     asked = np.sort(np.concatenate([np.array(asked, dtype=np.int64), values, values + 1]))
     asked = asked[asked <= 5001 << shift]
     assert coded.successor(asked).tolist() == np.searchsorted(values, asked).tolist()
@@ -44,6 +44,7 @@ def test_files_round_trip(tmp_path):
     uri = f"file:{tmp_path}/a/b.bin"
     eliasfano.write_arrays(uri, arrays)
     back = eliasfano.map_arrays(uri)
+    assert {k: v.tolist() for k, v in eliasfano.read_arrays(uri).items()} == {k: v.tolist() for k, v in back.items()}
     assert back["x"].tolist() == [1.5, 2.5]
     assert eliasfano.Ascending.of_parts(eliasfano.group(back, "s.")).find(np.array([3, 4, 996])).tolist() == [1, -1, 332]
 
