@@ -162,7 +162,9 @@ def train(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, reject: floa
 
 
 def predict(docs: DataFrame, model: Model, text: Column | str = "text") -> DataFrame:
-    """``docs`` with langid_pred, langid_score (the cosine) and langid_rejected."""
+    """``docs`` with langid_pred, langid_score (the cosine) and langid_rejected; an input column whose name starts with ``langid_`` is an error."""
+    if taken := [c for c in docs.columns if c.lower().startswith("langid_")]:
+        raise ValueError(f"language identification has its own columns of these names: {', '.join(taken)}")
     centroids, languages, weights, limits = model.centroids, model.languages, model.weights, model.limits
 
     def one(value: str | None) -> tuple[str, float, bool]:

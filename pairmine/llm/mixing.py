@@ -10,8 +10,9 @@ Sizes are words. Running sums over a source never meet in one task: the seeded o
 buckets by the leading digits of the key, and a bucket starts where the sums of the earlier buckets end.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a document of
-size 0 is never taken; rows that repeat a doc_id are ordered by size and otherwise alike; an empty table gives an
-empty table. Other columns of the input are carried along by ``mix`` unchanged; the names that start with ``mix_`` are its own.
+size 0 is never taken; rows that repeat a doc_id, or have none, are ordered by a 64-bit hash of their texts, and only those of equal texts are
+alike; an empty table gives an empty table. Other columns of the input are carried along by ``mix`` unchanged; an input column whose name starts
+with ``mix_`` is an error.
 """
 
 from __future__ import annotations
@@ -80,15 +81,26 @@ def mix(
     epochs: float = EPOCHS,
     seed: int = SEED,
     size: Column | None = None,
+    mark: Column | None = None,
 ) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target and mix_taken, the words taken of each row.
 
     ``weights``: (mix_source, mix_weight), one row per source; cyclic weights without it. ``total``: words of the whole
-    mix; as many as the documents have without it.
+    mix; as many as the documents have without it. ``size`` and ``mark`` (a hash of the text): taken from the column text without them.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    if taken := [c for c in docs.columns if c.lower().startswith("mix_")]:
+        raise ValueError(f"the mix has its own columns of these names: {', '.join(taken)}")
+    mark = F.xxhash64(whole("text")) if mark is None else mark
+    # Rows without doc_id go by their text, so that they too are dealt out over the buckets.
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), mark.cast("string")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
     rows = docs.withColumns(
-        {"mix_size": word_count(whole("text")) if size is None else size, "mix_key": key, "mix_source": F.col("source")}
+        {
+            "mix_size": word_count(whole("text")) if size is None else size,
+            "mix_key": key,
+            "mix_mark": mark,
+            "mix_source": F.col("source"),
+        }
     )
     buckets = buckets_for(docs.count())
     dealt = rows.withColumn(
@@ -117,7 +129,7 @@ def mix(
         whole_times.cast("long").alias("mix_whole"),
         (left_over - F.col("before")).alias("mix_left"),
     )
-    inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", "mix_size")
+    inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", "mix_mark", "mix_size")
     prior = F.sum("mix_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("mix_size")
     part = F.greatest(F.lit(0), F.least(F.col("mix_size"), F.col("mix_left") - F.col("mix_prior")))
     return (
@@ -128,7 +140,7 @@ def mix(
         )
         .withColumn("mix_part", part.cast("long"))
         .withColumn("mix_taken", F.col("mix_whole") * F.col("mix_size") + F.col("mix_part"))
-        .drop("mix_plan_source", "mix_plan_bucket", "mix_left", "mix_prior", "mix_key", "mix_bucket", "mix_source")
+        .drop("mix_plan_source", "mix_plan_bucket", "mix_left", "mix_prior", "mix_key", "mix_mark", "mix_bucket", "mix_source")
     )
 
 

@@ -23,8 +23,9 @@ def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    slim = materialise(docs.select("doc_id", "source", word_count(whole("text")).alias("size")))
-    return mixing.mix(slim, size=F.col("size")).select(
+    text = whole("text")
+    slim = materialise(docs.select("doc_id", "source", word_count(text).alias("size"), F.xxhash64(text).alias("mark")))
+    return mixing.mix(slim, size=F.col("size"), mark=F.col("mark")).select(
         "doc_id",
         "size",
         F.col("mix_source_size").alias("source_size"),

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from pairmine.llm import mixing
+from pairmine.llm import langid, mixing, simhash
 from tests.llm.test_native import check_shards
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 from tests.llm.test_texts import plain_leaks
@@ -56,3 +59,26 @@ def test_stages_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
     assert docs.count() == 0
+
+
+def test_rows_that_tie(spark):
+    """Rows without doc_id, and rows that repeat doc_id and text: the order in which they come does not matter."""
+    texts = [f"{' '.join(f'w{i}x{j}' for j in range(10))}" for i in range(20)]
+    schema = "doc_id long, text string, source string"
+    rows = [(None, t, "ab"[i % 2]) for i, t in enumerate(texts)]
+    taken = [
+        sorted((r.text, r.mix_taken) for r in mixing.mix(spark.createDataFrame(given, schema), total=90.0).collect())
+        for given in (rows, rows[::-1], rows[7:] + rows[:7])
+    ]
+    assert taken[0] == taken[1] == taken[2] and 0 < sum(n for _, n in taken[0]) < 100
+    twice = [(1, "one two three four", "b"), (1, "one two three four", "a"), (1, "one two three four", None)]
+    kept = {tuple(map(tuple, simhash.one_of_each(spark.createDataFrame(given, schema)).collect())) for given in (twice, twice[::-1], twice[1:] + twice[:1])}
+    assert len(kept) == 1 and len(kept.pop()) == 1
+
+
+def test_names_that_are_taken(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 1)], "doc_id long, text string, source string, own int")
+    model = langid.train(docs.select("text", F.lit("en").alias("lang")))
+    for name, apply in (("mix_size", mixing.mix), ("simhash_id", simhash.one_of_each), ("langid_pred", lambda d: langid.predict(d, model))):
+        with pytest.raises(ValueError, match=name):
+            apply(docs.withColumnRenamed("own", name))
