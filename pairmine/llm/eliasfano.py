@@ -21,18 +21,22 @@ _ONE = np.uint64(1)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+#: The place of the k-th set bit of a byte, at byte * 8 + k.
+_IN_BYTE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[k] for byte in range(256) for k in range(8)], dtype=np.uint8)
+_EACH = np.uint64(0x0101010101010101)
+
+
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The place of the k-th set bit of each word, from 0."""
-    word, k = word.copy(), k.astype(np.int64)
-    place = np.zeros(len(word), dtype=np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        below = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
-        beyond = k >= below
-        k -= np.where(beyond, below, 0)
-        step = np.where(beyond, width, 0)
-        word >>= step.astype(np.uint64)
-        place += step
-    return place
+    """The place of the k-th set bit of each word, from 0: the byte by running sums of the bytes' bits, then a table."""
+    k = k.astype(np.uint64)
+    two = word - ((word >> _ONE) & np.uint64(0x5555555555555555))
+    four = (two & np.uint64(0x3333333333333333)) + ((two >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    sums = ((four + (four >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _EACH  # byte i: set bits of the bytes up to i
+    top = np.uint64(0x8080808080808080)
+    shift = np.minimum(np.bitwise_count((k * _EACH | top) - sums & top), 7).astype(np.uint64) << np.uint64(3)
+    before = (sums << np.uint64(8)) >> shift & np.uint64(255)
+    byte = word >> shift & np.uint64(255)
+    return (shift + _IN_BYTE[byte << np.uint64(3) | (k - before) & np.uint64(7)]).astype(np.int64)
 
 
 class Ascending:

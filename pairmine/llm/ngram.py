@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from pairmine.llm.common import buckets_for, whole
 from pairmine.llm.eliasfano import Ascending, coded, group, map_arrays, named, read_arrays, write_arrays
-from pairmine.session import materialise, remove_folder, shared_folder
+from pairmine.session import remove_folder, shared_folder
 
 ORDER = 3
 MIN_COUNT = 1
@@ -49,7 +50,7 @@ RANGE_ROWS = 500_000
 _LONG_WORD = 64
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _PIECE_BYTES = 500_000
-_BATCH_TOKENS = 250_000
+_BATCH_TOKENS = 500_000
 _BATCH_CODES = 1_000_000
 _ROWS_OUT = 100_000
 
@@ -289,6 +290,18 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return codes[starts], np.add.reduceat(n[order], starts)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries inside go when each ends, not when the driver next cleans up: a level's would lie beside the next one's."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _merge(parts: DataFrame, rows: int, k: int, width: int, min_count: int, folder: str) -> list[Row]:
     """Brings equal n-grams together by ranges of their codes, and writes a file per range; a row per file, in order.
 
@@ -333,8 +346,9 @@ def _merge(parts: DataFrame, rows: int, k: int, width: int, min_count: int, fold
 
     names = ["path", "first", "last", "low", "high", "n", "widest", "edges", "counts"]
     schema = "path string, first long, last long, low long, high long, n long, widest long, edges array<long>, counts array<long>"
-    dealt = parts.repartitionByRange(buckets_for(rows, RANGE_ROWS), "code")
-    return sorted(dealt.mapInArrow(run, schema).collect(), key=lambda r: r["low"])  # a row per file
+    with shuffles_removed(parts.sparkSession):
+        dealt = parts.repartitionByRange(buckets_for(rows, RANGE_ROWS), "code")
+        return sorted(dealt.mapInArrow(run, schema).collect(), key=lambda r: r["low"])  # a row per file
 
 
 def _add_chances(
@@ -429,7 +443,9 @@ def train(docs: DataFrame, *, order: int = ORDER, min_count: int = MIN_COUNT) ->
             model = Model(model.tokens, model.vocabulary, model.levels, (*model.widths, width))
         seen = Observation()
         counted = _portions(texts, model, k).observe(seen, F.count(F.lit(1)).alias("rows"))
-        parts = materialise(counted, f"{folder}/portions{k}")
+        # A portion's codes ascend: kept as differences they take about half the disk.
+        counted.write.option("parquet.writer.version", "v2").parquet(f"{folder}/portions{k}")
+        parts = spark.read.schema(counted.schema).parquet(f"{folder}/portions{k}")
         found = _merge(parts, seen.get["rows"], k, width, min_count if k > 1 else 1, folder if k == 1 else f"{folder}/merged{k}")
         remove_folder(spark, f"{folder}/portions{k}")
         *ns, total = np.array([r["counts"] for r in found], dtype=np.int64).reshape(-1, 5).sum(axis=0).tolist()
