@@ -11,8 +11,8 @@ buckets by the leading digits of the key, and a bucket starts where the sums of
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a document of
 size 0 is never taken; rows that repeat a doc_id, or have none, are ordered by a 64-bit hash of their texts, and only those of equal texts are
-alike; an empty table gives an empty table. Other columns of the input are carried along by ``mix`` unchanged; an input column whose name starts
-with ``mix_`` is an error.
+alike; an empty table gives an empty table. Other columns of the input are carried along by ``mix`` unchanged; the names that
+start with ``mix_`` are its own.
 """
 
 from __future__ import annotations
@@ -88,8 +88,6 @@ def mix(
     ``weights``: (mix_source, mix_weight), one row per source; cyclic weights without it. ``total``: words of the whole
     mix; as many as the documents have without it. ``size`` and ``mark`` (a hash of the text): taken from the column text without them.
     """
-    if taken := [c for c in docs.columns if c.lower().startswith("mix_")]:
-        raise ValueError(f"the mix has its own columns of these names: {', '.join(taken)}")
     mark = F.xxhash64(whole("text")) if mark is None else mark
     # Rows without doc_id go by their text, so that they too are dealt out over the buckets.
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), mark.cast("string")))

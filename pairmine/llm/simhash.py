@@ -215,12 +215,12 @@ def one_of_each(docs: DataFrame, *, shingle: int = SHINGLE, bits: int = BITS, bl
 
     A null doc_id comes last; of rows with this doc_id and other texts, the one with the smallest hash of the text stays. Rows
     that share a doc_id, or have none, are documents of their own; only those that repeat doc_id and text are one. Of these the row
-    with the smallest hash of the other columns stays (columns that hold maps do not count). An input column whose name starts with
-    ``simhash_`` is an error.
+    with the smallest hash of the other columns stays (columns that hold maps do not count). Columns of any name are kept.
     """
-    if taken := [c for c in docs.columns if c.lower().startswith("simhash_")]:
-        raise ValueError(f"near-duplicate removal has its own columns of these names: {', '.join(taken)}")
-    known = ["simhash_none", "simhash_id", "simhash_mark", "simhash_rest"]
+    own = "simhash_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = f"_{own}"
+    known = [own + name for name in ("none", "id", "mark", "rest")]
     others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind]
     ident = F.col("doc_id").cast("long")
     named = docs.select(
@@ -239,7 +239,7 @@ def one_of_each(docs: DataFrame, *, shingle: int = SHINGLE, bits: int = BITS, bl
                 [batch.column(0), pa.array(prints.view(np.int64))], names=["own", "print"]
             )
 
-    schema = "own struct<simhash_none: boolean, simhash_id: long, simhash_mark: long, simhash_rest: long>, print long"
+    schema = f"own struct<{known[0]}: boolean, {known[1]}: long, {known[2]}: long, {known[3]}: long>, print long"
     distinct = materialise(texts.mapInArrow(run, schema).groupBy("print").agg(F.min("own").alias("own")))
     found = materialise(components(links(distinct, bits=bits, block=block)))
     rooted = distinct.join(found, F.col("print") == F.col("node"), "left").withColumn("root", F.coalesce("root", "print"))
