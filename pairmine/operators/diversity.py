@@ -25,6 +25,9 @@ BLOCK_ROWS = 4096
 # At most this many large groups are broadcast; beyond, they are joined by shuffle.
 _BROADCAST_GROUPS = 100_000
 _FEW_BLOCKS = 4
+# A large group is cut into so many blocks, as long as one block stays below these rows and bytes: each vector is sent
+# once for each block that its own is compared with, so that their number must not grow with the group.
+_BLOCKS, _MOST_ROWS, _MOST_BYTES = 64, 8 * BLOCK_ROWS, 1 << 26
 # Rows multiplied at a time, so that the products stay in the processor's cache.
 _CHUNK_ROWS = 128
 
@@ -260,7 +263,8 @@ def similarity_profile(
     the matrix of similarities of each row of ``a`` to each of ``b``; it need not be symmetric. ``group_sizes`` may name a cheaper table to count groups on.
     ``lowest=False`` leaves ``min_positive_sim`` out (NULL), which halves the work.
 
-    One pass over the group columns runs at once, to find groups above ``block_rows``.
+    One pass over the group columns runs at once, to find groups above ``block_rows``. Groups of many different vectors get larger
+    blocks, so that there are 64 of them, up to 8 * ``block_rows`` or 8 * ``BLOCK_ROWS`` rows (64 MB of numbers).
     """
     keys = group_columns(group)
     require(df, *keys, id, vector)
@@ -346,8 +350,8 @@ def _large_parts(
         F.min(F.xxhash64("_rep")).alias("_least"),
     )
     whole = (F.col("_missing") == 0) & (F.col("_shortest") == F.col("_longest")) & (F.col("_shortest") > 0)
-    # Larger blocks for very large groups, since a vector is sent once for each block that its own is compared with.
-    rows = F.least(F.greatest(F.col("_distinct") / 64, F.lit(block_rows)), F.lit(8 * block_rows))
+    most = F.greatest(F.least(F.lit(_MOST_ROWS), F.lit(_MOST_BYTES) / (8 * F.col("_longest"))), F.lit(8 * block_rows))
+    rows = F.least(F.greatest(F.col("_distinct") / _BLOCKS, F.lit(block_rows)), most)
     facts = _prefixed(facts.filter(whole), keys, "_f_").withColumn("_rows", rows)
     facts = facts.withColumn("_blocks", F.ceil(F.col("_distinct") / F.col("_rows")).cast("int"))
     facts = materialise(facts.select(*["_f_" + k for k in keys], "_distinct", "_blocks", "_rows", "_least"))

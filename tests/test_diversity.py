@@ -251,3 +251,42 @@ def test_a_word_with_two_vectors_is_an_error(spark):
         with pytest.raises(ValueError, match="'a'"):
             dv.attach_embeddings(words, given)
     assert dv.attach_embeddings(words, vectors.limit(1)).count() == 2
+
+
+@pytest.mark.parametrize("similarity", [None, lambda a, b: a @ b.T])
+def test_vectors_are_sent_no_more_often_as_a_group_grows(spark, monkeypatch, similarity):
+    """Blocks grow with the group and not their number, whatever ``block_rows`` is."""
+    run, sent = dv._run_tasks, []
+
+    def counted(df, keys, *args, **options):
+        if "_lo" in keys:
+            sent.append(df.count())
+        return run(df, keys, *args, **options)
+
+    monkeypatch.setattr(dv, "_run_tasks", counted)
+    rng = np.random.default_rng(10)
+    units = rng.normal(size=(1200, 24))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    df = table(spark, [(1, i, v.tolist()) for i, v in enumerate(units)], "prompt_id bigint, sample_idx int, embedding array<double>")
+    got = {r.sample_idx: r for r in dv.similarity_profile(df, block_rows=1, similarity=similarity).collect()}
+    sims = units @ units.T
+    np.fill_diagonal(sims, -2)
+    assert all(got[i].max_sim == pytest.approx(sims[i].max(), abs=1e-9) for i in range(1200))
+    assert all(got[i].min_positive_sim == pytest.approx(sims[i][sims[i] > 0].min(), abs=1e-9) for i in range(1200))
+    assert sum(sent) <= 65 * 1200, sum(sent) / 1200
+
+
+def test_blocks_of_long_vectors_stay_small(spark, monkeypatch):
+    """No block is larger than memory allows: there are more of them then."""
+    monkeypatch.setattr(dv, "_MOST_BYTES", 1)
+    run, blocks = dv._run_tasks, []
+
+    def counted(df, keys, *args, **options):
+        if "_lo" in keys:
+            blocks.append(df.agg({"_hi": "max"}).first()[0])
+        return run(df, keys, *args, **options)
+
+    monkeypatch.setattr(dv, "_run_tasks", counted)
+    rows = random_rows(11, [900], dim=24)
+    assert_profile(table(spark, rows), rows, block_rows=1)
+    assert max(b for b in blocks if b is not None) >= 70, blocks
