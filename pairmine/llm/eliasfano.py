@@ -1,7 +1,8 @@
 """Elias-Fano coded sequences and packed levels of an n-gram trie, as arrays that can be memory-mapped.
 
 A sequence of n ascending numbers below u keeps the low l = log2(u / n) bits of each number packed, and the high bits in unary:
-number i with high part h sets bit h + i. Zeros before each 64-bit word are counted, so that the place of
+number i with high part h sets bit h + i. A ``base`` is taken off all numbers first: of numbers that lie together far from 0 the high
+bits would else be nearly the same, so that each search among the low bits would go through many. Zeros before each 64-bit word are counted, so that the place of
 the k-th zero or one is a search among the counts and one inside a word. All look-ups are over arrays of queries.
 """
 
@@ -42,14 +43,15 @@ def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
 class Ascending:
     """An ascending sequence (repeats allowed) over arrays that may lie in a mapped file."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray) -> None:
-        self.n, self.low_bits, self.low, self.high, self.zeros = n, low_bits, low, high, zeros
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, base: int = 0) -> None:
+        self.n, self.low_bits, self.low, self.high, self.zeros, self.base = n, low_bits, low, high, zeros, base
         self.ones = np.arange(len(zeros), dtype=np.int64) * 64 - zeros
 
     @classmethod
-    def build(cls, values: np.ndarray, bound: int) -> Ascending:
-        """``values``: ascending, below ``bound``."""
+    def build(cls, values: np.ndarray, bound: int, base: int = 0) -> Ascending:
+        """``values``: ascending, from ``base`` up to, not including, ``bound``."""
         n = len(values)
+        values, bound = values - base, bound - base
         low_bits = max(0, (bound // max(n, 1)).bit_length() - 1)
         values = values.astype(np.uint64)
         bits = np.zeros(n * low_bits, dtype=np.uint8)
@@ -63,7 +65,7 @@ class Ascending:
         high = _words(ones)
         counts = np.bitwise_count(~high).astype(np.int64)
         zeros = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-        return cls(n, low_bits, low, high, zeros)
+        return cls(n, low_bits, low, high, zeros, base)
 
     def _low(self, at: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -83,13 +85,13 @@ class Ascending:
         at = np.asarray(at, dtype=np.int64)
         word = np.searchsorted(self.ones, at, side="right") - 1
         place = word * 64 + _select_in_word(self.high[word], at - self.ones[word])
-        return (((place - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)).astype(np.int64)
+        return (((place - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)).astype(np.int64) + self.base
 
     def values(self) -> np.ndarray:
         """All the numbers."""
         places = np.flatnonzero(np.unpackbits(self.high.astype("<u8").view(np.uint8), bitorder="little"))
         at = np.arange(self.n)
-        return (((places - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)).astype(np.int64)
+        return (((places - at).astype(np.uint64) << np.uint64(self.low_bits)) | self._low(at)).astype(np.int64) + self.base
 
     def _next_zero(self, place: np.ndarray) -> np.ndarray:
         """The place of the first zero after each place; the sequence ends in zeros."""
@@ -112,39 +114,42 @@ class Ascending:
         before = np.where(top > 0, self._select_zero(np.maximum(top - 1, 0)), -1)
         end = np.minimum(self._next_zero(before) - top, self.n)
         lo = np.minimum(before - top + 1, end)
-        hi = end.copy()
+        hi = end
         want = values & np.uint64((1 << self.low_bits) - 1)
         active = np.flatnonzero(lo < hi)
+        a, b, own = lo[active], hi[active], want[active]
         while len(active):
-            mid = (lo[active] + hi[active]) >> 1
-            less = self._low(mid) < want[active]
-            lo[active] = np.where(less, mid + 1, lo[active])
-            hi[active] = np.where(less, hi[active], mid)
-            active = active[lo[active] < hi[active]]
+            mid = (a + b) >> 1
+            less = self._low(mid) < own
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            left = a < b
+            if not left.all():
+                lo[active[~left]] = a[~left]
+                active, a, b, own = active[left], a[left], b[left], own[left]
         return np.where(beyond, self.n, lo), np.where(beyond, 0, end), want
 
     def successor(self, values: np.ndarray) -> np.ndarray:
         """The place of the first number that is not below each value; n if there is none."""
-        return self._search(np.asarray(values, dtype=np.uint64))[0]
+        return self._search((np.maximum(values, self.base) - self.base).astype(np.uint64))[0]
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """The place of each value, or -1."""
         found = np.full(len(values), -1, dtype=np.int64)
         if not self.n or not len(values):
             return found
-        at, end, want = self._search(np.asarray(values, dtype=np.uint64))
-        inside = np.flatnonzero(at < end)
+        at, end, want = self._search((np.maximum(values, self.base) - self.base).astype(np.uint64))
+        inside = np.flatnonzero((at < end) & (np.asarray(values) >= self.base))
         inside = inside[self._low(at[inside]) == want[inside]]
         found[inside] = at[inside]
         return found
 
     def parts(self) -> dict[str, np.ndarray]:
-        return {"shape": np.array([self.n, self.low_bits]), "low": self.low, "high": self.high, "zeros": self.zeros}
+        return {"shape": np.array([self.n, self.low_bits, self.base]), "low": self.low, "high": self.high, "zeros": self.zeros}
 
     @classmethod
     def of_parts(cls, parts: dict[str, np.ndarray]) -> Ascending:
-        n, low_bits = parts["shape"].tolist()
-        return cls(n, low_bits, parts["low"], parts["high"], parts["zeros"])
+        n, low_bits, base = parts["shape"].tolist()
+        return cls(n, low_bits, parts["low"], parts["high"], parts["zeros"], base)
 
 
 def _words(bits: np.ndarray) -> np.ndarray:
@@ -195,13 +200,14 @@ def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
             out.write(raw + b"\0" * (-len(raw) % 8))
 
 
-#: Files that a process keeps mapped; the one that was asked for longest ago goes first.
-OPEN_FILES = 128
+#: Files that a process keeps mapped, and of these local copies; the one that was asked for longest ago goes first.
+#: A mapping holds no file descriptor, and the system takes its memory back when it is short.
+OPEN_FILES, OPEN_COPIES = 4096, 128
 _OPEN: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
 
 
 def map_arrays(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, memory-mapped; the last ``OPEN_FILES`` stay open.
+    """The arrays of a file, memory-mapped; the last ``OPEN_FILES`` (``OPEN_COPIES`` where files are copied) stay open.
 
     A shared folder that is a file system is mapped as it is. From any other store the file is copied to an unnamed local
     file first, which goes when the file is closed.
@@ -209,18 +215,19 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
     if uri in _OPEN:
         _OPEN.move_to_end(uri)
         return _OPEN[uri]
-    while len(_OPEN) >= OPEN_FILES:
-        _OPEN.popitem(last=False)  # unmapped as soon as no array of it is in use
     where, path = _file_system(uri)
-    if isinstance(where, fs.LocalFileSystem):
+    as_it_is = isinstance(where, fs.LocalFileSystem)
+    while len(_OPEN) >= (OPEN_FILES if as_it_is else OPEN_COPIES):
+        _OPEN.popitem(last=False)  # unmapped as soon as no array of it is in use
+    if as_it_is:
         with open(path, "rb") as file:
-            data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+            data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
     else:
         with tempfile.TemporaryFile() as file, where.open_input_stream(path) as source:
             while piece := source.read(1 << 24):
                 file.write(piece)
             file.flush()
-            data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+            data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
     _OPEN[uri] = _arrays(data)
     return _OPEN[uri]
 

@@ -46,11 +46,11 @@ from pairmine.session import remove_folder, shared_folder
 
 ORDER = 3
 MIN_COUNT = 1
-RANGE_ROWS = 500_000
+RANGE_ROWS = 1_000_000
 _LONG_WORD = 64
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _PIECE_BYTES = 500_000
-_BATCH_TOKENS = 500_000
+_BATCH_TOKENS = 1_000_000
 _BATCH_CODES = 1_000_000
 _ROWS_OUT = 100_000
 
@@ -328,10 +328,8 @@ def _merge(parts: DataFrame, rows: int, k: int, width: int, min_count: int, fold
             arrays: dict[str, np.ndarray] = {}
             arrays["c.table"], arrays["c.code"] = coded(n)
             first, last = int(codes[0]) // width, int(codes[-1]) // width
-            if k == 1:
-                arrays |= named("s.", Ascending.build(codes, 2**63).parts())
-            else:
-                arrays |= named("s.", Ascending.build(codes, (last + 1) * width).parts())
+            arrays |= named("s.", Ascending.build(codes, int(codes[-1]) + 1, int(codes[0])).parts())
+            if k > 1:
                 begins = np.searchsorted(codes // width, np.arange(first, last + 2))
                 widest = int(np.diff(begins).max())
                 arrays |= named("p.", Ascending.build(begins, len(codes) + 1).parts())
@@ -477,12 +475,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             n[known] = _take(model.levels[0], found[0][known], "c")
             base = np.log10(n + 1.0) + log_unit
             best = base.copy()
+            # A token's longest known n-gram has the whole chance: below it nothing is looked up.
+            longest = np.ones(len(hashes), dtype=np.int8)
+            for k in range(2, len(model.levels) + 1):
+                longest[(at >= k - 1) & (found[k - 1] >= 0)] = k
             for k in range(2, len(model.levels) + 1):
                 context = np.concatenate([[-1], found[k - 2][:-1]])
-                inside = at >= k - 1
-                weight = _weight_of(model.levels[k - 1], context)
-                best = np.where(inside & (context >= 0), best + weight, best)
-                here = np.flatnonzero(inside & (found[k - 1] >= 0))
+                shorter = np.flatnonzero((longest < k) & (at >= k - 1) & (context >= 0))
+                best[shorter] += _weight_of(model.levels[k - 1], context[shorter])
+                here = np.flatnonzero(longest == k)
                 best[here] = _take(model.levels[k - 1], found[k - 1][here], "l")
             row = np.repeat(np.arange(len(lengths)), lengths)[at > 0]
             total = lambda x: np.bincount(row, weights=x[at > 0], minlength=len(lengths))

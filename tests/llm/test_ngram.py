@@ -205,3 +205,26 @@ def test_held_out_documents(spark):
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in rows)
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_numbers_far_from_zero():
+    """Numbers that lie together keep few low bits, wherever they begin; what is below them is not found."""
+    values = 2**60 + np.arange(0, 30000, 3)
+    coded = eliasfano.Ascending.build(values, int(values[-1]) + 1, int(values[0]))
+    assert coded.low_bits <= 2 and (coded.values() == values).all() and (coded.access(np.arange(9)) == values[:9]).all()
+    asked = np.concatenate([[0, 2**60 - 1], values[:50], values[:50] + 1, [2**61]])
+    assert coded.successor(asked).tolist() == np.searchsorted(values, asked).tolist()
+    assert coded.find(asked).tolist() == [-1, -1, *range(50), *[-1] * 51]
+
+
+def test_files_of_a_level_keep_bits_by_their_own_range(spark, monkeypatch):
+    """A file's sequence begins at its first code: else its low bits, and the steps of a search, grow with the number of files."""
+    monkeypatch.setattr(ngram, "RANGE_ROWS", 300)
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 400, 60))) for i in range(60)]
+    model = ngram.train(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert all(len(level) > 1 for level in model.levels[1:])
+    for level in model.levels:
+        for part in level:
+            n, low_bits = eliasfano.map_arrays(part.path)["s.shape"][:2].tolist()
+            assert n == part.n and 2**low_bits <= max(1, (part.high - part.low + 1) // n), (part, low_bits)
